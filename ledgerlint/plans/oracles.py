@@ -253,3 +253,144 @@ ORACLES["price_master"] = with_view(
 
 def oracle_sql() -> "OrderedDict[str, str]":
     return ORACLES
+
+
+# ---------------------------------------------------------------- aggregates
+NUMS = ["price", "quantity", "total_spent"]
+TEXTS = ["transaction_id", "customer_id", "category", "item", "payment_method", "location"]
+ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
+
+
+def r6(x):
+    return f"round(CAST({x} AS DOUBLE), 6)"
+
+
+ORACLES["group_mean_median"] = with_view(
+    f"SELECT item, {r6('avg(quantity)')} AS mean_value, {r6('median(quantity)')} AS median_value "
+    "FROM rv WHERE item IS NOT NULL GROUP BY item")
+ORACLES["first_item_by_price"] = with_view(
+    f"SELECT price, first(item ORDER BY {ORDER}) AS item FROM rv "
+    "WHERE item IS NOT NULL AND price IS NOT NULL GROUP BY price")
+ORACLES["group_sizes"] = with_view("SELECT transaction_id, count(*) AS n_rows FROM rv GROUP BY transaction_id")
+ORACLES["value_shares"] = with_view(
+    f"SELECT payment_method, count(*) AS n_rows, {r6('count(*) / sum(count(*)) OVER ()')} AS share "
+    "FROM rv WHERE payment_method IS NOT NULL GROUP BY payment_method")
+ORACLES["quantiles"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, {r6(f'quantile_cont({c}, 0.25)')} AS q25, {r6(f'quantile_cont({c}, 0.5)')} AS q50, "
+    f"{r6(f'quantile_cont({c}, 0.75)')} AS q75 FROM rv" for c in NUMS]))
+ORACLES["describe"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, count({c}) AS count, {r6(f'avg({c})')} AS mean, {r6(f'stddev_samp({c})')} AS std, "
+    f"CAST(min({c}) AS DOUBLE) AS min, {r6(f'quantile_cont({c}, 0.25)')} AS p25, {r6(f'quantile_cont({c}, 0.5)')} AS p50, "
+    f"{r6(f'quantile_cont({c}, 0.75)')} AS p75, CAST(max({c}) AS DOUBLE) AS max FROM rv" for c in NUMS]))
+ORACLES["crosstab"] = with_view(
+    "SELECT payment_method, count_if(location = 'In-store') AS \"In-store\", count_if(location = 'Online') AS \"Online\" "
+    "FROM rv WHERE payment_method IS NOT NULL AND location IS NOT NULL GROUP BY payment_method")
+ORACLES["correlation"] = with_view(_union_report([
+    f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})')} AS r FROM rv"
+    for i, a in enumerate(NUMS) for b in NUMS[i + 1:]]))
+ORACLES["mode_median"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, {r6(f'median({c})')} AS median, CAST(mode({c} ORDER BY {c}) AS VARCHAR) AS mode FROM rv"
+    for c in ["quantity", "price"]]))
+ORACLES["text_lengths"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, CAST(min(length({c})) AS INTEGER) AS min_length, "
+    f"CAST(max(length({c})) AS INTEGER) AS max_length, {r6(f'avg(length({c}))')} AS avg_length FROM rt"
+    for c in TEXTS]))
+_DTYPES = {"price": "double", "quantity": "double", "total_spent": "double", "discount_applied": "boolean"}
+ORACLES["column_info"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, CAST({i} AS INTEGER) AS position, '{_DTYPES.get(c, 'string')}' AS dtype, "
+    f"count({c}) AS non_null, count(*) AS rows FROM rv" for i, c in enumerate(COLS)]))
+ORACLES["share_outside"] = with_view(
+    "SELECT count_if(quantity < 5.0 OR quantity > 45.0) AS n_outside, count(*) AS rows, "
+    f"{r6('coalesce(100.0 * count_if(quantity < 5.0 OR quantity > 45.0) / nullif(count(*), 0), 0)')} AS share FROM rv")
+
+# ---------------------------------------------------------------- repair
+_C1 = (", c1 AS (SELECT * REPLACE (CASE WHEN price IS NULL OR isnan(price) THEN total_spent / nullif(quantity, 0) "
+       "ELSE price END AS price) FROM rv)")
+_C2 = (f", lk AS (SELECT price AS fp, first(item ORDER BY {ORDER}) AS fi FROM c1 "
+       "WHERE item IS NOT NULL AND price IS NOT NULL GROUP BY price), "
+       "c2 AS (SELECT c1.* REPLACE (coalesce(c1.item, lk.fi) AS item) FROM c1 LEFT JOIN lk ON c1.price = lk.fp)")
+_C3 = (", gm AS (SELECT item AS gk, avg(quantity) AS gmean FROM c2 WHERE item IS NOT NULL GROUP BY item), "
+       "c3 AS (SELECT c2.* REPLACE (CASE WHEN c2.item IS NULL THEN NULL WHEN c2.quantity IS NULL OR isnan(c2.quantity) "
+       "THEN gm.gmean ELSE c2.quantity END AS quantity) FROM c2 LEFT JOIN gm ON c2.item = gm.gk)")
+_C4 = ", c4 AS (SELECT * REPLACE (price * quantity AS total_spent) FROM c3)"
+_C5 = ", c5 AS (SELECT * REPLACE (coalesce(discount_applied, false) AS discount_applied) FROM c4)"
+
+ORACLES["fill_price"] = with_view(_C1 + f"\nSELECT {KEYS}, {r6('price')} AS price FROM c1")
+ORACLES["fill_item"] = with_view(_C1 + _C2 + f"\nSELECT {KEYS}, item FROM c2")
+ORACLES["fill_quantity"] = with_view(_C1 + _C2 + _C3 + f"\nSELECT {KEYS}, {r6('quantity')} AS quantity FROM c3")
+ORACLES["recompute_total"] = with_view(_C1 + _C2 + _C3 + _C4 + f"\nSELECT {KEYS}, {r6('total_spent')} AS total_spent FROM c4")
+ORACLES["fill_discount"] = with_view(f"SELECT {KEYS}, coalesce(discount_applied, false) AS discount_applied FROM rv")
+ORACLES["full_repair"] = with_view(
+    _C1 + _C2 + _C3 + _C4 + _C5 + f"\nSELECT * REPLACE ({r6('price')} AS price, {r6('quantity')} AS quantity, "
+    f"{r6('total_spent')} AS total_spent) FROM c5")
+
+_TXT_COLS = ["transaction_id", "customer_id", "category", "item", "payment_method", "location", "transaction_date"]
+ORACLES["impute_generic"] = with_view(
+    f"SELECT {KEYS}, "
+    + ", ".join(f"coalesce({c}, (SELECT mode({c} ORDER BY {c}) FROM rv)) AS {c}" for c in _TXT_COLS[:4])
+    + ", " + ", ".join(f"{r6(f'coalesce({c}, (SELECT median({c}) FROM rv))')} AS {c}" for c in NUMS)
+    + ", " + ", ".join(f"coalesce({c}, (SELECT mode({c} ORDER BY {c}) FROM rv)) AS {c}" for c in _TXT_COLS[4:])
+    + " FROM rv")
+
+
+def _fences(c):
+    q1 = f"(SELECT quantile_cont({c}, 0.25) FROM rv)"
+    q3 = f"(SELECT quantile_cont({c}, 0.75) FROM rv)"
+    return f"({q1} - 1.5 * ({q3} - {q1}))", f"({q3} + 1.5 * ({q3} - {q1}))"
+
+
+ORACLES["cap_outliers"] = with_view(
+    f"SELECT {KEYS}, " + ", ".join(
+        f"{r6(f'CASE WHEN {c} < {_fences(c)[0]} THEN {_fences(c)[0]} WHEN {c} > {_fences(c)[1]} THEN {_fences(c)[1]} ELSE {c} END')} AS {c}"
+        for c in NUMS) + " FROM rv")
+_lo, _hi = _fences("total_spent")
+ORACLES["iqr_outliers"] = with_view(
+    f"SELECT {KEYS}, {r6('total_spent')} AS total_spent, {r6(_lo)} AS lower_bound, {r6(_hi)} AS upper_bound "
+    f"FROM rv WHERE total_spent < {_lo} OR total_spent > {_hi}")
+ORACLES["model_input_clean"] = with_view(
+    f"SELECT {KEYS}, coalesce(category, 'nan') AS category, coalesce(item, 'nan') AS item, price, quantity, "
+    "total_spent, coalesce(payment_method, 'nan') AS payment_method, coalesce(location, 'nan') AS location, "
+    "transaction_date, coalesce(CASE WHEN discount_applied THEN 'true' WHEN NOT discount_applied THEN 'false' END, 'nan') "
+    "AS discount_applied FROM rv WHERE quantity IS NOT NULL AND NOT isnan(quantity) AND price IS NOT NULL "
+    "AND NOT isnan(price) AND total_spent IS NOT NULL AND NOT isnan(total_spent)")
+
+# ---------------------------------------------------------------- weekly
+WK_CATS = sorted(CATS)
+WK_PAYS = ["Cash", "Credit Card", "Crypto", "Digital Wallet"]
+WK_LOCS = ["In-store", "Online"]
+_WB = (", b AS (SELECT strftime(CAST(try_strptime(transaction_date, '%Y-%m-%d') AS DATE) - "
+       "CAST(isodow(CAST(try_strptime(transaction_date, '%Y-%m-%d') AS DATE)) - 1 AS INTEGER), '%Y-%m-%d') AS yw, "
+       "transaction_id, customer_id, total_spent, CASE WHEN discount_applied THEN 1 ELSE 0 END AS disc, "
+       "category, payment_method, location FROM rv WHERE try_strptime(transaction_date, '%Y-%m-%d') IS NOT NULL), "
+       "wk AS (SELECT yw AS \"Year_Week\", "
+       f"{r6('1 - (count(DISTINCT customer_id) + max(CASE WHEN customer_id IS NULL THEN 1 ELSE 0 END)) / count(*)')} "
+       "AS weekly_avg_repeat_purchases, CAST(coalesce(sum(total_spent), 0) AS DOUBLE) AS total_sales, "
+       "count(DISTINCT transaction_id) AS unique_transactions, count(DISTINCT customer_id) AS unique_customers, "
+       "CAST(sum(disc) AS BIGINT) AS discounted_transactions, "
+       + ", ".join(f"CASE WHEN count(category) > 0 THEN CAST(coalesce(sum(CASE WHEN category = {lit(v)} THEN total_spent END), 0) AS DOUBLE) END AS {q(v)}" for v in WK_CATS)
+       + ", " + ", ".join(f"CASE WHEN count(payment_method) > 0 THEN count(DISTINCT CASE WHEN payment_method = {lit(v)} THEN transaction_id END) END AS {q(v)}" for v in WK_PAYS)
+       + ", " + ", ".join(f"CASE WHEN count(location) > 0 THEN count(DISTINCT CASE WHEN location = {lit(v)} THEN transaction_id END) END AS {q(v)}" for v in WK_LOCS)
+       + " FROM b GROUP BY yw)\n")
+WK_FEATURES = (["weekly_avg_repeat_purchases", "total_sales", "unique_transactions", "unique_customers",
+                "discounted_transactions"] + WK_CATS + WK_PAYS + WK_LOCS)
+
+
+def _lags(n_past, n_future):
+    parts = [f"lag({q(c)}, {i}) OVER (ORDER BY \"Year_Week\") AS {q(f'{c}_t-{i}')}"
+             for c in WK_FEATURES for i in range(1, n_past + 1)]
+    parts += [f"lead(total_sales, {i}) OVER (ORDER BY \"Year_Week\") AS y_{i}" for i in range(1, n_future + 1)]
+    return parts
+
+
+ORACLES["weekly_base"] = with_view(_WB + "SELECT \"Year_Week\", weekly_avg_repeat_purchases, total_sales, "
+                                   "unique_transactions, unique_customers, discounted_transactions FROM wk")
+ORACLES["weekly_repeat_ratio"] = with_view(_WB + "SELECT \"Year_Week\", weekly_avg_repeat_purchases FROM wk")
+ORACLES["weekly_category"] = with_view(_WB + "SELECT \"Year_Week\", " + ", ".join(q(v) for v in WK_CATS) + " FROM wk")
+ORACLES["weekly_payment"] = with_view(_WB + "SELECT \"Year_Week\", " + ", ".join(q(v) for v in WK_PAYS) + " FROM wk")
+ORACLES["weekly_location"] = with_view(_WB + "SELECT \"Year_Week\", " + ", ".join(q(v) for v in WK_LOCS) + " FROM wk")
+ORACLES["weekly_lags"] = with_view(_WB + "SELECT *, " + ", ".join(_lags(3, 0)) + " FROM wk")
+ORACLES["weekly_leads"] = with_view(_WB + "SELECT \"Year_Week\", total_sales, " + ", ".join(_lags(0, 15)) + " FROM wk")
+ORACLES["weekly_features"] = with_view(_WB + "SELECT *, " + ", ".join(_lags(30, 15)) + " FROM wk")
+ORACLES["weekly_range"] = with_view(
+    _WB + ", f AS (SELECT *, " + ", ".join(_lags(6, 1)) + " FROM wk)\n"
+    "SELECT * FROM f WHERE \"Year_Week\" >= '1996-01-01' AND \"Year_Week\" <= '2000-12'")

@@ -211,3 +211,205 @@ def q_price_master(spark, sf):
 
 def queries() -> "OrderedDict[str, callable]":
     return REGISTRY
+
+
+# ---------------------------------------------------------------- aggregates
+from ledgerlint.operators import aggregates as G  # noqa: E402
+from ledgerlint.operators import repair as RP  # noqa: E402
+from ledgerlint.operators import weekly as W  # noqa: E402
+
+NUMS = [VC.price, VC.quantity, VC.total]
+TEXTS = [VC.transaction_id, VC.customer_id, VC.category, VC.item, VC.payment, VC.location]
+
+
+def _rounded(df: DataFrame, names) -> DataFrame:
+    return df.select(*[(S.round_double(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`"))
+                       for c in df.columns])
+
+
+@register("group_mean_median")
+def q_group_mean_median(spark, sf):
+    out = G.group_mean_median(typed(spark, sf), VC.item, VC.quantity)
+    return _rounded(out, ["mean_value", "median_value"])
+
+
+@register("first_item_by_price")
+def q_first_item_by_price(spark, sf):
+    return G.first_by_order(typed(spark, sf), VC.price, VC.item, KEYS)
+
+
+@register("group_sizes")
+def q_group_sizes(spark, sf):
+    return G.group_sizes(typed(spark, sf), VC.transaction_id)
+
+
+@register("value_shares")
+def q_value_shares(spark, sf):
+    return G.value_shares(typed(spark, sf), VC.payment)
+
+
+@register("quantiles")
+def q_quantiles(spark, sf):
+    return G.quantiles(typed(spark, sf), NUMS)
+
+
+@register("describe")
+def q_describe(spark, sf):
+    return G.describe(typed(spark, sf), NUMS)
+
+
+@register("crosstab")
+def q_crosstab(spark, sf):
+    return G.crosstab(typed(spark, sf), VC.payment, VC.location, list(VR.locations)[::-1])
+
+
+@register("correlation")
+def q_correlation(spark, sf):
+    return G.correlation_pairs(typed(spark, sf), NUMS)
+
+
+@register("mode_median")
+def q_mode_median(spark, sf):
+    return G.mode_median(typed(spark, sf), [VC.quantity, VC.price])
+
+
+@register("text_lengths")
+def q_text_lengths(spark, sf):
+    return G.text_lengths(text(spark, sf), TEXTS)
+
+
+@register("column_info")
+def q_column_info(spark, sf):
+    return G.column_info(typed(spark, sf).drop(*KEYS))
+
+
+@register("share_outside")
+def q_share_outside(spark, sf):
+    return G.share_outside(typed(spark, sf), VC.quantity, low=5.0, high=45.0)
+
+
+# ---------------------------------------------------------------- repair
+def _repair_steps(spark, sf, upto: int):
+    v = typed(spark, sf)
+    if upto >= 1:
+        v = RP.fill_price(v, VC)
+    if upto >= 2:
+        v = RP.fill_item(v, KEYS, VC)
+    if upto >= 3:
+        v = RP.fill_by_group_mean(v, VC.item, VC.quantity)
+    if upto >= 4:
+        v = RP.recompute_total(v, VC)
+    if upto >= 5:
+        v = RP.fill_discount(v, VC)
+    return v
+
+
+@register("fill_price")
+def q_fill_price(spark, sf):
+    return _rounded(_repair_steps(spark, sf, 1).select(*KEYS, VC.price), [VC.price])
+
+
+@register("fill_item")
+def q_fill_item(spark, sf):
+    return _repair_steps(spark, sf, 2).select(*KEYS, VC.item)
+
+
+@register("fill_quantity")
+def q_fill_quantity(spark, sf):
+    return _rounded(_repair_steps(spark, sf, 3).select(*KEYS, VC.quantity), [VC.quantity])
+
+
+@register("recompute_total")
+def q_recompute_total(spark, sf):
+    return _rounded(_repair_steps(spark, sf, 4).select(*KEYS, VC.total), [VC.total])
+
+
+@register("fill_discount")
+def q_fill_discount(spark, sf):
+    return RP.fill_discount(typed(spark, sf), VC).select(*KEYS, VC.discount)
+
+
+@register("full_repair")
+def q_full_repair(spark, sf):
+    return _rounded(RP.full_repair(typed(spark, sf), KEYS, VC), NUMS)
+
+
+@register("impute_generic")
+def q_impute_generic(spark, sf):
+    return _rounded(RP.impute_generic(typed(spark, sf)), NUMS)
+
+
+@register("cap_outliers")
+def q_cap_outliers(spark, sf):
+    out = RP.cap_outliers(typed(spark, sf).select(*KEYS, *NUMS), ignore=KEYS)
+    return _rounded(out, NUMS)
+
+
+@register("iqr_outliers")
+def q_iqr_outliers(spark, sf):
+    out = RP.iqr_outlier_rows(typed(spark, sf).select(*KEYS, VC.total), VC.total)
+    return _rounded(out, [VC.total, "lower_bound", "upper_bound"])
+
+
+@register("model_input_clean")
+def q_model_input_clean(spark, sf):
+    return RP.model_input_clean(typed(spark, sf).drop(VC.transaction_id, VC.customer_id),
+                                target=VC.quantity, numeric=[VC.price, VC.total, VC.quantity],
+                                categorical=[VC.category, VC.item, VC.payment, VC.location, VC.discount],
+                                date_col=VC.date)
+
+
+# ---------------------------------------------------------------- weekly
+def _weekly(spark, sf):
+    return W.weekly_aggregates(typed(spark, sf), VC)
+
+
+@register("weekly_base")
+def q_weekly_base(spark, sf):
+    return _weekly(spark, sf).select(W.WEEK, *W.BASE_FEATURES)
+
+
+@register("weekly_repeat_ratio")
+def q_weekly_repeat_ratio(spark, sf):
+    return _weekly(spark, sf).select(W.WEEK, "weekly_avg_repeat_purchases")
+
+
+@register("weekly_category")
+def q_weekly_category(spark, sf):
+    wk = _weekly(spark, sf)
+    return wk.select(W.WEEK, *[c for c in wk.columns if c in VR.categories])
+
+
+@register("weekly_payment")
+def q_weekly_payment(spark, sf):
+    wk = _weekly(spark, sf)
+    return wk.select(W.WEEK, *[F.col(f"`{c}`") for c in wk.columns
+                               if c in ("Cash", "Credit Card", "Crypto", "Digital Wallet")])
+
+
+@register("weekly_location")
+def q_weekly_location(spark, sf):
+    wk = _weekly(spark, sf)
+    return wk.select(W.WEEK, *[F.col(f"`{c}`") for c in wk.columns if c in VR.locations])
+
+
+@register("weekly_lags")
+def q_weekly_lags(spark, sf):
+    return W.add_lags_leads(_weekly(spark, sf), 3, 0)
+
+
+@register("weekly_leads")
+def q_weekly_leads(spark, sf):
+    out = W.add_lags_leads(_weekly(spark, sf), 0, 15)
+    return out.select(W.WEEK, "total_sales", *[f"y_{i}" for i in range(1, 16)])
+
+
+@register("weekly_features")
+def q_weekly_features(spark, sf):
+    return W.weekly_features(typed(spark, sf), VC, n_past_week=30, n_future_week=15)
+
+
+@register("weekly_range")
+def q_weekly_range(spark, sf):
+    return W.weekly_features(typed(spark, sf), VC, n_past_week=6, n_future_week=1,
+                             start_date="1996-01-01", end_date="2000-12")
