@@ -394,3 +394,153 @@ ORACLES["weekly_features"] = with_view(_WB + "SELECT *, " + ", ".join(_lags(30,
 ORACLES["weekly_range"] = with_view(
     _WB + ", f AS (SELECT *, " + ", ".join(_lags(6, 1)) + " FROM wk)\n"
     "SELECT * FROM f WHERE \"Year_Week\" >= '1996-01-01' AND \"Year_Week\" <= '2000-12'")
+
+
+# ---------------------------------------------------------------- projections / filters
+ORACLES["negative_rows"] = with_view(
+    f"SELECT {KEYS}, quantity, price FROM rt WHERE TRY_CAST(quantity AS DOUBLE) < 0 OR TRY_CAST(price AS DOUBLE) < 0")
+ORACLES["co_missing"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, count_if({c} IS NULL{' OR isnan(' + c + ')' if c in NUMS else ''}) AS missing_count "
+    "FROM rv WHERE price IS NULL OR isnan(price)" for c in COLS]))
+ORACLES["equality_distinct"] = with_view("SELECT DISTINCT item FROM rv WHERE price = 8.0")
+ORACLES["numeric_coerce"] = with_view(
+    f"SELECT {KEYS}, TRY_CAST(price AS DOUBLE) AS price, TRY_CAST(total_spent AS DOUBLE) AS total_spent FROM rt "
+    "WHERE TRY_CAST(price AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(price AS DOUBLE)) "
+    "AND TRY_CAST(total_spent AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(total_spent AS DOUBLE))")
+ORACLES["bool_normalise"] = with_view(
+    f"SELECT {KEYS}, CAST(CASE WHEN discount_applied IN ('True', 'true', '1') THEN 1 ELSE 0 END AS INTEGER) "
+    "AS discount_applied FROM rt")
+ORACLES["null_drop"] = with_view(f"SELECT {KEYS}, quantity FROM rv WHERE quantity IS NOT NULL AND NOT isnan(quantity)")
+
+# ---------------------------------------------------------------- scalar functions
+_D = "CAST(try_strptime(transaction_date, '%Y-%m-%d') AS DATE)"
+_Q = "TRY_CAST(quantity AS DOUBLE)"
+_P = "TRY_CAST(price AS DOUBLE)"
+_T = "TRY_CAST(total_spent AS DOUBLE)"
+ORACLES["scalar_functions"] = with_view(
+    f"SELECT {KEYS}, coalesce({full('item', 'Item_[0-9]+_[A-Z]+')}, false) AS f_full_match, "
+    f"{blank('location')} AS f_blank, CAST(length(price) AS INTEGER) AS f_length, "
+    f"strftime({_D} - CAST(isodow({_D}) - 1 AS INTEGER), '%Y-%m-%d') AS f_week, dayname({_D}) AS f_day_name, "
+    f"CAST(day({_D}) AS INTEGER) AS f_day, CAST({_D} AS VARCHAR) AS f_date, CAST(year({_D}) AS INTEGER) AS f_year, "
+    f"CAST(month({_D}) AS INTEGER) AS f_month, ({_Q} = floor({_Q})) AS f_whole, "
+    f"{r6(f'{_T} / nullif({_Q}, 0)')} AS f_divide, {r6(f'{_P} * {_Q}')} AS f_multiply, "
+    "coalesce(discount_applied, 'False') AS f_fill, "
+    f"(payment_method IN {in_list(PAYS)}) AS f_member, CASE WHEN {_Q} > 40 THEN 40.0 ELSE {_Q} END AS f_clamp, "
+    "(transaction_date <= '1998-12-31') AS f_text_compare, "
+    f"{r6(f'coalesce(100.0 * {_Q} / 50.0, 0)')} AS f_percent, round({_P}, 0) AS f_round, "
+    f"({ABBR_CASE}) AS f_lookup, ({_P} IS NOT NULL) AS f_is_number FROM rt")
+
+# ---------------------------------------------------------------- sorts, limits, unions
+ORACLES["sorted_first_rows"] = with_view(
+    f"SELECT {KEYS}, customer_id, total_spent FROM rv ORDER BY customer_id NULLS LAST, {KEYS} LIMIT 5")
+ORACLES["best_row"] = with_view(
+    f"SELECT {KEYS}, item, total_spent FROM rv ORDER BY total_spent DESC NULLS LAST, {KEYS} LIMIT 1")
+_lo_t, _hi_t = _fences("total_spent")
+_CAPPED_T = f"CASE WHEN total_spent < {_lo_t} THEN {_lo_t} WHEN total_spent > {_hi_t} THEN {_hi_t} ELSE total_spent END"
+ORACLES["union_tagged"] = with_view(
+    f"SELECT {KEYS}, {r6('total_spent')} AS total_spent, 'Before' AS \"DataFrame\" FROM rv UNION ALL "
+    f"SELECT {KEYS}, {r6(_CAPPED_T)} AS total_spent, 'After' AS \"DataFrame\" FROM rv")
+
+# ---------------------------------------------------------------- profiling
+_ROLE = {"price": "numeric", "quantity": "numeric", "total_spent": "numeric", "discount_applied": "target"}
+ORACLES["column_roles"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, '{_ROLE.get(c, 'categorical')}' AS role, count({c}) AS non_null FROM rv" for c in COLS]))
+
+
+def _profile_part(i, c):
+    dtype = _DTYPES.get(c, "string")
+    is_num = c in NUMS
+    s = f"CAST({c} AS VARCHAR)"
+    if is_num:
+        vtype = f"CASE WHEN coalesce(bool_and({c} = floor({c})), true) THEN 'Discrete' ELSE 'Continuous' END"
+    else:
+        ratio = f"CAST(count(DISTINCT {s}) AS DOUBLE) / nullif(count({c}), 0)"
+        vtype = f"CASE WHEN {ratio} IS NULL THEN NULL WHEN {ratio} < 0.2 THEN 'Ordinal' ELSE 'Nominal' END"
+    return (f"SELECT '{c}' AS column, CAST({i} AS INTEGER) AS position, '{dtype}' AS data_type, "
+            f"count(DISTINCT {s}) AS unique_values, {vtype} AS variable_type, "
+            f"coalesce(list_sort(list_distinct(list(CAST(length({s}) AS INTEGER)))), []) AS lengths, "
+            f"{'CAST(min(' + c + ') AS DOUBLE)' if is_num else 'CAST(NULL AS DOUBLE)'} AS min_value, "
+            f"{'CAST(max(' + c + ') AS DOUBLE)' if is_num else 'CAST(NULL AS DOUBLE)'} AS max_value, "
+            f"{'CAST(NULL AS DOUBLE)' if is_num else r6(f'avg(length({s}))')} AS avg_length FROM rv")
+
+
+ORACLES["column_profile"] = with_view(_union_report([_profile_part(i, c) for i, c in enumerate(COLS)]))
+ORACLES["variable_types"] = with_view(
+    "SELECT \"column\", variable_type FROM (" + _union_report([_profile_part(i, c) for i, c in enumerate(COLS)]) + ")")
+ORACLES["discount_by_day"] = with_view(
+    f", dd AS (SELECT {_D.replace('transaction_date', 'transaction_date')} AS d FROM rv "
+    f"WHERE discount_applied AND {_D} IS NOT NULL), "
+    "kv AS (SELECT 'weekday' AS kind, dayname(d) AS value FROM dd UNION ALL "
+    "SELECT 'day_of_month' AS kind, CAST(day(d) AS VARCHAR) AS value FROM dd)\n"
+    f"SELECT kind, value, count(*) AS n_rows, {r6('count(*) / (SELECT count(*) FROM dd)')} AS share "
+    "FROM kv GROUP BY kind, value")
+
+# ---------------------------------------------------------------- statistics
+ORACLES["one_hot"] = with_view(
+    f"SELECT {KEYS}, price, quantity, "
+    + ", ".join(f"CAST(coalesce(payment_method, 'nan') = {lit(v)} AS DOUBLE) AS {q('payment_method_' + v)}"
+                for v in WK_PAYS)
+    + ", " + ", ".join(f"CAST(coalesce(location, 'nan') = {lit(v)} AS DOUBLE) AS {q('location_' + v)}"
+                       for v in WK_LOCS + ["nan"])
+    + ", discount_applied FROM rv")
+_CHI_COLS = ["category", "payment_method", "location", "item"]
+_CHI = (", cells AS (" + _union_report([
+    f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS lvl, CAST(discount_applied AS VARCHAR) AS tgt, count(*) AS n "
+    f"FROM rv WHERE {c} IS NOT NULL AND discount_applied IS NOT NULL GROUP BY ALL" for c in _CHI_COLS]) + "), "
+    "rr AS (SELECT col, lvl, sum(n) AS r FROM cells GROUP BY ALL), "
+    "cc AS (SELECT col, tgt, sum(n) AS c FROM cells GROUP BY ALL), "
+    "tt AS (SELECT col, sum(n) AS nn, count(DISTINCT lvl) AS nl, count(DISTINCT tgt) AS nt FROM cells GROUP BY col), "
+    "grid AS (SELECT rr.col, CAST(rr.r AS DOUBLE) * cc.c / tt.nn AS e, CAST(coalesce(cells.n, 0) AS DOUBLE) AS o, "
+    "tt.nl, tt.nt, tt.nn FROM rr JOIN cc ON rr.col = cc.col JOIN tt ON tt.col = rr.col "
+    "LEFT JOIN cells ON cells.col = rr.col AND cells.lvl = rr.lvl AND cells.tgt = cc.tgt)\n")
+ORACLES["chi_square"] = with_view(
+    _CHI + "SELECT col AS column, round(CASE WHEN (nl - 1) * (nt - 1) = 1 "
+    "THEN sum(power(abs(o - e) - least(0.5, abs(o - e)), 2) / e) ELSE sum(o * o / e) - max(nn) END, 6) AS statistic, "
+    "CAST((nl - 1) * (nt - 1) AS BIGINT) AS dof FROM grid GROUP BY col, nl, nt")
+ORACLES["correlation_pairs"] = with_view(
+    ", rd AS (SELECT price, quantity, total_spent, CAST(discount_applied AS DOUBLE) AS discount_applied FROM rv)\n"
+    + _union_report([f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})')} AS r FROM rd"
+                     for i, a in enumerate(NUMS + ['discount_applied'])
+                     for b in (NUMS + ['discount_applied'])[i + 1:]]))
+ORACLES["scale"] = with_view(
+    f"SELECT {KEYS}, " + ", ".join(
+        f"{r6(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()')} AS {c}" for c in NUMS) + " FROM rv")
+
+# ---------------------------------------------------------------- chart tables
+ORACLES["missing_bars"] = with_view(
+    "SELECT \"column\", missing_pct FROM (" + _missing_report(False, "rv") + ") WHERE missing_pct > 0")
+ORACLES["box_summary"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, count({c}) AS n, CAST(min({c}) AS DOUBLE) AS min, {r6(f'quantile_cont({c}, 0.25)')} AS q1, "
+    f"{r6(f'quantile_cont({c}, 0.5)')} AS median, {r6(f'quantile_cont({c}, 0.75)')} AS q3, "
+    f"CAST(max({c}) AS DOUBLE) AS max FROM rv WHERE {c} IS NOT NULL" for c in NUMS]))
+
+
+def _hist(c, by=None):
+    lo = f"(SELECT min({c}) FROM rv)"
+    hi = f"(SELECT max({c}) FROM rv)"
+    b = f"least(floor(({c} - {lo}) / ({hi} - {lo}) * 10), 9)"
+    grp = f", CAST({by} AS VARCHAR) AS {by}" if by else ""
+    where = f" AND {by} IS NOT NULL" if by else ""
+    gb = f", CAST({by} AS VARCHAR)" if by else ""
+    return (f"SELECT '{c}' AS column, CAST({b} AS INTEGER) AS bucket{grp}, "
+            f"{r6(f'{lo} + {b} * (({hi} - {lo}) / 10)')} AS bucket_start, count(*) AS n FROM rv "
+            f"WHERE {c} IS NOT NULL{where} GROUP BY {b}{gb}")
+
+
+ORACLES["histogram"] = with_view(_union_report([_hist(c) for c in NUMS]))
+ORACLES["class_histogram"] = with_view(_union_report([_hist(c, "discount_applied") for c in ["quantity", "total_spent"]]))
+ORACLES["category_counts"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, {c} AS value, count(*) AS n FROM rv WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in ["category", "payment_method", "location"]]))
+ORACLES["class_counts"] = with_view(_union_report([
+    f"SELECT '{c}' AS column, {c} AS value, CAST(discount_applied AS VARCHAR) AS discount_applied, count(*) AS n "
+    f"FROM rv WHERE {c} IS NOT NULL AND discount_applied IS NOT NULL GROUP BY ALL"
+    for c in ["category", "payment_method", "location"]]))
+ORACLES["status_share"] = with_view(
+    f"SELECT CAST(discount_applied AS VARCHAR) AS class, count(*) AS n, "
+    f"{r6('100.0 * count(*) / (SELECT count(*) FROM rv)')} AS pct FROM rv GROUP BY discount_applied")
+ORACLES["before_after_box"] = with_view(
+    f", u AS (SELECT total_spent AS x, 'Before' AS g FROM rv UNION ALL SELECT {_CAPPED_T} AS x, 'After' AS g FROM rv)\n"
+    f"SELECT 'total_spent' AS column, g AS \"DataFrame\", count(x) AS n, CAST(min(x) AS DOUBLE) AS min, "
+    f"{r6('quantile_cont(x, 0.25)')} AS q1, {r6('quantile_cont(x, 0.5)')} AS median, "
+    f"{r6('quantile_cont(x, 0.75)')} AS q3, CAST(max(x) AS DOUBLE) AS max FROM u WHERE x IS NOT NULL GROUP BY g")

@@ -413,3 +413,201 @@ def q_weekly_features(spark, sf):
 def q_weekly_range(spark, sf):
     return W.weekly_features(typed(spark, sf), VC, n_past_week=6, n_future_week=1,
                              start_date="1996-01-01", end_date="2000-12")
+
+
+# ---------------------------------------------------------------- projections / filters
+from ledgerlint.operators import charts as CH  # noqa: E402
+from ledgerlint.operators import profile as PF  # noqa: E402
+from ledgerlint.operators import stats as ST  # noqa: E402
+
+
+@register("negative_rows")
+def q_negative_rows(spark, sf):
+    t = text(spark, sf)
+    q, p = S.as_number(t, VC.quantity), S.as_number(t, VC.price)
+    return t.where((q < 0) | (p < 0)).select(*KEYS, VC.quantity, VC.price)
+
+
+@register("co_missing")
+def q_co_missing(spark, sf):
+    return C.co_missing(typed(spark, sf), VC.price, VC.all())
+
+
+@register("equality_distinct")
+def q_equality_distinct(spark, sf):
+    return typed(spark, sf).where(F.col(VC.price) == 8.0).select(VC.item).distinct()
+
+
+@register("numeric_coerce")
+def q_numeric_coerce(spark, sf):
+    t = text(spark, sf).select(*KEYS, VC.price, VC.total)
+    return RP.coerce_numeric(t, [VC.price, VC.total])
+
+
+@register("bool_normalise")
+def q_bool_normalise(spark, sf):
+    t = text(spark, sf)
+    return t.select(*KEYS, S.text_to_flag(F.col(VC.discount)).alias(VC.discount))
+
+
+@register("null_drop")
+def q_null_drop(spark, sf):
+    return typed(spark, sf).na.drop(subset=[VC.quantity]).select(*KEYS, VC.quantity)
+
+
+# ---------------------------------------------------------------- scalar functions
+@register("scalar_functions")
+def q_scalar_functions(spark, sf):
+    t = text(spark, sf)
+    d = S.strict_date(F.col(VC.date))
+    q = S.as_number(t, VC.quantity)
+    p = S.as_number(t, VC.price)
+    tot = S.as_number(t, VC.total)
+    return t.select(
+        *KEYS,
+        F.coalesce(S.full_match(F.col(VC.item), "Item_[0-9]+_[A-Z]+"), F.lit(False)).alias("f_full_match"),
+        S.is_blank(F.col(VC.location)).alias("f_blank"),
+        S.text_length(F.col(VC.price)).alias("f_length"),
+        S.week_start(d).alias("f_week"),
+        S.day_name(d).alias("f_day_name"),
+        F.dayofmonth(d).alias("f_day"),
+        d.cast("string").alias("f_date"),
+        F.year(d).alias("f_year"), F.month(d).alias("f_month"),
+        S.is_whole(q).alias("f_whole"),
+        S.round_double(S.safe_divide(tot, q)).alias("f_divide"),
+        S.round_double(p * q).alias("f_multiply"),
+        F.coalesce(F.col(VC.discount), F.lit("False")).alias("f_fill"),
+        F.col(VC.payment).isin(list(VR.payment_methods)).alias("f_member"),
+        F.when(q > 40, F.lit(40.0)).otherwise(q).alias("f_clamp"),
+        (F.col(VC.date) <= F.lit("1998-12-31")).alias("f_text_compare"),
+        S.round_double(S.percent(q, F.lit(50.0))).alias("f_percent"),
+        F.round(p, 0).alias("f_round"),
+        S.map_lookup(VR.abbreviation_map(), F.col(VC.category)).alias("f_lookup"),
+        S.is_number(t, VC.price).alias("f_is_number"),
+    )
+
+
+# ---------------------------------------------------------------- sorts, limits, unions
+@register("sorted_first_rows")
+def q_sorted_first_rows(spark, sf):
+    v = typed(spark, sf)
+    return (v.orderBy(F.col(VC.customer_id).asc_nulls_last(), *KEYS).limit(5)
+             .select(*KEYS, VC.customer_id, VC.total))
+
+
+@register("best_row")
+def q_best_row(spark, sf):
+    v = typed(spark, sf)
+    return (v.orderBy(F.col(VC.total).desc_nulls_last(), *KEYS).limit(1)
+             .select(*KEYS, VC.item, VC.total))
+
+
+def _capped(spark, sf):
+    v = typed(spark, sf).select(*KEYS, *NUMS)
+    return v, RP.cap_outliers(v, ignore=KEYS)
+
+
+@register("union_tagged")
+def q_union_tagged(spark, sf):
+    before, after = _capped(spark, sf)
+    return _rounded(CH.tagged_union(before, after, KEYS + [VC.total]), [VC.total])
+
+
+# ---------------------------------------------------------------- profiling
+@register("column_roles")
+def q_column_roles(spark, sf):
+    return PF.column_roles_table(typed(spark, sf).drop(*KEYS), target=VC.discount)
+
+
+@register("column_profile")
+def q_column_profile(spark, sf):
+    return PF.column_profile(typed(spark, sf), VC.all())
+
+
+@register("variable_types")
+def q_variable_types(spark, sf):
+    return PF.column_profile(typed(spark, sf), VC.all()).select("column", "variable_type")
+
+
+@register("sample_values")
+def q_sample_values(spark, sf):
+    return PF.sample_values(typed(spark, sf), VC.all())
+
+
+@register("discount_by_day")
+def q_discount_by_day(spark, sf):
+    return PF.discount_by_day(typed(spark, sf), VC.date, VC.discount)
+
+
+# ---------------------------------------------------------------- statistics
+CATS4 = [VC.category, VC.payment, VC.location, VC.item]
+
+
+@register("one_hot")
+def q_one_hot(spark, sf):
+    v = typed(spark, sf)
+    return ST.one_hot(v, [VC.payment, VC.location], KEYS + [VC.price, VC.quantity], VC.discount)
+
+
+@register("chi_square")
+def q_chi_square(spark, sf):
+    return ST.chi_square_statistics(typed(spark, sf), CATS4, VC.discount)
+
+
+@register("chi_square_pvalues")
+def q_chi_square_pvalues(spark, sf):
+    return ST.chi_square_test(typed(spark, sf), CATS4, VC.discount)
+
+
+@register("correlation_pairs")
+def q_correlation_pairs(spark, sf):
+    v = typed(spark, sf).withColumn(VC.discount, F.col(VC.discount).cast("double"))
+    return G.correlation_pairs(v, NUMS + [VC.discount])
+
+
+@register("scale")
+def q_scale(spark, sf):
+    v = typed(spark, sf).select(*KEYS, *NUMS)
+    return _rounded(ST.standardize(v, NUMS), NUMS)
+
+
+# ---------------------------------------------------------------- chart tables
+@register("missing_bars")
+def q_missing_bars(spark, sf):
+    return CH.missing_bars(typed(spark, sf), VC.all())
+
+
+@register("box_summary")
+def q_box_summary(spark, sf):
+    return CH.box_summary(typed(spark, sf), NUMS)
+
+
+@register("histogram")
+def q_histogram(spark, sf):
+    return CH.histogram(typed(spark, sf), NUMS, bins=10)
+
+
+@register("category_counts")
+def q_category_counts(spark, sf):
+    return CH.category_counts(typed(spark, sf), [VC.category, VC.payment, VC.location])
+
+
+@register("class_histogram")
+def q_class_histogram(spark, sf):
+    return CH.histogram(typed(spark, sf), [VC.quantity, VC.total], bins=10, by=VC.discount)
+
+
+@register("class_counts")
+def q_class_counts(spark, sf):
+    return CH.category_counts(typed(spark, sf), [VC.category, VC.payment, VC.location], by=VC.discount)
+
+
+@register("status_share")
+def q_status_share(spark, sf):
+    return CH.class_counts(typed(spark, sf), VC.discount)
+
+
+@register("before_after_box")
+def q_before_after_box(spark, sf):
+    before, after = _capped(spark, sf)
+    return CH.before_after_box(before, after, [VC.total])
