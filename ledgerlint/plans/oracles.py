@@ -544,3 +544,36 @@ ORACLES["before_after_box"] = with_view(
     f"SELECT 'total_spent' AS column, g AS \"DataFrame\", count(x) AS n, CAST(min(x) AS DOUBLE) AS min, "
     f"{r6('quantile_cont(x, 0.25)')} AS q1, {r6('quantile_cont(x, 0.5)')} AS median, "
     f"{r6('quantile_cont(x, 0.75)')} AS q3, CAST(max(x) AS DOUBLE) AS max FROM u WHERE x IS NOT NULL GROUP BY g")
+
+
+# ---------------------------------------------------------------- sources and sinks
+_FIT_INTS = {"unique_transactions", "unique_customers", "discounted_transactions"} | set(WK_PAYS) | set(WK_LOCS)
+_FIT_COLS = (["Year_Week"] + WK_FEATURES + [f"weekly_avg_repeat_purchases_t-{i}" for i in range(1, 31)]
+             + [f"total_sales_t-{i}" for i in range(1, 31)] + ["unique_transactions_t-1", "unique_transactions_t-2"])
+
+
+def _fit_expr(c):
+    if c == "Year_Week":
+        return '"Year_Week"'
+    base, _, lag = c.rpartition("_t-")
+    src = f"lag({q(base)}, {lag}) OVER (ORDER BY \"Year_Week\")" if base and lag.isdigit() else q(c)
+    typ = "BIGINT" if c in _FIT_INTS else "DOUBLE"
+    return f"CAST({src} AS {typ}) AS {q(c)}"
+
+
+ORACLES["schema_fit"] = with_view(_WB + "SELECT " + ", ".join(_fit_expr(c) for c in _FIT_COLS) + " FROM wk")
+_CONS = [
+    ("missing transaction id", "transaction_id IS NOT NULL"),
+    ("price not a number", "price IS NULL OR TRY_CAST(price AS DOUBLE) IS NOT NULL"),
+    ("quantity not a number", "quantity IS NULL OR TRY_CAST(quantity AS DOUBLE) IS NOT NULL"),
+    ("total not a number", "total_spent IS NULL OR TRY_CAST(total_spent AS DOUBLE) IS NOT NULL"),
+    ("date not a date", "transaction_date IS NULL OR try_strptime(transaction_date, '%Y-%m-%d') IS NOT NULL"),
+]
+ORACLES["good_reject_split"] = with_view(
+    "SELECT 'good' AS outcome, '' AS reason, count(*) AS n_rows FROM rt WHERE "
+    + " AND ".join(f"coalesce({c}, false)" for _, c in _CONS) + "\nUNION ALL\n"
+    + _union_report([f"SELECT 'rejected' AS outcome, {lit(r)} AS reason, count(*) AS n_rows FROM rt "
+                     f"WHERE NOT coalesce({c}, false) HAVING count(*) > 0" for r, c in _CONS]))
+ORACLES["json_rows"] = with_view(
+    "SELECT CAST(json_object('transaction_id', transaction_id, 'customer_id', customer_id, 'item', item, "
+    "'price', price, 'quantity', quantity, 'discount_applied', discount_applied) AS VARCHAR) AS json FROM rv")

@@ -611,3 +611,75 @@ def q_status_share(spark, sf):
 def q_before_after_box(spark, sf):
     before, after = _capped(spark, sf)
     return CH.before_after_box(before, after, [VC.total])
+
+
+# ---------------------------------------------------------------- sources and sinks
+from ledgerlint.sources import files as IO  # noqa: E402
+
+
+def weekly_target_columns(weekly: DataFrame) -> tuple[list, list]:
+    """The fixed weekly target's column rule: key, current features, 30 lags
+    of the repeat ratio and of total sales, 2 lags of unique transactions."""
+    feats = [c for c in weekly.columns if c != W.WEEK]
+    cols = ([W.WEEK] + feats + [f"weekly_avg_repeat_purchases_t-{i}" for i in range(1, 31)]
+            + [f"total_sales_t-{i}" for i in range(1, 31)] + ["unique_transactions_t-1", "unique_transactions_t-2"])
+    pivots = [c for c in feats if c not in W.BASE_FEATURES and c not in VR.categories]
+    ints = ["unique_transactions", "unique_customers", "discounted_transactions"] + pivots
+    return cols, ints
+
+
+@register("schema_fit")
+def q_schema_fit(spark, sf):
+    wk = _weekly(spark, sf)
+    cols, ints = weekly_target_columns(wk)
+    feats = W.add_lags_leads(wk, 30, 0, features=["weekly_avg_repeat_purchases", "total_sales",
+                                                  "unique_transactions"])
+    return W.fit_target(feats, cols, ints)
+
+
+def _target_constraints(t):
+    return {
+        "missing transaction id": F.col(VC.transaction_id).isNotNull(),
+        "price not a number": F.col(VC.price).isNull() | S.is_number(t, VC.price),
+        "quantity not a number": F.col(VC.quantity).isNull() | S.is_number(t, VC.quantity),
+        "total not a number": F.col(VC.total).isNull() | S.is_number(t, VC.total),
+        "date not a date": F.col(VC.date).isNull() | S.strict_date(F.col(VC.date)).isNotNull(),
+    }
+
+
+@register("good_reject_split")
+def q_good_reject_split(spark, sf):
+    t = text(spark, sf)
+    good, bad = IO.good_reject_split(t, _target_constraints(t))
+    g = good.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("good").alias("outcome"),
+                                                           F.lit("").alias("reason"), "n_rows")
+    b = (bad.select(F.explode("reject_reasons").alias("reason"))
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(F.lit("rejected").alias("outcome"), "reason", "n_rows"))
+    return g.unionByName(b)
+
+
+@register("json_rows")
+def q_json_rows(spark, sf):
+    v = typed(spark, sf)
+    return IO.json_rows(v, [VC.transaction_id, VC.customer_id, VC.item, VC.price, VC.quantity,
+                            VC.discount])
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    t = text(spark, sf).drop(*KEYS)
+    path = IO.scratch_path(spark, "csv")
+    IO.write_csv(t, path)
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in VC.all()])
+    return IO.read_csv(spark, path, schema=schema)
+
+
+@register("check_after_write")
+def q_check_after_write(spark, sf):
+    out = q_schema_fit(spark, sf)
+    path = IO.scratch_path(spark, "weekly")
+    out.write.mode("overwrite").parquet(path)
+    n, first = IO.check_after_write(spark, path, order_by=[W.WEEK])
+    return first.select(F.lit(n).alias("rows_written"), W.WEEK, "total_sales")
