@@ -577,3 +577,18 @@ ORACLES["good_reject_split"] = with_view(
 ORACLES["json_rows"] = with_view(
     "SELECT CAST(json_object('transaction_id', transaction_id, 'customer_id', customer_id, 'item', item, "
     "'price', price, 'quantity', quantity, 'discount_applied', discount_applied) AS VARCHAR) AS json FROM rv")
+
+
+# ---------------------------------------------------------------- models
+ORACLES["date_features"] = with_view(
+    f"SELECT {KEYS}, CAST(year({_D}) AS INTEGER) AS transaction_date_year, "
+    f"CAST(month({_D}) AS INTEGER) AS transaction_date_month, CAST(day({_D}) AS INTEGER) AS transaction_date_day FROM rv")
+ORACLES["impute_mean_mode"] = with_view(
+    f"SELECT {KEYS}, " + ", ".join(f"{r6(f'coalesce({c}, (SELECT avg({c}) FROM rv))')} AS {c}" for c in NUMS)
+    + ", " + ", ".join(f"coalesce({c}, (SELECT mode({c} ORDER BY {c}) FROM rv)) AS {c}"
+                       for c in ["category", "payment_method", "location"]) + " FROM rv")
+ORACLES["stratified_folds"] = with_view(
+    ", cls AS (SELECT CAST(discount_applied AS DOUBLE) AS label, count(*) AS n FROM rv "
+    "WHERE discount_applied IS NOT NULL GROUP BY 1)\n"
+    "SELECT label AS discount_applied, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n_rows "
+    "FROM cls, range(5) t(f)")

@@ -683,3 +683,81 @@ def q_check_after_write(spark, sf):
     out.write.mode("overwrite").parquet(path)
     n, first = IO.check_after_write(spark, path, order_by=[W.WEEK])
     return first.select(F.lit(n).alias("rows_written"), W.WEEK, "total_sales")
+
+
+# ---------------------------------------------------------------- models
+from ledgerlint.operators import models as M  # noqa: E402
+
+MODEL_NUM = [VC.price, VC.quantity, VC.total]
+MODEL_CAT = [VC.category, VC.payment, VC.location]
+
+
+def _class_input(spark, sf):
+    return typed(spark, sf).where(F.col(VC.discount).isNotNull()) \
+                           .withColumn(VC.discount, F.col(VC.discount).cast("double"))
+
+
+@register("date_features")
+def q_date_features(spark, sf):
+    return M.add_date_features(typed(spark, sf).select(*KEYS, VC.date), VC.date)
+
+
+@register("impute_mean_mode")
+def q_impute_mean_mode(spark, sf):
+    v = typed(spark, sf).select(*KEYS, *MODEL_NUM, *MODEL_CAT)
+    from pyspark.ml.feature import Imputer
+    imp = Imputer(inputCols=MODEL_NUM, outputCols=MODEL_NUM, strategy="mean").fit(v).transform(v)
+    return _rounded(M.impute_mode(imp, MODEL_CAT), MODEL_NUM)
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf):
+    v = _class_input(spark, sf).select(*KEYS, VC.discount)
+    folds = M.stratified_folds(v, VC.discount, k=5, seed=42, id_cols=KEYS)
+    return folds.groupBy(VC.discount, "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("rebalance")
+def q_rebalance(spark, sf):
+    data = M.prepare(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT)
+    out = M.rebalance(data.select("features", VC.discount), VC.discount)
+    return out.groupBy(VC.discount).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("select_model")
+def q_select_model(spark, sf):
+    data = M.prepare(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT)
+    cands = M.default_classifiers(VC.discount)
+    return M.select_model(data, VC.discount, {k: cands[k] for k in ("lr", "dt", "rf")}, metric="auc", k=3)
+
+
+@register("grid_rmse")
+def q_grid_rmse(spark, sf):
+    from pyspark.ml.regression import LinearRegression
+    data = M.prepare(typed(spark, sf), VC.quantity, [VC.price, VC.total], MODEL_CAT)
+    r = M.grid_rmse(data, LinearRegression(featuresCol="features", labelCol=VC.quantity),
+                    {"regParam": [0.0, 0.1]}, VC.quantity, k=3)
+    return spark.createDataFrame([(r["best_score"], r["best_params"], r["fit_time"], r["score_time"])],
+                                 "best_score double, best_params string, fit_time double, score_time double")
+
+
+@register("compare_regressors")
+def q_compare_regressors(spark, sf):
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+    data = M.prepare(typed(spark, sf), VC.quantity, [VC.price, VC.total], MODEL_CAT)
+    models = {"lr": LinearRegression(featuresCol="features", labelCol=VC.quantity),
+              "dt": DecisionTreeRegressor(featuresCol="features", labelCol=VC.quantity, seed=42)}
+    params = {"lr": {"regParam": [0.0, 0.1]}, "dt": {"maxDepth": [3, 5]}}
+    return M.compare_regressors(data, models, params, VC.quantity, k=3)
+
+
+@register("forest_importance")
+def q_forest_importance(spark, sf):
+    v = M.add_date_features(typed(spark, sf).drop(*KEYS, VC.transaction_id, VC.customer_id), VC.date)
+    num = [VC.price, VC.total, f"{VC.date}_year", f"{VC.date}_month", f"{VC.date}_day"]
+    return M.forest_importance(v, VC.quantity, num, MODEL_CAT + [VC.item], num_trees=10)
+
+
+@register("compare_by_recall")
+def q_compare_by_recall(spark, sf):
+    return M.compare_by_recall(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT, k=3)
