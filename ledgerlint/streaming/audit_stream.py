@@ -42,6 +42,8 @@ def weekly_totals_stream(stream: DataFrame, event_time: str, value: str, key: st
                          watermark: str = "1 day") -> DataFrame:
     """Monday-based weekly sum, row count and approximate distinct keys."""
     w = F.window(F.col(event_time), "7 days", "7 days", MONDAY_OFFSET)
+    # watermarks need TIMESTAMP; the driver's event times are TIMESTAMP_NTZ
+    stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return (stream.withWatermark(event_time, watermark)
                   .groupBy(w.alias("week"))
                   .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n_rows"),
