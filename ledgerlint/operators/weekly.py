@@ -1,14 +1,14 @@
 """Weekly feature table (E1: G1-G4, J2, W1, W2, P6).
 
-Plan (one scan of the transactions, one large shuffle):
-
-1. ``L1`` = aggregate by (week, transaction, customer): row count, partial
-   sums of total / discount / per-category totals, and per-payment and
-   per-location presence flags. Spark combines this map-side, so a hot
-   transaction or customer is one row per task before the shuffle.
-2. From ``L1`` (already reduced, exchange reused): by (week, transaction)
-   for the distinct-transaction pivots, by (week, customer) for distinct
-   customers and the repeat ratio, and by week for the sums.
+Plan (one evaluation of the source, three partially aggregated shuffles):
+
+1. The narrow weekly projection (8 columns) is persisted, so a joined
+   source is evaluated once for the pivot levels and all three branches.
+2. Each branch aggregates at its own grain, combined map-side (a hot
+   transaction or customer is one row per task before its shuffle): by
+   week for the sums (a tiny shuffle), by (week, transaction) for the
+   distinct-transaction pivots, by (week, customer) for distinct customers
+   and the repeat ratio.
 3. The three week-level tables (one row per week; bounded by the calendar,
    not by the data) are joined on the week key and cut from the lineage.
 4. Lags and leads run over that small table with one window ordered by
@@ -20,6 +20,7 @@ would cause (one copy of every input row per distinct expression).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,25 @@ def distinct_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list:
     return sorted(r[0] for r in vals)
 
 
+def pivot_levels(df: DataFrame, columns: list[str], max_levels: int = 1000) -> dict:
+    """Sorted distinct non-null values of several pivot columns in one job.
+
+    (column, value) pairs are de-duplicated by Spark; at most
+    ``max_levels`` per column (plus one, to detect overflow) come back.
+    """
+    parts = [F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]
+    pairs = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+               .where(F.col("v").isNotNull()).distinct())
+    rows = pairs.limit(len(columns) * (max_levels + 1)).collect()
+    out = {c: [] for c in columns}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    for c, vals in out.items():
+        if len(vals) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels; pass the values explicitly")
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def _prepared(df: DataFrame, cols: Columns) -> DataFrame:
     d = S.to_date_any(df, cols.date)
     return df.select(
@@ -61,7 +81,8 @@ def _prepared(df: DataFrame, cols: Columns) -> DataFrame:
 
 def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
                       categories: list | None = None, payments: list | None = None,
-                      locations: list | None = None, checkpoint: bool = True) -> DataFrame:
+                      locations: list | None = None, checkpoint: bool = True,
+                      persist_input: bool = True) -> DataFrame:
     """One row per week: the 5 base features, one total per category, one
     distinct-transaction count per payment method and per location.
 
@@ -70,42 +91,40 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
     level absent in a week that has others gets 0.
     """
     base = _prepared(df, cols)
-    categories = list(categories) if categories is not None else distinct_levels(df, cols.category)
-    payments = list(payments) if payments is not None else distinct_levels(df, cols.payment)
-    locations = list(locations) if locations is not None else distinct_levels(df, cols.location)
-
-    l1_aggs = [F.count(F.lit(1)).alias("n"), F.sum("__total").alias("tot"),
-               F.sum("__disc").alias("disc"),
-               F.max(F.col("__cat").isNotNull()).alias("cat_any"),
-               F.max(F.col("__pay").isNotNull()).alias("pay_any"),
-               F.max(F.col("__loc").isNotNull()).alias("loc_any")]
-    l1_aggs += [F.sum(F.when(F.col("__cat") == F.lit(v), F.col("__total"))).alias(f"c{i}")
-                for i, v in enumerate(categories)]
-    l1_aggs += [F.max(F.col("__pay") == F.lit(v)).alias(f"p{i}") for i, v in enumerate(payments)]
-    l1_aggs += [F.max(F.col("__loc") == F.lit(v)).alias(f"l{i}") for i, v in enumerate(locations)]
-    l1 = base.groupBy(WEEK, "__txn", "__cust").agg(*l1_aggs)
+    if persist_input:
+        # one evaluation of the (possibly joined) source feeds all branches
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    missing = [c for c, v in (("__cat", categories), ("__pay", payments), ("__loc", locations)) if v is None]
+    found = pivot_levels(base, missing) if missing else {}
+    categories = list(categories) if categories is not None else found["__cat"]
+    payments = list(payments) if payments is not None else found["__pay"]
+    locations = list(locations) if locations is not None else found["__loc"]
+
+    # sums per week: partial aggregation leaves one row per week per task
+    wk_sum = base.groupBy(WEEK).agg(
+        F.coalesce(F.sum("__total"), F.lit(0.0)).alias("total_sales"),
+        F.sum("__disc").cast("long").alias("discounted_transactions"),
+        F.max(F.col("__cat").isNotNull()).alias("cat_any"),
+        F.max(F.col("__pay").isNotNull()).alias("pay_any"),
+        F.max(F.col("__loc").isNotNull()).alias("loc_any"),
+        *[F.sum(F.when(F.col("__cat") == F.lit(v), F.col("__total"))).alias(f"c{i}")
+          for i, v in enumerate(categories)])
 
     # distinct transactions, overall and per payment / location level
     pay_loc = [f"p{i}" for i in range(len(payments))] + [f"l{i}" for i in range(len(locations))]
-    by_txn = (l1.where(F.col("__txn").isNotNull())
-                .groupBy(WEEK, "__txn").agg(*[F.max(F.col(c)).alias(c) for c in pay_loc]))
+    by_txn = (base.where(F.col("__txn").isNotNull()).groupBy(WEEK, "__txn").agg(
+        *[F.max(F.col("__pay") == F.lit(v)).alias(f"p{i}") for i, v in enumerate(payments)],
+        *[F.max(F.col("__loc") == F.lit(v)).alias(f"l{i}") for i, v in enumerate(locations)]))
     wk_txn = by_txn.groupBy(WEEK).agg(
         F.count(F.lit(1)).alias("unique_transactions"),
         *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in pay_loc])
 
     # distinct customers; null counts as one value for the repeat ratio
-    by_cust = l1.groupBy(WEEK, "__cust").agg(F.sum("n").alias("n"))
+    by_cust = base.groupBy(WEEK, "__cust").agg(F.count(F.lit(1)).alias("n"))
     wk_cust = by_cust.groupBy(WEEK).agg(
         F.count(F.lit(1)).alias("__groups"), F.count("__cust").alias("unique_customers"),
         F.sum("n").alias("__rows"))
 
-    wk_sum = l1.groupBy(WEEK).agg(
-        F.coalesce(F.sum("tot"), F.lit(0.0)).alias("total_sales"),
-        F.sum("disc").cast("long").alias("discounted_transactions"),
-        F.max("cat_any").alias("cat_any"), F.max("pay_any").alias("pay_any"),
-        F.max("loc_any").alias("loc_any"),
-        *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories))])
-
     j = wk_sum.join(wk_cust, WEEK, "left").join(wk_txn, WEEK, "left")
     out = [F.col(WEEK),
            S.round_double(F.lit(1.0) - F.col("__groups") / F.col("__rows")).alias("weekly_avg_repeat_purchases"),
@@ -120,7 +139,12 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
     out += [F.when(F.col("loc_any"), F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("long")).alias(str(v))
             for i, v in enumerate(locations)]
     weekly = j.select(*out)
-    return cut_lineage(weekly) if checkpoint else weekly
+    if not checkpoint:
+        return weekly
+    result = cut_lineage(weekly)
+    if persist_input:
+        base.unpersist()
+    return result
 
 
 def add_lags_leads(weekly: DataFrame, n_past: int, n_future: int,
@@ -129,10 +153,16 @@ def add_lags_leads(weekly: DataFrame, n_past: int, n_future: int,
     a missing week is skipped) and ``y_{i}`` = target i rows ahead."""
     w = Window.orderBy(WEEK)
     features = features or [c for c in weekly.columns if c != WEEK]
-    lags = [F.lag(F.col(f"`{c}`"), i).over(w).alias(f"{c}_t-{i}")
-            for c in features for i in range(1, n_past + 1)]
-    leads = [F.lead(F.col(f"`{target}`"), i).over(w).alias(f"y_{i}") for i in range(1, n_future + 1)]
-    return weekly.select("*", *lags, *leads)
+    # one window expression per offset (a struct of all features) instead of
+    # one per (feature, offset): the plan stays small for hundreds of columns
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"f{j}") for j, c in enumerate(features)])
+    step = weekly.select("*", *[F.lag(packed, i).over(w).alias(f"__lag{i}") for i in range(1, n_past + 1)],
+                         *[F.lead(F.col(f"`{target}`"), i).over(w).alias(f"y_{i}")
+                           for i in range(1, n_future + 1)])
+    lags = [F.col(f"__lag{i}.f{j}").alias(f"{c}_t-{i}")
+            for j, c in enumerate(features) for i in range(1, n_past + 1)]
+    return step.select(*[F.col(f"`{c}`") for c in weekly.columns], *lags,
+                       *[F.col(f"y_{i}") for i in range(1, n_future + 1)])
 
 
 def week_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

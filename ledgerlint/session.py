@@ -69,4 +69,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     lost executor does not force recomputation from the source.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    # persist first: without it the checkpoint write recomputes the plan
+    # after the action that materialises it
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
