@@ -592,3 +592,22 @@ ORACLES["stratified_folds"] = with_view(
     "WHERE discount_applied IS NOT NULL GROUP BY 1)\n"
     "SELECT label AS discount_applied, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n_rows "
     "FROM cls, range(5) t(f)")
+
+
+# ---------------------------------------------------------------- more row outputs and sinks
+ORACLES["positive_rows"] = with_view(
+    f"SELECT {KEYS}, price, 'missing' AS kind FROM rt WHERE {blank('price')} UNION ALL "
+    f"SELECT {KEYS}, price, 'outlier' AS kind FROM rt WHERE NOT {blank('price')} AND {_outlier('price')}")
+ORACLES["domain_rows"] = with_view(
+    f"SELECT payment_method, CASE WHEN NOT {blank('payment_method')} THEN payment_method IN {in_list(PAYS)} END "
+    f"AS \"Valid\", {blank('payment_method')} AS is_missing FROM rt")
+_CM = NUMS + ["discount_applied"]
+ORACLES["correlation_matrix"] = with_view(
+    ", rd AS (SELECT price, quantity, total_spent, CAST(discount_applied AS DOUBLE) AS discount_applied FROM rv)\n"
+    + _union_report([
+        f"SELECT '{a}' AS a, " + ", ".join(
+            ("CAST(1.0 AS DOUBLE)" if a == b else r6(f"(SELECT round(corr({a}, {b}), 6) FROM rd)")) + f" AS {b}"
+            for b in _CM) for a in _CM]))
+ORACLES["inf_to_null"] = with_view(
+    f"SELECT {KEYS}, (isinf(exp(total_spent)) AND total_spent IS NOT NULL) AS overflowed FROM rv")
+ORACLES["limited_scan"] = with_view(f"SELECT {KEYS}, transaction_id FROM rv ORDER BY {KEYS} LIMIT 100")

@@ -761,3 +761,54 @@ def q_forest_importance(spark, sf):
 @register("compare_by_recall")
 def q_compare_by_recall(spark, sf):
     return M.compare_by_recall(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT, k=3)
+
+
+# ---------------------------------------------------------------- more row outputs and sinks
+@register("positive_rows")
+def q_positive_rows(spark, sf):
+    t = text(spark, sf).select(*KEYS, VC.price)
+    parts = R.positive_rows(t, VC.price)
+    missing = parts["missing"].select(*KEYS, VC.price, F.lit("missing").alias("kind"))
+    outliers = parts["outliers"].select(*KEYS, VC.price, F.lit("outlier").alias("kind"))
+    return missing.unionByName(outliers)
+
+
+@register("domain_rows")
+def q_domain_rows(spark, sf):
+    t = text(spark, sf)
+    return R.domain_rows(t, VC.payment, VR.payment_methods)
+
+
+@register("correlation_matrix")
+def q_correlation_matrix(spark, sf):
+    v = typed(spark, sf).withColumn(VC.discount, F.col(VC.discount).cast("double"))
+    return _rounded(CH.correlation_heatmap(v.select(*NUMS, VC.discount), VC.discount),
+                    NUMS + [VC.discount])
+
+
+@register("inf_to_null")
+def q_inf_to_null(spark, sf):
+    v = typed(spark, sf)
+    grown = S.finite_or_null(F.exp(F.col(VC.total)))
+    return v.select(*KEYS, (grown.isNull() & F.col(VC.total).isNotNull()).alias("overflowed"))
+
+
+@register("limited_scan")
+def q_limited_scan(spark, sf):
+    """S3: the first n rows of the table in key order (the limit is the feature)."""
+    return typed(spark, sf).orderBy(*KEYS).limit(100).select(*KEYS, VC.transaction_id)
+
+
+@register("target_column_diff")
+def q_target_column_diff(spark, sf):
+    wk = _weekly(spark, sf)
+    cols, _ = weekly_target_columns(wk)
+    return IO.column_diff(cols, W.add_lags_leads(wk, 1, 1))
+
+
+@register("target_ddl")
+def q_target_ddl(spark, sf):
+    wk = W.add_lags_leads(_weekly(spark, sf), 2, 1)
+    typed_ddl = IO.ddl_for(wk, "weekly_sales_data", W.WEEK, weekly_target_columns(wk)[1])
+    float_ddl = IO.ddl_for(wk, "weekly_sales_data", W.WEEK, all_float=True)
+    return spark.createDataFrame([("typed", typed_ddl), ("all_float", float_ddl)], "kind string, ddl string")
