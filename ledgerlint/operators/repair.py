@@ -2,8 +2,10 @@
 
 Group-level fills use an aggregate (combined map-side, so a hot group is one
 row before the shuffle) joined back on the key, never a window that would
-put a hot group in one task. Lookup tables are broadcast only under a
-proven row bound, otherwise the join shuffles.
+put a hot group in one task. Lookups derived from the facts are left to
+AQE, which broadcasts them only when their measured runtime size is under
+the threshold (otherwise the join shuffles, with skew splitting); an
+explicit row-bound check is available per call.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ def fill_price(df: DataFrame, cols: Columns = REFERENCE_COLUMNS) -> DataFrame:
 
 
 def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_COLUMNS,
-              keys: list[str] | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+              keys: list[str] | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
     """Missing item = first item seen (row order) with the same price.
 
     ``keys`` defaults to ``[price]`` as in the reference; pass
-    ``[price, category]`` for the category-aware variant.
+    ``[price, category]`` for the category-aware variant. The lookup is
+    derived from the facts, so by default no eager size check runs (it would
+    recompute the whole input): AQE broadcasts it at runtime when its
+    measured size is under the threshold, else the join shuffles. Pass
+    ``max_broadcast_rows`` to force a checked broadcast.
     """
     keys = keys or [cols.price]
     order = F.struct(*[F.col(c) for c in order_cols])
@@ -44,7 +50,8 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
         src = src.where(F.col(f"`{k}`").isNotNull())
     lookup = (src.groupBy(*[F.col(f"`{k}`").alias(f"__fk{i}") for i, k in enumerate(keys)])
                  .agg(F.min_by(F.col(f"`{cols.item}`"), order).alias("__fill_item")))
-    lookup = bounded_broadcast(lookup, max_broadcast_rows)
+    if max_broadcast_rows:
+        lookup = bounded_broadcast(lookup, max_broadcast_rows)
     cond = None
     for i, k in enumerate(keys):
         c = df[k] == lookup[f"__fk{i}"]
@@ -56,7 +63,7 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
 
 
 def fill_by_group_mean(df: DataFrame, key: str, value: str, keep_keyless: bool = False,
-                       max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                       max_broadcast_rows: int | None = None) -> DataFrame:
     """Missing ``value`` = mean of ``value`` within its ``key`` group.
 
     As in the reference, rows whose key is missing lose their value (the
@@ -64,7 +71,8 @@ def fill_by_group_mean(df: DataFrame, key: str, value: str, keep_keyless: bool =
     """
     means = (df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__gk"))
                .agg(F.avg(F.col(f"`{value}`")).alias("__gmean")))
-    means = bounded_broadcast(means, max_broadcast_rows)
+    if max_broadcast_rows:
+        means = bounded_broadcast(means, max_broadcast_rows)
     j = df.join(means, df[key] == means["__gk"], "left")
     v = df[value]
     filled = F.when(v.isNull() | F.isnan(v), F.col("__gmean")).otherwise(v)
