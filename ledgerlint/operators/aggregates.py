@@ -3,8 +3,9 @@ describe, crosstab, correlation, modes and text lengths.
 
 Every statistic over many columns is one ``agg`` (one scan, map-side
 partial aggregation); results are reshaped to one row per column.
-Quantiles are exact (``percentile``, linear interpolation), as the
-reference computes them.
+Quantiles, medians and modes are exact (linear interpolation, smallest
+mode on ties), as the reference computes them, through
+``ledgerlint.operators.quantiles`` so that no task holds all distinct values.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.operators.quantiles import (exact_mode, exact_quantiles, exact_quantiles_multi,
+                                            grouped_quantiles)
 
 
 def _explode_structs(wide: DataFrame, parts) -> DataFrame:
@@ -23,9 +26,10 @@ def _explode_structs(wide: DataFrame, parts) -> DataFrame:
 
 def group_mean_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean and median of ``value`` per ``key`` (missing keys dropped)."""
-    return (df.where(F.col(key).isNotNull())
-              .groupBy(key)
-              .agg(F.avg(value).alias("mean_value"), F.median(value).alias("median_value")))
+    base = df.where(F.col(key).isNotNull())
+    means = base.groupBy(key).agg(F.avg(value).alias("mean_value"))
+    medians = grouped_quantiles(base, [key], value, [0.5], prefix="median_")
+    return means.join(medians.withColumnRenamed("median_0", "median_value"), key, "left")
 
 
 def first_by_order(df: DataFrame, key: str, value: str, order_cols: list[str],
@@ -63,33 +67,39 @@ def value_shares(df: DataFrame, column: str, normalize: bool = True) -> DataFram
 
 def quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per column."""
-    wide = df.agg(*[F.percentile(F.col(c), list(probs)).alias(f"{c}__q") for c in columns])
-    parts = [F.struct(F.lit(c).alias("column"),
-                      *[S.round_double(F.col(f"`{c}__q`")[i]).alias(f"q{int(round(p * 100)):02d}")
-                        for i, p in enumerate(probs)])
-             for c in columns]
-    return _explode_structs(wide, parts)
+    names = [f"q{int(round(p * 100)):02d}" for p in probs]
+    qs = exact_quantiles_multi(df, columns, probs)
+    rows = [(c, *qs[c]) for c in columns]
+    schema = "column string, " + ", ".join(f"{n} double" for n in names)
+    out = df.sparkSession.createDataFrame(rows, schema)
+    return out.select("column", *[S.round_double(F.col(n)).alias(n) for n in names])
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max per numeric column."""
+    """Count, mean, sample std, min, quartiles, max per numeric column.
+
+    Moments and extremes come from one aggregate; quartiles from the exact
+    bounded-memory quantiles.
+    """
     aggs = []
     for c in columns:
         x = F.col(c)
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
+    quarts = exact_quantiles_multi(df, columns, [0.25, 0.5, 0.75])
     parts = []
     for c in columns:
-        q = F.col(f"`{c}__q`")
+        q = quarts[c]
         parts.append(F.struct(
             F.lit(c).alias("column"), F.col(f"`{c}__count`").alias("count"),
             S.round_double(F.col(f"`{c}__mean`")).alias("mean"),
             S.round_double(F.col(f"`{c}__std`")).alias("std"),
             F.col(f"`{c}__min`").cast("double").alias("min"),
-            S.round_double(q[0]).alias("p25"), S.round_double(q[1]).alias("p50"),
-            S.round_double(q[2]).alias("p75"),
+            S.round_double(F.lit(q[0]).cast("double")).alias("p25"),
+            S.round_double(F.lit(q[1]).cast("double")).alias("p50"),
+            S.round_double(F.lit(q[2]).cast("double")).alias("p75"),
             F.col(f"`{c}__max`").cast("double").alias("max")))
     return _explode_structs(wide, parts)
 
@@ -124,15 +134,16 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def mode_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median and mode per column; the smallest value wins a tie."""
-    aggs = []
+    rows = []
     for c in columns:
-        aggs += [F.median(F.col(c)).alias(f"{c}__median"),
-                 F.mode(F.col(c), deterministic=True).alias(f"{c}__mode")]
-    wide = df.agg(*aggs)
+        mode = exact_mode(df, c)
+        rows.append((c, exact_quantiles(df, c, [0.5])[0], mode))
+    dtype = {c: S.dtype_of(df, c).simpleString() for c in columns}
     parts = [F.struct(F.lit(c).alias("column"),
-                      S.round_double(F.col(f"`{c}__median`")).alias("median"),
-                      F.col(f"`{c}__mode`").cast("string").alias("mode")) for c in columns]
-    return _explode_structs(wide, parts)
+                      S.round_double(F.lit(med).cast("double")).alias("median"),
+                      F.lit(mode).cast(dtype[c]).cast("string").alias("mode"))
+             for c, med, mode in rows]
+    return df.sparkSession.range(1).select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 
 def text_lengths(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from ledgerlint.functions import scalars as S
 from ledgerlint.operators import aggregates as G
 from ledgerlint.operators.completeness import missing_report
 from ledgerlint.operators.profile import column_roles
+from ledgerlint.operators.quantiles import grouped_quantiles
 
 
 def missing_bars(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -29,12 +30,14 @@ def box_summary(df: DataFrame, columns: list[str], by: str | None = None) -> Dat
              for c in columns]
     long = df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").where(F.col("x").isNotNull())
     keys = ["column"] + (["grp"] if by else [])
-    out = long.groupBy(*keys).agg(F.min("x").alias("min"),
-                                  F.percentile("x", [0.25, 0.5, 0.75]).alias("q"),
-                                  F.max("x").alias("max"), F.count("x").alias("n"))
-    res = out.select(*keys, "n", F.col("min"), S.round_double(F.col("q")[0]).alias("q1"),
-                     S.round_double(F.col("q")[1]).alias("median"),
-                     S.round_double(F.col("q")[2]).alias("q3"), F.col("max"))
+    if by:
+        long = long.where(F.col("grp").isNotNull())
+    ext = long.groupBy(*keys).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n"))
+    qs = grouped_quantiles(long, keys, "x", [0.25, 0.5, 0.75])
+    out = ext.join(qs, keys, "left")
+    res = out.select(*keys, "n", F.col("min"), S.round_double(F.col("q0")).alias("q1"),
+                     S.round_double(F.col("q1")).alias("median"),
+                     S.round_double(F.col("q2")).alias("q3"), F.col("max"))
     return res.withColumnRenamed("grp", by) if by else res
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.operators.quantiles import exact_mode, exact_quantiles_multi
 from ledgerlint.operators.validity import bounded_broadcast
 from ledgerlint.schema import REFERENCE_COLUMNS, Columns
 
@@ -121,10 +122,11 @@ def impute_generic(df: DataFrame, max_missing_pct: float = 20.0) -> DataFrame:
     txt = [c for c in keep if isinstance(S.dtype_of(df, c), T.StringType)]
     if not num and not txt:
         return df
-    stats = df.agg(*[F.median(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(num)],
-                   *[F.mode(F.col(f"`{c}`"), deterministic=True).alias(f"t{i}") for i, c in enumerate(txt)]).first()
-    fills = {c: stats[f"m{i}"] for i, c in enumerate(num)}
-    fills.update({c: stats[f"t{i}"] for i, c in enumerate(txt)})
+    # only columns that have gaps need a fill value
+    need = {c for c in keep if ratios[c] > 0}
+    medians = exact_quantiles_multi(df, [c for c in num if c in need], [0.5])
+    fills = {c: q[0] for c, q in medians.items()}
+    fills.update({c: exact_mode(df, c) for c in txt if c in need})
     out = []
     for c in df.columns:
         v = fills.get(c)
@@ -138,13 +140,12 @@ def impute_generic(df: DataFrame, max_missing_pct: float = 20.0) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5) -> dict:
-    """Q1 - k IQR and Q3 + k IQR per column, from one exact-percentile aggregate."""
-    row = df.agg(*[F.percentile(F.col(f"`{c}`"), [0.25, 0.75]).alias(f"q{i}")
-                   for i, c in enumerate(columns)]).first()
+    """Q1 - k IQR and Q3 + k IQR per column, from exact bounded-memory quartiles."""
     out = {}
-    for i, c in enumerate(columns):
-        q = row[f"q{i}"]
-        if q is None or q[0] is None:
+    quarts = exact_quantiles_multi(df, columns, [0.25, 0.75])
+    for c in columns:
+        q = quarts[c]
+        if q[0] is None:
             continue
         iqr = q[1] - q[0]
         out[c] = (q[0] - k * iqr, q[1] + k * iqr)
