@@ -186,3 +186,34 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, probs,
             (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
         outs.append(val.alias(f"{prefix}{i}"))
     return per.select(*keys, *outs)
+
+
+def exact_modes(df: DataFrame, columns: list[str]) -> dict:
+    """``exact_mode`` for several columns from one pass over ``df``.
+
+    Columns are grouped by type; each group's (column, value) counts are one
+    aggregate (persisted), then the top count per column and the smallest
+    value having it are two bounded aggregates over those counts.
+    """
+    out = {}
+    by_type: dict = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for dtype, cols in by_type.items():
+        parts = [F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").alias("v")) for c in cols]
+        counts = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+                    .where(F.col("v").isNotNull())
+                    .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+                    .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            tops = {r["k"]: r["m"] for r in counts.groupBy("k").agg(F.max("c").alias("m")).collect()}
+            if tops:
+                cond = None
+                for k, m in tops.items():
+                    e = (F.col("k") == F.lit(k)) & (F.col("c") == F.lit(m))
+                    cond = e if cond is None else cond | e
+                for r in counts.where(cond).groupBy("k").agg(F.min("v").alias("v")).collect():
+                    out[r["k"]] = r["v"]
+        finally:
+            counts.unpersist()
+    return {c: out.get(c) for c in columns}

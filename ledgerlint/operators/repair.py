@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
-from ledgerlint.operators.quantiles import exact_mode, exact_quantiles_multi
+from ledgerlint.operators.quantiles import exact_modes, exact_quantiles_multi
 from ledgerlint.operators.validity import bounded_broadcast
 from ledgerlint.schema import REFERENCE_COLUMNS, Columns
 
@@ -126,7 +126,7 @@ def impute_generic(df: DataFrame, max_missing_pct: float = 20.0) -> DataFrame:
     need = {c for c in keep if ratios[c] > 0}
     medians = exact_quantiles_multi(df, [c for c in num if c in need], [0.5])
     fills = {c: q[0] for c, q in medians.items()}
-    fills.update({c: exact_mode(df, c) for c in txt if c in need})
+    fills.update(exact_modes(df, [c for c in txt if c in need]))
     out = []
     for c in df.columns:
         v = fills.get(c)

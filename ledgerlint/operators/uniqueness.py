@@ -31,13 +31,20 @@ def flag_first_occurrence(df: DataFrame, key_cols: list[str], order_cols: list[s
     of rows equal on ``key_cols``; missing values compare equal."""
     order = F.struct(*[F.col(c) for c in order_cols])
     keys = [f"__uk{i}" for i in range(len(key_cols))]
-    firsts = (df.select(*[F.col(c).alias(k) for c, k in zip(key_cols, keys)],
+    # A 64-bit hash of the row leads the grouping and join keys: equal rows
+    # have equal hashes (nulls included), so groups are unchanged, while the
+    # sorts behind the aggregate and the merge join mostly compare one long
+    # instead of many strings.
+    row_hash = F.xxhash64(*[F.col(c) for c in key_cols])
+    firsts = (df.select(row_hash.alias("__uh"), *[F.col(c).alias(k) for c, k in zip(key_cols, keys)],
                         order.alias("__uo"))
-                .groupBy(*keys).agg(F.min("__uo").alias("__first")))
+                .groupBy("__uh", *keys).agg(F.min("__uo").alias("__first")))
+    left = df.withColumn("__lh", row_hash)
     cond = reduce(lambda a, b: a & b,
-                  [df[c].eqNullSafe(firsts[k]) for c, k in zip(key_cols, keys)])
-    joined = df.join(firsts, cond, "left")
-    return joined.select(*[df[c] for c in df.columns],
+                  [left["__lh"] == firsts["__uh"]]
+                  + [left[c].eqNullSafe(firsts[k]) for c, k in zip(key_cols, keys)])
+    joined = left.join(firsts, cond, "left")
+    return joined.select(*[left[c] for c in df.columns],
                          (order == F.col("__first")).alias(flag))
 
 

@@ -812,3 +812,11 @@ def q_target_ddl(spark, sf):
     typed_ddl = IO.ddl_for(wk, "weekly_sales_data", W.WEEK, weekly_target_columns(wk)[1])
     float_ddl = IO.ddl_for(wk, "weekly_sales_data", W.WEEK, all_float=True)
     return spark.createDataFrame([("typed", typed_ddl), ("all_float", float_ddl)], "kind string, ddl string")
+
+
+@register("select_model_f2")
+def q_select_model_f2(spark, sf):
+    """M9: the earlier selection variant scored by F2 (recall-weighted)."""
+    data = M.prepare(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT)
+    cands = M.default_classifiers(VC.discount)
+    return M.select_model(data, VC.discount, {k: cands[k] for k in ("lr", "dt")}, metric="f2", k=3)
