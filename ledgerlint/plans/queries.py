@@ -9,17 +9,28 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import Imputer
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.operators import aggregates as G
 from ledgerlint.operators import audit as A
+from ledgerlint.operators import charts as CH
 from ledgerlint.operators import completeness as C
+from ledgerlint.operators import models as M
+from ledgerlint.operators import profile as PF
+from ledgerlint.operators import repair as RP
 from ledgerlint.operators import reports as R
+from ledgerlint.operators import stats as ST
 from ledgerlint.operators import uniqueness as U
 from ledgerlint.operators import validity as V
+from ledgerlint.operators import weekly as W
 from ledgerlint.schema import VIEW_COLUMNS as VC
 from ledgerlint.schema import VIEW_RULES as VR
+from ledgerlint.sources import files as IO
 from ledgerlint.sources import tables as TB
 
 KEYS = list(TB.ROW_ID_COLUMNS)
@@ -209,14 +220,9 @@ def q_price_master(spark, sf):
     return TB.price_master_from_facts(typed(spark, sf), VC.item, VC.price)
 
 
-def queries() -> "OrderedDict[str, callable]":
-    return REGISTRY
 
 
 # ---------------------------------------------------------------- aggregates
-from ledgerlint.operators import aggregates as G  # noqa: E402
-from ledgerlint.operators import repair as RP  # noqa: E402
-from ledgerlint.operators import weekly as W  # noqa: E402
 
 NUMS = [VC.price, VC.quantity, VC.total]
 TEXTS = [VC.transaction_id, VC.customer_id, VC.category, VC.item, VC.payment, VC.location]
@@ -416,9 +422,6 @@ def q_weekly_range(spark, sf):
 
 
 # ---------------------------------------------------------------- projections / filters
-from ledgerlint.operators import charts as CH  # noqa: E402
-from ledgerlint.operators import profile as PF  # noqa: E402
-from ledgerlint.operators import stats as ST  # noqa: E402
 
 
 @register("negative_rows")
@@ -614,7 +617,6 @@ def q_before_after_box(spark, sf):
 
 
 # ---------------------------------------------------------------- sources and sinks
-from ledgerlint.sources import files as IO  # noqa: E402
 
 
 def weekly_target_columns(weekly: DataFrame) -> tuple[list, list]:
@@ -671,7 +673,6 @@ def q_csv_roundtrip(spark, sf):
     t = text(spark, sf).drop(*KEYS)
     path = IO.scratch_path(spark, "csv")
     IO.write_csv(t, path)
-    from pyspark.sql import types as T
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in VC.all()])
     return IO.read_csv(spark, path, schema=schema)
 
@@ -686,7 +687,6 @@ def q_check_after_write(spark, sf):
 
 
 # ---------------------------------------------------------------- models
-from ledgerlint.operators import models as M  # noqa: E402
 
 MODEL_NUM = [VC.price, VC.quantity, VC.total]
 MODEL_CAT = [VC.category, VC.payment, VC.location]
@@ -705,7 +705,6 @@ def q_date_features(spark, sf):
 @register("impute_mean_mode")
 def q_impute_mean_mode(spark, sf):
     v = typed(spark, sf).select(*KEYS, *MODEL_NUM, *MODEL_CAT)
-    from pyspark.ml.feature import Imputer
     imp = Imputer(inputCols=MODEL_NUM, outputCols=MODEL_NUM, strategy="mean").fit(v).transform(v)
     return _rounded(M.impute_mode(imp, MODEL_CAT), MODEL_NUM)
 
@@ -733,7 +732,6 @@ def q_select_model(spark, sf):
 
 @register("grid_rmse")
 def q_grid_rmse(spark, sf):
-    from pyspark.ml.regression import LinearRegression
     data = M.prepare(typed(spark, sf), VC.quantity, [VC.price, VC.total], MODEL_CAT)
     r = M.grid_rmse(data, LinearRegression(featuresCol="features", labelCol=VC.quantity),
                     {"regParam": [0.0, 0.1]}, VC.quantity, k=3)
@@ -743,7 +741,6 @@ def q_grid_rmse(spark, sf):
 
 @register("compare_regressors")
 def q_compare_regressors(spark, sf):
-    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
     data = M.prepare(typed(spark, sf), VC.quantity, [VC.price, VC.total], MODEL_CAT)
     models = {"lr": LinearRegression(featuresCol="features", labelCol=VC.quantity),
               "dt": DecisionTreeRegressor(featuresCol="features", labelCol=VC.quantity, seed=42)}
@@ -820,3 +817,7 @@ def q_select_model_f2(spark, sf):
     data = M.prepare(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT)
     cands = M.default_classifiers(VC.discount)
     return M.select_model(data, VC.discount, {k: cands[k] for k in ("lr", "dt")}, metric="f2", k=3)
+
+
+def queries() -> "OrderedDict[str, callable]":
+    return REGISTRY
