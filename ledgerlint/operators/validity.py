@@ -74,7 +74,7 @@ def integer_non_negative(df: DataFrame, name: str, min_value: float = 0) -> Colu
     """Q13: missing null; not a number False; whole and >= ``min_value``."""
     x = S.as_number(df, name)
     ok = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))) & S.is_whole(x) & (x >= F.lit(min_value))
-    return (F.when(F.col(name).isNull(), F.lit(None).cast("boolean"))
+    return (F.when(S.is_missing_value(df, name), F.lit(None).cast("boolean"))
              .when(x.isNull(), F.lit(False))
              .otherwise(F.coalesce(ok, F.lit(False))))
 
@@ -224,7 +224,7 @@ def total_rule(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
         equal = F.abs(t - p * q) <= F.lit(tolerance)
     return (F.when(S.is_missing_value(df, cols.total), _NULL_TEXT())
              .when(t.isNull(), _FALSE())
-             .when(F.col(cols.price).isNull() | F.col(cols.quantity).isNull(), _CANT())
+             .when(S.is_missing_value(df, cols.price) | S.is_missing_value(df, cols.quantity), _CANT())
              .when(verdict_is_cant(pv) | verdict_is_cant(qv), _CANT())
              .when(p.isNull() | q.isNull(), _CANT())
              .when(F.coalesce(equal, F.lit(False)), _TRUE())

@@ -611,3 +611,29 @@ ORACLES["correlation_matrix"] = with_view(
 ORACLES["inf_to_null"] = with_view(
     f"SELECT {KEYS}, (isinf(exp(total_spent)) AND total_spent IS NOT NULL) AS overflowed FROM rv")
 ORACLES["limited_scan"] = with_view(f"SELECT {KEYS}, transaction_id FROM rv ORDER BY {KEYS} LIMIT 100")
+
+
+def _bigint_count_if(sql: str) -> str:
+    """``count_if(x)`` is HUGEINT in DuckDB; ``count(*) FILTER (WHERE x)`` is
+    BIGINT, as Spark's counts are."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth = j + len(token), 1
+        while depth:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+            k += 1
+        inner = _bigint_count_if(sql[j + len(token):k - 1])
+        out.append(f"(count(*) FILTER (WHERE {inner}))")
+        i = k
+
+
+for _name in list(ORACLES):
+    ORACLES[_name] = _bigint_count_if(ORACLES[_name])

@@ -86,3 +86,12 @@ def test_week_starts_monday(spark):
 def test_safe_divide_by_zero_is_null(spark):
     r = spark.sql("select 1.0d a, 0.0d b").select(S.safe_divide(F.col("a"), F.col("b"))).first()
     assert r[0] is None
+
+
+def test_typed_nan_is_missing(spark):
+    from ledgerlint.schema import REFERENCE_COLUMNS as C
+    got = _eval(spark, [float("nan"), 3.0, None], lambda d: V.integer_non_negative(d, "x"), "double")
+    assert got == [None, True, None]
+    df = spark.createDataFrame([(float("nan"), 2.0, 5.0), (2.0, 2.0, 4.0)],
+                               "`Price Per Unit` double, Quantity double, `Total Spent` double")
+    assert [r[0] for r in df.select(V.total_rule(df, C)).collect()] == ["CANT CHECK", "True"]

@@ -47,3 +47,14 @@ def test_weekly_totals_stream(spark):
     exp = {r[0]: r[1] for r in ev.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
            .count().collect()}
     assert got == exp
+
+
+def test_dedupe_stream_keeps_first_copy(spark):
+    from ledgerlint.streaming.audit_stream import dedupe_stream
+    folder = tempfile.mkdtemp(prefix="ll-stream-")
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:01:00")]
+    df = spark.createDataFrame(rows, "k string, ts string").select("k", F.col("ts").cast("timestamp").alias("ts"))
+    df.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "d"))
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(folder, "d"))
+    got = _drain(dedupe_stream(stream, ["k", "ts"], "ts", "1 hour"), "dedupe_out")
+    assert sorted(r["k"] for r in got.collect()) == ["a", "b"]
