@@ -21,7 +21,7 @@ would cause (one copy of every input row per distinct expression).
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
@@ -151,18 +151,23 @@ def add_lags_leads(weekly: DataFrame, n_past: int, n_future: int,
                    target: str = "total_sales", features: list | None = None) -> DataFrame:
     """``{f}_t-{i}`` for i in 1..n_past (by row, not by calendar:
     a missing week is skipped) and ``y_{i}`` = target i rows ahead."""
-    w = Window.orderBy(WEEK)
     features = features or [c for c in weekly.columns if c != WEEK]
-    # one window expression per offset (a struct of all features) instead of
-    # one per (feature, offset): the plan stays small for hundreds of columns
-    packed = F.struct(*[F.col(f"`{c}`").alias(f"f{j}") for j, c in enumerate(features)])
-    step = weekly.select("*", *[F.lag(packed, i).over(w).alias(f"__lag{i}") for i in range(1, n_past + 1)],
-                         *[F.lead(F.col(f"`{target}`"), i).over(w).alias(f"y_{i}")
-                           for i in range(1, n_future + 1)])
-    lags = [F.col(f"__lag{i}.f{j}").alias(f"{c}_t-{i}")
+
+    def q(name):
+        return "`" + name.replace("`", "``") + "`"
+
+    # One window expression per offset (a struct of all features) instead of
+    # one per (feature, offset), and the projections as SQL text in a single
+    # call: the plan stays small and quick to build for hundreds of columns.
+    over = f"OVER (ORDER BY {q(WEEK)})"
+    packed = "named_struct(" + ", ".join(f"'f{j}', {q(c)}" for j, c in enumerate(features)) + ")"
+    step = weekly.selectExpr(
+        "*", *[f"lag({packed}, {i}) {over} AS {q(f'__lag{i}')}" for i in range(1, n_past + 1)],
+        *[f"lead({q(target)}, {i}) {over} AS {q(f'y_{i}')}" for i in range(1, n_future + 1)])
+    lags = [f"{q(f'__lag{i}')}.f{j} AS {q(f'{c}_t-{i}')}"
             for j, c in enumerate(features) for i in range(1, n_past + 1)]
-    return step.select(*[F.col(f"`{c}`") for c in weekly.columns], *lags,
-                       *[F.col(f"y_{i}") for i in range(1, n_future + 1)])
+    return step.selectExpr(*[q(c) for c in weekly.columns], *lags,
+                           *[q(f"y_{i}") for i in range(1, n_future + 1)])
 
 
 def week_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
