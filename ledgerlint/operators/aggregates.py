@@ -65,9 +65,22 @@ def value_shares(df: DataFrame, column: str, normalize: bool = True) -> DataFram
         F.try_divide(F.col("n_rows").cast("double"), F.lit(float(total)))))
 
 
-def quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per column."""
+def quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75),
+              approx_accuracy: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per column.
+
+    ``approx_accuracy`` switches to ``approx_percentile`` (one pass, bounded
+    sketch; relative rank error about 1 / accuracy) for very large inputs
+    where exactness is not required.
+    """
     names = [f"q{int(round(p * 100)):02d}" for p in probs]
+    if approx_accuracy:
+        wide = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), list(probs), approx_accuracy)
+                        .alias(f"{c}__q") for c in columns])
+        parts = [F.struct(F.lit(c).alias("column"),
+                          *[S.round_double(F.col(f"`{c}__q`")[i]).alias(n) for i, n in enumerate(names)])
+                 for c in columns]
+        return _explode_structs(wide, parts)
     qs = exact_quantiles_multi(df, columns, probs)
     rows = [(c, *qs[c]) for c in columns]
     schema = "column string, " + ", ".join(f"{n} double" for n in names)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlint.functions.scalars import to_date_any
 from ledgerlint.schema import RAW_SCHEMA
 from ledgerlint.session import checkpoint_dir
 
@@ -36,6 +37,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def write_partitioned_by_month(df: DataFrame, path: str, date_col: str,
+                               mode: str = "overwrite", writers_per_month: int = 16) -> None:
+    """Store a transaction table partitioned by the month of its date, so a
+    date-range filter on ``txn_month`` prunes whole folders at read time.
+
+    Rows are spread over (month, salt) before the write, so a month holding
+    a large share of the table is written by ``writers_per_month`` tasks, not
+    one. Rows without a valid date land in ``__HIVE_DEFAULT_PARTITION__``.
+    """
+    month = F.date_format(to_date_any(df, date_col), "yyyy-MM")
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(writers_per_month))
+    (df.withColumn("txn_month", month)
+       .repartition("txn_month", salt)
+       .write.mode(mode).partitionBy("txn_month").parquet(path))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = checkpoint_dir(spark).rstrip("/")
