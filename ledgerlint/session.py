@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -78,3 +79,23 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+def spread(df: DataFrame, unique_cols: list[str] | None = None,
+           min_partitions: int | None = None) -> DataFrame:
+    """Repartition only when the input has fewer partitions than the session
+    has cores (e.g. a file stored as one row group).
+
+    With ``unique_cols`` (a row key) rows are hashed on that key, which is
+    as even as round robin (no value repeats, so no hot partition) without
+    round robin's pre-sort; otherwise round robin. A large input with many
+    splits is left untouched, so joins downstream keep AQE's skew handling.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # two tasks per core evens out uneven task times
+    target = min_partitions or 2 * cores
+    if unique_cols:
+        return df.repartition(target, *[F.col(c) for c in unique_cols])
+    return df.repartition(target)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlint.functions.scalars import bool_text
 from ledgerlint.schema import MASTER_END, MASTER_START, VIEW_COLUMNS
+from ledgerlint.session import spread
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
@@ -38,13 +39,12 @@ def retail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only the columns used are read (pruned at the parquet scan); the joins
     are plain equi-joins, AQE picks broadcast at runtime from measured sizes.
     """
-    # Hash-partition the fact side on the join key: at scale this is the
-    # exchange the sort-merge join with orders needs anyway; when AQE turns
-    # that join into a broadcast (small orders), it still spreads the
-    # per-row work over all cores instead of one task per file row group.
-    li = read_table(spark, sf_dir, "lineitem").select(
+    # A fact file stored as one row group is read by one task; spread it so
+    # the per-row work uses every core. Large inputs are left as they are,
+    # so the join with orders keeps AQE's skew-join splitting.
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_discount", "l_returnflag", "l_linestatus", "l_shipdate").repartition("l_orderkey")
+        "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"), list(ROW_ID_COLUMNS))
     od = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate"))
     pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
