@@ -154,22 +154,38 @@ def exact_mode(df: DataFrame, column: str):
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], column: str, probs,
-                      prefix: str = "q") -> DataFrame:
+                      prefix: str = "q", rows_per_task: int = 1_000_000) -> DataFrame:
     """Exact quantiles per group: one row per group, one column per prob.
 
-    Rows are first counted per (group, value) -- combined map-side, so a hot
-    group shrinks to its distinct values -- then a running count ordered by
-    value (a spillable window over distinct values, not rows) locates the two
-    ranks around each position, which are interpolated linearly.
+    1. Rows are counted per (group, value), combined map-side.
+    2. Those counts are range-partitioned by (group, value) and cut from the
+       lineage, so a group with very many distinct values spans several
+       tasks and every later step sees the same partitions.
+    3. Per (partition, group): the rows before it in its group (a running
+       sum over partition totals, one row per partition a group touches)
+       plus a running count inside the partition give each value's rank span.
+    4. The two ranks around each position are picked and interpolated.
     """
+    from ledgerlint.session import cut_lineage
     x = F.col(f"`{column}`").cast("double")
     cnt = (df.select(*[F.col(f"`{k}`") for k in keys], x.alias("__v"))
              .where(F.col("__v").isNotNull() & ~F.isnan(F.col("__v")))
-             .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    w_run = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*keys)
-    cum = (cnt.withColumn("__cum", F.sum("__c").over(w_run))
-              .withColumn("__n", F.sum("__c").over(w_all)))
+             .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    parts = max(1, math.ceil(cnt.count() / rows_per_task))
+    ranged = cut_lineage(cnt.repartitionByRange(parts, *keys, "__v")
+                            .withColumn("__pid", F.spark_partition_id()))
+    cnt.unpersist()
+    per_part = ranged.groupBy("__pid", *keys).agg(F.sum("__c").alias("__s"))
+    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per_part.withColumn("__off", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+                       .withColumn("__n", F.sum("__s").over(Window.partitionBy(*keys)))
+                       .drop("__s"))
+    running = Window.partitionBy("__pid", *keys).orderBy("__v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    cum = (ranged.withColumn("__lcum", F.sum("__c").over(running))
+                 .join(offsets, ["__pid", *keys])
+                 .withColumn("__cum", F.col("__off") + F.col("__lcum")))
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("__n") - 1)

@@ -45,3 +45,10 @@ def test_empty(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, "x", [0.5]) == [None]
     assert exact_mode(df, "x") is None
+
+
+def test_grouped_hot_group_split_over_tasks(spark):
+    df = _frame(spark)
+    got = {r["g"]: r["q0"] for r in grouped_quantiles(df, ["g"], "x", [0.5], rows_per_task=500).collect()}
+    ref = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("x", 0.5).alias("p")).collect()}
+    assert all(abs(got[k] - ref[k]) < 1e-9 for k in ref)
