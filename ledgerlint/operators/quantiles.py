@@ -233,3 +233,78 @@ def exact_modes(df: DataFrame, columns: list[str]) -> dict:
         finally:
             counts.unpersist()
     return {c: out.get(c) for c in columns}
+
+
+def column_value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One pass: (k, vnum, vtxt, c) = rows per column and value, nulls kept.
+
+    Numeric columns fill ``vnum`` (NaN counted as missing), all others
+    ``vtxt``. The table is cut from the lineage (shared checkpoint folder):
+    null ratios, quantiles and modes are then read from it without another
+    scan of ``df``.
+    """
+    from pyspark.sql import types as T
+    from ledgerlint.session import cut_lineage
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+               T.DecimalType)
+    parts = []
+    for c in columns:
+        x = F.col(f"`{c}`")
+        if isinstance(df.schema[c].dataType, numeric):
+            v = x.cast("double")
+            parts.append(F.struct(F.lit(c).alias("k"), F.when(~F.isnan(v), v).alias("vnum"),
+                                  F.lit(None).cast("string").alias("vtxt")))
+        else:
+            parts.append(F.struct(F.lit(c).alias("k"), F.lit(None).cast("double").alias("vnum"),
+                                  x.cast("string").alias("vtxt")))
+    pairs = df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    return cut_lineage(pairs.groupBy("k", "vnum", "vtxt").agg(F.count(F.lit(1)).alias("c")))
+
+
+def profile_from_counts(counts: DataFrame, numeric: list[str], text: list[str], probs=(0.5,),
+                        max_local: int = 100_000) -> dict:
+    """Null counts and row totals for every column, quantiles of ``numeric``
+    and modes of ``text``, all from a ``column_value_counts`` table."""
+    probs = list(probs)
+    totals = {r["k"]: (r["rows"], r["nulls"]) for r in counts.groupBy("k").agg(
+        F.sum("c").alias("rows"),
+        F.sum(F.when(F.col("vnum").isNull() & F.col("vtxt").isNull(), F.col("c")).otherwise(F.lit(0))).alias("nulls"),
+    ).collect()}
+    num_counts = (counts.where(F.col("k").isin(numeric) & F.col("vnum").isNotNull())
+                        .select("k", F.col("vnum").alias("v"), "c"))
+    stats = {}
+    if numeric:
+        stats = {r["k"]: (r["n"], r["d"]) for r in
+                 num_counts.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
+    quant = {}
+    small = [c for c in numeric if c in stats and stats[c][1] <= max_local]
+    pairs = {c: [] for c in small}
+    if small:
+        for r in num_counts.where(F.col("k").isin(small)).orderBy("k", "v").collect():
+            pairs[r["k"]].append((r["v"], r["c"]))
+    for c in numeric:
+        if c not in stats:
+            quant[c] = [None] * len(probs)
+            continue
+        n, d = stats[c]
+        if c in pairs:
+            positions = [p * (n - 1) for p in probs]
+            ranks = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
+            values = _walk(pairs[c], ranks)
+            quant[c] = [float(values[math.floor(pos)]) if math.floor(pos) == math.ceil(pos) else
+                        (math.ceil(pos) - pos) * values[math.floor(pos)]
+                        + (pos - math.floor(pos)) * values[math.ceil(pos)] for pos in positions]
+        else:
+            quant[c] = _from_counts(num_counts.where(F.col("k") == F.lit(c)).select("v", "c"), n, d,
+                                    probs, max_local)
+    modes = {}
+    if text:
+        txt = counts.where(F.col("k").isin(text) & F.col("vtxt").isNotNull())
+        tops = {r["k"]: r["m"] for r in txt.groupBy("k").agg(F.max("c").alias("m")).collect()}
+        if tops:
+            cond = None
+            for k, m in tops.items():
+                e = (F.col("k") == F.lit(k)) & (F.col("c") == F.lit(m))
+                cond = e if cond is None else cond | e
+            modes = {r["k"]: r["v"] for r in txt.where(cond).groupBy("k").agg(F.min("vtxt").alias("v")).collect()}
+    return {"totals": totals, "quantiles": quant, "modes": {c: modes.get(c) for c in text}}

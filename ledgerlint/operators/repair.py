@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
-from ledgerlint.operators.quantiles import exact_modes, exact_quantiles_multi
+from ledgerlint.operators.quantiles import (column_value_counts, exact_quantiles_multi,
+                                            profile_from_counts)
 from ledgerlint.operators.validity import bounded_broadcast
 from ledgerlint.schema import REFERENCE_COLUMNS, Columns
 
@@ -114,28 +115,30 @@ def null_ratios(df: DataFrame, columns: list[str] | None = None) -> dict:
 def impute_generic(df: DataFrame, max_missing_pct: float = 20.0) -> DataFrame:
     """Drop columns more than ``max_missing_pct`` % missing; fill numeric
     columns with their median and text columns with their mode (smallest
-    value on ties). Two passes, each one aggregate returning one row."""
+    value on ties).
+
+    Pass 1 is one aggregate of null counts. Pass 2 builds one (column,
+    value, count) table for just the kept columns that have gaps, from which
+    all medians and modes are read. Pass 3 writes the filled rows.
+    """
     ratios = null_ratios(df)
     keep = [c for c in df.columns if ratios[c] <= max_missing_pct]
-    df = df.select(*[F.col(f"`{c}`") for c in keep])
-    num = [c for c in keep if S.is_numeric_type(S.dtype_of(df, c))]
-    txt = [c for c in keep if isinstance(S.dtype_of(df, c), T.StringType)]
-    if not num and not txt:
-        return df
-    # only columns that have gaps need a fill value
-    need = {c for c in keep if ratios[c] > 0}
-    medians = exact_quantiles_multi(df, [c for c in num if c in need], [0.5])
-    fills = {c: q[0] for c, q in medians.items()}
-    fills.update(exact_modes(df, [c for c in txt if c in need]))
+    need = [c for c in keep if ratios[c] > 0]
+    num = [c for c in need if S.is_numeric_type(S.dtype_of(df, c))]
+    txt = [c for c in need if isinstance(S.dtype_of(df, c), T.StringType)]
+    fills = {}
+    if num or txt:
+        prof = profile_from_counts(column_value_counts(df, num + txt), num, txt, [0.5])
+        fills = {c: prof["quantiles"][c][0] for c in num}
+        fills.update(prof["modes"])
     out = []
-    for c in df.columns:
+    for c in keep:
+        x = F.col(f"`{c}`")
         v = fills.get(c)
-        if c in fills and v is not None:
-            x = F.col(f"`{c}`")
-            miss = S.is_missing_value(df, c)
-            out.append(F.when(miss, F.lit(v).cast(S.dtype_of(df, c))).otherwise(x).alias(c))
+        if v is not None:
+            out.append(F.when(S.is_missing_value(df, c), F.lit(v).cast(S.dtype_of(df, c))).otherwise(x).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(x)
     return df.select(*out)
 
 

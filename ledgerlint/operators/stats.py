@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.session import cut_lineage
 
 
 def contingency_cells(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -40,12 +41,16 @@ def chi_square_statistics(df: DataFrame, columns: list[str], target: str,
     ``correction`` each of the four cells is moved 0.5 towards its expected
     count (never past it), as the usual Yates rule does.
     """
-    cells = contingency_cells(df, columns, target)
+    # the cell table (one row per observed cell) is written once, so the
+    # row, column and grand totals below read it instead of re-scanning
+    cells = cut_lineage(contingency_cells(df, columns, target))
     rows = cells.groupBy("column", "level").agg(F.sum("n").alias("r"))
     cols = cells.groupBy("column", "target").agg(F.sum("n").alias("c"))
-    tot = cells.groupBy("column").agg(F.sum("n").alias("n_total"),
-                                      F.count_distinct("level").alias("n_levels"),
-                                      F.count_distinct("target").alias("n_targets"))
+    # levels and targets per column = rows of the two margin tables
+    n_lv = rows.groupBy("column").agg(F.count(F.lit(1)).alias("n_levels"))
+    n_tg = cols.groupBy("column").agg(F.count(F.lit(1)).alias("n_targets"),
+                                      F.sum("c").alias("n_total"))
+    tot = n_lv.join(n_tg, "column")
     j = (cells.join(rows, ["column", "level"]).join(cols, ["column", "target"])
               .join(tot, "column"))
     e = F.col("r") * F.col("c") / F.col("n_total")
