@@ -19,6 +19,7 @@ from ledgerlint.operators.quantiles import (column_value_counts, exact_quantiles
                                             profile_from_counts)
 from ledgerlint.operators.validity import bounded_broadcast
 from ledgerlint.schema import REFERENCE_COLUMNS, Columns
+from ledgerlint.session import cut_lineage
 
 
 def _replace(df: DataFrame, name: str, value) -> DataFrame:
@@ -35,7 +36,8 @@ def fill_price(df: DataFrame, cols: Columns = REFERENCE_COLUMNS) -> DataFrame:
 
 
 def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_COLUMNS,
-              keys: list[str] | None = None, max_broadcast_rows: int | None = None) -> DataFrame:
+              keys: list[str] | None = None, max_broadcast_rows: int | None = None,
+              materialize: bool = False) -> DataFrame:
     """Missing item = first item seen (row order) with the same price.
 
     ``keys`` defaults to ``[price]`` as in the reference; pass
@@ -43,7 +45,9 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
     derived from the facts, so by default no eager size check runs (it would
     recompute the whole input): AQE broadcasts it at runtime when its
     measured size is under the threshold, else the join shuffles. Pass
-    ``max_broadcast_rows`` to force a checked broadcast.
+    ``max_broadcast_rows`` to force a checked broadcast. ``materialize``
+    writes the lookup (one row per price) to the checkpoint folder once, for
+    chains where later steps would otherwise recompute it.
     """
     keys = keys or [cols.price]
     order = F.struct(*[F.col(c) for c in order_cols])
@@ -52,6 +56,8 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
         src = src.where(F.col(f"`{k}`").isNotNull())
     lookup = (src.groupBy(*[F.col(f"`{k}`").alias(f"__fk{i}") for i, k in enumerate(keys)])
                  .agg(F.min_by(F.col(f"`{cols.item}`"), order).alias("__fill_item")))
+    if materialize:
+        lookup = cut_lineage(lookup)
     if max_broadcast_rows:
         lookup = bounded_broadcast(lookup, max_broadcast_rows)
     cond = None
@@ -65,7 +71,7 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
 
 
 def fill_by_group_mean(df: DataFrame, key: str, value: str, keep_keyless: bool = False,
-                       max_broadcast_rows: int | None = None) -> DataFrame:
+                       max_broadcast_rows: int | None = None, materialize: bool = False) -> DataFrame:
     """Missing ``value`` = mean of ``value`` within its ``key`` group.
 
     As in the reference, rows whose key is missing lose their value (the
@@ -73,6 +79,8 @@ def fill_by_group_mean(df: DataFrame, key: str, value: str, keep_keyless: bool =
     """
     means = (df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__gk"))
                .agg(F.avg(F.col(f"`{value}`")).alias("__gmean")))
+    if materialize:
+        means = cut_lineage(means)
     if max_broadcast_rows:
         means = bounded_broadcast(means, max_broadcast_rows)
     j = df.join(means, df[key] == means["__gk"], "left")
@@ -95,10 +103,15 @@ def fill_discount(df: DataFrame, cols: Columns = REFERENCE_COLUMNS) -> DataFrame
 
 def full_repair(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_COLUMNS,
                 item_keys: list[str] | None = None) -> DataFrame:
-    """C1 to C5 in order; each step sees the previous step's output."""
+    """C1 to C5 in order; each step sees the previous step's output.
+
+    The two lookups (one row per price, one per item) are written once to the
+    checkpoint folder, so the source is read three times (lookup, means,
+    output) and no lookup aggregation runs twice.
+    """
     out = fill_price(df, cols)
-    out = fill_item(out, order_cols, cols, keys=item_keys)
-    out = fill_by_group_mean(out, cols.item, cols.quantity)
+    out = fill_item(out, order_cols, cols, keys=item_keys, materialize=True)
+    out = fill_by_group_mean(out, cols.item, cols.quantity, materialize=True)
     out = recompute_total(out, cols)
     return fill_discount(out, cols)
 
