@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.session import cut_lineage
 from ledgerlint.operators.quantiles import (exact_mode, exact_quantiles, exact_quantiles_multi,
                                             grouped_quantiles)
 
@@ -53,14 +54,16 @@ def group_sizes(df: DataFrame, keys) -> DataFrame:
 def value_shares(df: DataFrame, column: str, normalize: bool = True) -> DataFrame:
     """Value frequencies (missing excluded), with their share of the total.
 
-    The total is one number (bounded metadata) fetched by a single global
-    aggregate, so no window gathers all distinct values into one task.
+    The counts are written once (checkpoint folder) and the total is their
+    sum: one scan of the input, and no window gathers all distinct values
+    into one task.
     """
     counts = (df.where(F.col(column).isNotNull()).groupBy(column)
                 .agg(F.count(F.lit(1)).alias("n_rows")))
     if not normalize:
         return counts
-    total = df.where(F.col(column).isNotNull()).count()
+    counts = cut_lineage(counts)
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
     return counts.withColumn("share", S.round_double(
         F.try_divide(F.col("n_rows").cast("double"), F.lit(float(total)))))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.session import cut_lineage
 from ledgerlint.operators import aggregates as G
 from ledgerlint.operators.completeness import missing_report
 from ledgerlint.operators.profile import column_roles
@@ -86,9 +87,9 @@ def category_counts(df: DataFrame, columns: list[str], by: str | None = None) ->
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """V8: rows per class and percent of all rows (missing class included)."""
-    counts = df.groupBy(F.col(f"`{target}`").cast("string").alias("class")) \
-               .agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    counts = cut_lineage(df.groupBy(F.col(f"`{target}`").cast("string").alias("class"))
+                           .agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.withColumn("pct", S.round_double(S.percent(F.col("n"), F.lit(total))))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.session import cut_lineage
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -143,7 +144,8 @@ def discount_by_day(df: DataFrame, date_col: str, discount_col: str) -> DataFram
         F.struct(F.lit("weekday").alias("kind"), S.day_name(F.col("__d")).alias("value")),
         F.struct(F.lit("day_of_month").alias("kind"), F.dayofmonth("__d").cast("string").alias("value"))
     )).alias("p")).select("p.*")
-    counts = long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_rows"))
-    total = base.count()
+    counts = cut_lineage(long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_rows")))
+    # every discounted row with a date has exactly one weekday
+    total = counts.where(F.col("kind") == "weekday").agg(F.sum("n_rows")).first()[0] or 0
     return counts.withColumn("share", S.round_double(F.try_divide(F.col("n_rows").cast("double"),
                                                                    F.lit(float(total)))))
