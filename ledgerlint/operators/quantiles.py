@@ -25,8 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _num(df: DataFrame, column: str):
+    """Numeric value of a column; text that is not a number becomes null."""
+    from ledgerlint.functions.scalars import as_number
+    return as_number(df, column)
+
+
 def _value_counts(df: DataFrame, column: str) -> DataFrame:
-    x = F.col(f"`{column}`").cast("double")
+    x = _num(df, column)
     return (df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan(F.col("v")))
               .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
 
@@ -95,7 +101,7 @@ def exact_quantiles_multi(df: DataFrame, columns: list[str], probs,
     probs = list(probs)
     if not columns:
         return {}
-    parts = [F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns]
+    parts = [F.struct(F.lit(c).alias("k"), _num(df, c).alias("v")) for c in columns]
     counts = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
                 .where(F.col("v").isNotNull() & ~F.isnan(F.col("v")))
                 .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
@@ -167,7 +173,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, probs,
     4. The two ranks around each position are picked and interpolated.
     """
     from ledgerlint.session import cut_lineage
-    x = F.col(f"`{column}`").cast("double")
+    x = _num(df, column)
     cnt = (df.select(*[F.col(f"`{k}`") for k in keys], x.alias("__v"))
              .where(F.col("__v").isNotNull() & ~F.isnan(F.col("__v")))
              .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))

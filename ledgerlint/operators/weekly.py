@@ -71,7 +71,7 @@ def _prepared(df: DataFrame, cols: Columns) -> DataFrame:
         S.week_start(d).alias(WEEK),
         F.col(f"`{cols.transaction_id}`").alias("__txn"),
         F.col(f"`{cols.customer_id}`").alias("__cust"),
-        F.col(f"`{cols.total}`").cast("double").alias("__total"),
+        S.as_number(df, cols.total).alias("__total"),
         S.text_to_flag(F.col(f"`{cols.discount}`")).alias("__disc"),
         F.col(f"`{cols.category}`").alias("__cat"),
         F.col(f"`{cols.payment}`").alias("__pay"),
@@ -82,13 +82,18 @@ def _prepared(df: DataFrame, cols: Columns) -> DataFrame:
 def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
                       categories: list | None = None, payments: list | None = None,
                       locations: list | None = None, checkpoint: bool = True,
-                      persist_input: bool = True) -> DataFrame:
+                      persist_input: bool = True, on_clash: str = "raise") -> DataFrame:
     """One row per week: the 5 base features, one total per category, one
     distinct-transaction count per payment method and per location.
 
     Pivot levels default to the values present (collected once, bounded).
     A week with no non-null key in a pivot gets nulls for that pivot; a
     level absent in a week that has others gets 0.
+
+    A level that repeats a name already present (another pivot's level or a
+    base feature) is rejected with ``on_clash="raise"``; ``"suffix"`` names
+    the earlier column ``<name>_x`` and the later ``<name>_y``, as a chain of
+    left merges would.
     """
     base = _prepared(df, cols)
     if persist_input:
@@ -132,13 +137,24 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
            F.coalesce(F.col("unique_transactions"), F.lit(0)).cast("long").alias("unique_transactions"),
            F.col("unique_customers").cast("long").alias("unique_customers"),
            F.col("discounted_transactions")]
-    out += [F.when(F.col("cat_any"), F.coalesce(F.col(f"c{i}"), F.lit(0.0))).alias(str(v))
-            for i, v in enumerate(categories)]
-    out += [F.when(F.col("pay_any"), F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("long")).alias(str(v))
-            for i, v in enumerate(payments)]
-    out += [F.when(F.col("loc_any"), F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("long")).alias(str(v))
-            for i, v in enumerate(locations)]
-    weekly = j.select(*out)
+    names = [WEEK, *BASE_FEATURES]
+    groups = [
+        [(str(v), F.when(F.col("cat_any"), F.coalesce(F.col(f"c{i}"), F.lit(0.0))))
+         for i, v in enumerate(categories)],
+        [(str(v), F.when(F.col("pay_any"), F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("long")))
+         for i, v in enumerate(payments)],
+        [(str(v), F.when(F.col("loc_any"), F.coalesce(F.col(f"l{i}"), F.lit(0)).cast("long")))
+         for i, v in enumerate(locations)],
+    ]
+    exprs = list(zip(names, out))
+    for group in groups:
+        clash = {n for n, _ in group} & {n for n, _ in exprs}
+        if clash and on_clash == "raise":
+            raise ValueError(f"weekly pivot columns clash with existing columns: {sorted(clash)}; "
+                             "pass on_clash='suffix' or rename the levels")
+        exprs = [((f"{n}_x" if n in clash else n), e) for n, e in exprs]
+        exprs += [((f"{n}_y" if n in clash else n), e) for n, e in group]
+    weekly = j.select(*[e.alias(n) for n, e in exprs])
     if not checkpoint:
         return weekly
     result = cut_lineage(weekly)
@@ -186,10 +202,11 @@ def week_range(df: DataFrame, start: str | None = None, end: str | None = None)
 def weekly_features(df: DataFrame, cols: Columns = REFERENCE_COLUMNS, n_past_week: int = 6,
                     n_future_week: int = 1, start_date: str | None = None,
                     end_date: str | None = None, categories: list | None = None,
-                    payments: list | None = None, locations: list | None = None) -> DataFrame:
+                    payments: list | None = None, locations: list | None = None,
+                    on_clash: str = "raise") -> DataFrame:
     """Weekly aggregates, lags and leads, then the week-range filter
     (applied after the window, so lags still see earlier weeks)."""
-    weekly = weekly_aggregates(df, cols, categories, payments, locations)
+    weekly = weekly_aggregates(df, cols, categories, payments, locations, on_clash=on_clash)
     return week_range(add_lags_leads(weekly, n_past_week, n_future_week), start_date, end_date)
 
 

@@ -77,3 +77,17 @@ def test_row_verdicts(spark, sheet):
     assert verdicts(45, "Quantity", "Total Spent") == (True, "False")
     # discount spelled in capitals is not in the domain
     assert verdicts(100, "Discount Applied") == (False,)
+
+
+def test_text_table_with_junk_numbers(spark, sheet):
+    """All-text input with junk numbers: weekly features and quantiles do not
+    fail under ANSI casts; junk counts as missing."""
+    from ledgerlint.operators.quantiles import exact_quantiles
+    from ledgerlint.operators.weekly import weekly_features
+    import pytest as _pytest
+    with _pytest.raises(ValueError, match="Unknown"):
+        weekly_features(sheet.drop("row_no"), n_past_week=1, n_future_week=1)
+    wk = weekly_features(sheet.drop("row_no"), n_past_week=1, n_future_week=1, on_clash="suffix")
+    assert {"Unknown_x", "Unknown_y"} <= set(wk.columns) and wk.count() >= 1
+    q = exact_quantiles(sheet, "Total Spent", [0.5])[0]
+    assert q == 185.0
