@@ -26,7 +26,7 @@ def missing_bars(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def box_summary(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     """V2 / V7: five-number summary per column (and per ``by`` group)."""
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x"),
+    parts = [F.struct(F.lit(c).alias("column"), S.as_number(df, c).alias("x"),
                       *([F.col(f"`{by}`").cast("string").alias("grp")] if by else []))
              for c in columns]
     long = df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").where(F.col("x").isNotNull())
@@ -48,14 +48,14 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 10, by: str | None
     Bucket = floor((x - min) / (max - min) * bins), the maximum in the last
     bucket. The bounds are one aggregate (bounded: two numbers per column).
     """
-    row = df.agg(*[F.min(F.col(f"`{c}`")).alias(f"lo{i}") for i, c in enumerate(columns)],
-                 *[F.max(F.col(f"`{c}`")).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.min(S.as_number(df, c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+                 *[F.max(S.as_number(df, c)).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
     parts = []
     for i, c in enumerate(columns):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
         if lo is None:
             continue
-        x = F.col(f"`{c}`").cast("double")
+        x = S.as_number(df, c)
         width = float(hi) - float(lo)
         b = (F.lit(0) if width == 0 else
              F.least(F.floor((x - F.lit(float(lo))) / F.lit(width) * F.lit(bins)), F.lit(bins - 1)))
