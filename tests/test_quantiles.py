@@ -52,3 +52,12 @@ def test_grouped_hot_group_split_over_tasks(spark):
     got = {r["g"]: r["q0"] for r in grouped_quantiles(df, ["g"], "x", [0.5], rows_per_task=500).collect()}
     ref = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("x", 0.5).alias("p")).collect()}
     assert all(abs(got[k] - ref[k]) < 1e-9 for k in ref)
+
+
+def test_modes_across_types(spark):
+    from ledgerlint.operators.quantiles import exact_modes
+    df = spark.createDataFrame([("b", 2, 1.5), ("a", 2, 1.5), ("a", 3, 2.5), ("b", 3, None), (None, 1, 2.5)],
+                               "s string, i int, d double")
+    got = exact_modes(df, ["s", "i", "d"])
+    ref = df.agg(*[F.mode(c, deterministic=True).alias(c) for c in ["s", "i", "d"]]).first()
+    assert got == {"s": ref["s"], "i": ref["i"], "d": ref["d"]} == {"s": "a", "i": 2, "d": 1.5}
