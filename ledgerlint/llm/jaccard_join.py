@@ -27,6 +27,9 @@ from ledgerlint.llm.words import SliceHash, chunks, flat, lower_ascii, mix, word
 
 SKETCH = 1 << 16
 ROUNDS = 3
+#: 64-bit words of a set's bitmap: bit b says whether the number of its n-grams that fall on b is odd.
+BITMAP = 16
+BITS = [f"s{i}" for i in range(BITMAP)]
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int, rank: np.ndarray | None = None):
@@ -73,14 +76,17 @@ def need(size, other, percent: int):
 
 
 def prefixes(keyed: DataFrame, n: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """One row per document: size and hash ``h`` of its set and the n-grams
-    of its prefix, rarest first."""
+    """One row per document: size, hash ``h`` and bitmap of its set and the
+    n-grams of its prefix, rarest first."""
     def scan(batches):
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, rows=1 << 11):
                 marks, bounds = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], n, rank)
                 size = np.diff(bounds)
+                bit = np.repeat(np.arange(b - a), size) * (64 * BITMAP) + (marks % np.uint64(64 * BITMAP)).astype(np.int64)
+                odd = (np.bincount(bit, minlength=(b - a) * 64 * BITMAP) & 1).astype(np.uint8)
+                maps = np.packbits(odd).view(np.int64).reshape(b - a, BITMAP)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(marks ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
                 h = mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 width = np.where(size > 0, size - (-(-percent * size // 100)) + 1, 0)
@@ -90,23 +96,38 @@ def prefixes(keyed: DataFrame, n: int, percent: int, rank: np.ndarray) -> DataFr
                                                  pa.array(marks[inner].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("did").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(size.astype(np.int32)),
-                     pa.array(h.view(np.int64)), lists], names=["did", "th", "size", "h", "prefix"])
+                     pa.array(h.view(np.int64)), lists, *(pa.array(np.ascontiguousarray(m)) for m in maps.T)],
+                    names=["did", "th", "size", "h", "prefix", *BITS])
+
+    return keyed.select("did", "th", "text").mapInArrow(
+        scan, "did long, th int, size int, h long, prefix array<long>, " + ", ".join(f"{s} long" for s in BITS))
+
+
+def sides(classes: DataFrame, name: str) -> DataFrame:
+    return classes.select(*[F.col(c).alias(name + c) for c in ("h", "size", *BITS)])
+
 
-    return keyed.select("did", "th", "text").mapInArrow(scan, "did long, th int, size int, h long, prefix array<long>")
+def near_enough(percent: int) -> str:
+    """The bitmaps of classes x and y differ in no more bits than the sets of
+    a linked pair can differ in n-grams: a bound on what the whole sets share."""
+    differ = " + ".join(f"bit_count(x{s} ^ y{s})" for s in BITS)
+    return f"({differ}) * {100 + percent} <= {100 - percent} * (xsize + ysize)"
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets are as similar as asked."""
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sets are as similar as asked: by their
+    bitmaps first, then by the suffix filter and the texts."""
     left = texts.select(F.col("h").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("h").alias("b"), F.col("text").alias("tb"))
+    pairs = pairs.join(sides(classes, "x"), F.col("a") == F.col("xh")).join(sides(classes, "y"), F.col("b") == F.col("yh")) \
+        .where(near_enough(percent)).select("a", "b")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def check(batches):
         for batch in batches:
-            sides = [flat(batch.column(c)) for c in ("ta", "tb")]
-            size = sides[0][1] + sides[1][1]
-            for x, y in chunks(size):
-                (p, pb), (q, qb) = (shingles(d[o[x]:o[y]], o[x:y + 1] - o[x], n) for d, o in sides)
+            two = [flat(batch.column(c)) for c in ("ta", "tb")]
+            for x, y in chunks(two[0][1] + two[1][1]):
+                (p, pb), (q, qb) = (shingles(d[o[x]:o[y]], o[x:y + 1] - o[x], n) for d, o in two)
                 keep = np.zeros(y - x, dtype=bool)
                 for i in range(y - x):
                     s, t = p[pb[i]:pb[i + 1]], q[qb[i]:qb[i + 1]]
@@ -152,9 +173,10 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     shared = grams.join(several, "g", "left_semi").groupBy("g", "h", "size", "pos").agg(F.lit(1).alias("one")).drop("one")
     shared = written(shared, "jaccard-shared")
     place = full.join(shared.select("h").distinct(), "h", "left_semi") \
-        .groupBy("h").agg(F.min(F.struct("did", "th")).alias("p")).select("h", "p.did", "p.th")
-    texts = written(keyed.select("did", "th", "text").join(place, ["did", "th"])
-                    .groupBy("h").agg(F.first("text").alias("text")), "jaccard-texts")
+        .groupBy("h", "size", *BITS).agg(F.min(F.struct("did", "th")).alias("p"))
+    classes = written(place.select("h", "size", *BITS, "p.did", "p.th"), "jaccard-classes")
+    texts = written(keyed.select("did", "th", "text").join(classes.select("did", "th", "h"), ["did", "th"])
+                    .select("h", "text").dropDuplicates(["h"]), "jaccard-texts")
 
     links = tested = None
     for k in range(ROUNDS):
@@ -162,11 +184,11 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
-        found = written(verified(pairs, texts, n, percent), "jaccard-links")
+        found = written(verified(pairs, classes, texts, n, percent), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    rest = written(across(shared, components(links), percent).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = links.unionByName(written(verified(rest, texts, n, percent), "jaccard-links"))
+    rest = written(across(shared, classes, components(links), percent).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    links = links.unionByName(written(verified(rest, classes, texts, n, percent), "jaccard-links"))
 
     root = components(links).select(F.col("a").alias("h"), F.col("b").alias("root"))
     member = rows.select("did", "th", "size", "h").join(root, "h", "left") \
@@ -202,9 +224,9 @@ def with_roots(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
         .withColumn("root", F.coalesce("root", "h"))
 
 
-def across(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share an n-gram of
-    their prefixes and pass the length and positional filters.
+    their prefixes and pass the length, positional and bitmap filters.
 
     The smaller set (ties: smaller hash) needs only its shorter prefix. The
     first shared n-gram of a linked pair passes the positional filter: what
@@ -212,14 +234,14 @@ def across(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """
     rows = with_roots(shared, roots)
     mixed = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    rows = written(rows.join(mixed, "g", "left_semi"), "jaccard-across")
-    x = rows.select("g", *[F.col(c).alias("x" + c) for c in ("h", "size", "pos", "root")])
-    y = rows.select("g", *[F.col(c).alias("y" + c) for c in ("h", "size", "pos", "root")])
+    rows = written(rows.join(mixed, "g", "left_semi").join(classes.select("h", *BITS), "h"), "jaccard-across")
+    x, y = (rows.select("g", *[F.col(c).alias(n + c) for c in ("h", "size", "pos", "root", *BITS)]) for n in "xy")
     least = f"ceil({percent} * (xsize + ysize) / {100 + percent})"
     met = x.join(y, "g").where("xroot <> yroot and (xsize < ysize or xsize = ysize and xh < yh)") \
         .where(f"xsize * 100 >= ysize * {percent}") \
         .where(f"xpos <= xsize - ceil({2 * percent} * xsize / {100 + percent})") \
-        .where(f"least(xsize - xpos, ysize - ypos) >= {least}")
+        .where(f"least(xsize - xpos, ysize - ypos) >= {least}") \
+        .where(near_enough(percent))
     return met.select(F.greatest("xh", "yh").alias("a"), F.least("xh", "yh").alias("b")).distinct()
 
 

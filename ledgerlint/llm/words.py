@@ -69,13 +69,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
-    """Ranges of rows of about ``most`` bytes; a longer text is one range."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, rows: int = 1 << 13):
+    """Ranges of rows of about ``most`` bytes (and ``rows`` rows) at most; a
+    longer text is one range."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(b, n, a + rows)
+        yield a, b
+        a = b
 
 
 IS_NO_LETTER = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
