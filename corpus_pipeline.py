@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlint.llm.common import NULL_ID, col, written
+from ledgerlint.llm.common import col, written
 from ledgerlint.llm.decontaminate import decontaminated
-from ledgerlint.llm.jaccard_join import ngram_components
+from ledgerlint.llm.jaccard_join import one_of_each
 from ledgerlint.llm.language import UNKNOWN, fit_dictionaries, identify
 from ledgerlint.llm.packing import default_tokenizer, pack
 from ledgerlint.llm.substring_dedup import remove_repeated_words
@@ -24,44 +24,37 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 MIN_REPEAT_WORDS = 40
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under names that no operator uses, and those names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[col(c).alias(n) for c, n in names.items()]), names
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected: no letter at all, or
     the best dictionary saves less than ``MIN_MARGIN`` over the next."""
-    judged = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col("text").alias("text"))
-    judged = identify(judged, fit_dictionaries(docs))
+    rows, name = plain(docs)
+    judged = identify(rows, fit_dictionaries(docs), name["text"])
     kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_MARGIN))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id (of rows
-    that repeat an id, the first by the text's hash; of rows repeated whole,
-    one). Documents without words are no copies of each other."""
-    whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col("doc_id").alias("doc_id"),
-                        col("text").alias("text"))
-    rows = ngram_components(whole, NEAR_WORDS, NEAR_PERCENT)
-    did, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64("text")
-    order = F.struct(did.alias("did"), th.alias("th"), F.xxhash64("row").alias("rh"))
-    rows = written(rows.withColumn("k", order), "pipeline-components")
-    single = rows.where("n_shingles = 0").select("row")
-    group = F.coalesce(F.col("component_id"), F.lit(NULL_ID)).alias("g")
-    first = rows.where("n_shingles > 0").select(group, "k").groupBy("g").agg(F.min("k").alias("k"))
-    kept = rows.where("n_shingles > 0").select("row", "k").join(first.select("k"), "k", "left_semi")
-    repeated = kept.groupBy("k").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(repeated).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """One document of each group of near copies (see ``one_of_each``)."""
+    return one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of ``MIN_REPEAT_WORDS`` words or more that stand earlier in
     the corpus are cut out of the text; ``n_chars`` follows the new text.
     Documents that lose nothing keep their text as it is."""
-    whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col("doc_id").alias("doc_id"),
-                        col("text").alias("text"))
-    out = remove_repeated_words(whole, MIN_REPEAT_WORDS)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
-           .otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[(new[c] if new.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    rows, name = plain(docs)
+    out = remove_repeated_words(rows, MIN_REPEAT_WORDS, name["doc_id"], name["text"])
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col(name["text"]))}
+    if "n_chars" in name:
+        new["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col(name["n_chars"]))
+    return out.select(*[new.get(c, F.col(n)).alias(c) for c, n in name.items()])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.llm.common import row_keys, with_results, written
+from ledgerlint.llm.common import NULL_ID, row_keys, with_results, written
 from ledgerlint.llm.components import components
 from ledgerlint.llm.words import SliceHash, chunks, flat, lower_ascii, mix, word_hashes
 
@@ -149,20 +149,10 @@ def suffix_bound(s: np.ndarray, t: np.ndarray, parts: int = 16) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """The documents with ``n_shingles`` (set size), ``component_id``
-    (smallest id reachable by links) and ``component_rows``.
-
-    Two documents link if 100 * |A and B| >= percent * |A or B|. Words are
-    runs of bytes other than blanks, A-Z lower-cased.
-
-    Null or empty text: an empty set, linked with nothing (its own id). A
-    null id has a null component id unless linked with others. Rows repeated
-    whole share a component. Input columns named like a result are replaced,
-    others pass through. Empty table: empty.
-    """
-    keyed = row_keys(docs, id_col, text_col)
+def component_keys(keyed: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per document with words (``did``, ``th``; rows repeated whole
+    give one): ``size`` of its set, ``root`` of its component and ``copies``,
+    the rows it stands for."""
     rank = sketch(keyed.select("text"), n)
     rows = written(prefixes(keyed, n, percent, rank), "jaccard-prefixes")
     full = rows.where("size > 0")
@@ -191,20 +181,52 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     links = links.unionByName(written(verified(rest, classes, texts, n, percent), "jaccard-links"))
 
     root = components(links).select(F.col("a").alias("h"), F.col("b").alias("root"))
-    member = rows.select("did", "th", "size", "h").join(root, "h", "left") \
-        .withColumn("root", F.coalesce("root", "h"))
-    named = member.where("size > 0").groupBy("root").agg(F.min("did").alias("low"), F.count(F.lit(1)).alias("component_rows"))
-    result = member.join(named, "root", "left").where("size > 0") \
-        .groupBy("did", "th").agg(F.first("size").cast("long").alias("n"), F.first("low").alias("low"),
-                                  F.first("component_rows").alias("component_rows"))
+    return full.groupBy("did", "th", "size", "h").agg(F.count(F.lit(1)).alias("copies")).join(root, "h", "left") \
+        .select("did", "th", "size", F.coalesce("root", "h").alias("root"), "copies")
+
+
+def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """The documents with ``n_shingles`` (set size), ``component_id``
+    (smallest id reachable by links) and ``component_rows``.
+
+    Two documents link if 100 * |A and B| >= percent * |A or B|. Words are
+    runs of bytes other than blanks, A-Z lower-cased.
+
+    Null or empty text: an empty set, linked with nothing (its own id, one
+    row). A null id counts as smaller than any, and a component that holds
+    one has a null id. Rows repeated whole share a component. Input columns
+    named like a result are replaced, others pass through. Empty table: empty.
+    """
+    keyed = row_keys(docs, id_col, text_col)
+    keys = written(component_keys(keyed, n, percent), "jaccard-components")
+    low = keys.groupBy("root").agg(F.min("did").alias("low"), F.sum("copies").alias("component_rows"))
+    result = keys.join(low, "root").groupBy("did", "th") \
+        .agg(F.max("size").cast("long").alias("n"), F.min("low").alias("low"), F.max("component_rows").alias("rows"))
     out = keyed.select("__row", "did", "th").join(result, ["did", "th"], "left")
-    own = F.when(F.coalesce(F.col("low"), F.col("did")) != F.lit(-(2 ** 63)), F.coalesce(F.col("low"), F.col("did")))
+    own = F.coalesce(F.col("low"), F.col("did"))
     out = out.withColumn("n_shingles", F.coalesce(F.col("n"), F.lit(0).cast("long"))) \
-        .withColumn("component_id", own) \
-        .withColumn("component_rows", F.coalesce(F.col("component_rows"), F.lit(1).cast("long")))
+        .withColumn("component_id", F.when(own != NULL_ID, own)) \
+        .withColumn("component_rows", F.coalesce(F.col("rows"), F.lit(1).cast("long")))
     return with_results(out, docs.columns, ["n_shingles", "component_id", "component_rows"])
 
 
+def one_of_each(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the row of the
+    smallest id stays (of rows that repeat an id, the first by the text's
+    hash; of rows repeated whole, one). Documents without words all stay."""
+    keyed = row_keys(docs, id_col, text_col)
+    keys = written(component_keys(keyed, n, percent), "jaccard-components")
+    first = keys.groupBy("root").agg(F.min(F.struct("did", "th")).alias("f"))
+    mark = keys.join(first, "root").withColumn("stays", F.struct("did", "th") == F.col("f")) \
+        .groupBy("did", "th").agg(F.max("stays").alias("stays"), F.max("copies").alias("copies")) \
+        .where("not stays or copies > 1")
+    told = keyed.select("__row", "did", "th").join(mark, ["did", "th"], "left")
+    once = told.where("stays").dropDuplicates(["did", "th"])
+    kept = told.where("stays is null").select("__row").unionByName(once.select("__row"))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def centre_pairs(shared: DataFrame, k: int, percent: int, roots: DataFrame | None) -> DataFrame:
     """Each class with the centre of each of its prefix n-grams, unless they
     are linked already or differ too much in size."""

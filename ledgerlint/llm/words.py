@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(1, 2 ** 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -62,7 +62,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the n+1 offsets into them; null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
