@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,19 +15,30 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 NULL_ID = -(2 ** 63)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, made: list | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder of
     ``spark.checkpoint.dir`` and read it back: later jobs start from the
-    files, also after an executor is lost."""
+    files, also after an executor is lost. ``made`` gets the path, for
+    ``drop`` once no later job can read it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     # the shuffles behind the files are of no use now; Spark drops them when the driver collects its garbage
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, made: list) -> None:
+    """Delete scratch tables that ``written`` made."""
+    for name in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    made.clear()
+
+
 def col(name: str) -> Column:
     """A column by its plain name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")

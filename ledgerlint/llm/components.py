@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.llm.common import written
+from ledgerlint.llm.common import drop, written
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,15 +30,18 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, made: list) -> DataFrame:
     """``a`` and the smallest node ``b`` that it is linked with, for every
-    node but the smallest of its component. Edges are (a, b), any order."""
+    node but the smallest of its component. Edges are (a, b), any order.
+    ``made`` gets the path of the result's table."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-                  "component-edges")
+                  "component-edges", made)
     mark = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or seen[0] == 0:
             return now
         mark = seen
-        now = written(star(star(now, True), False), "component-edges")
+        before = [made.pop()]
+        now = written(star(star(now, True), False), "component-edges", made)
+        drop(now.sparkSession, before)

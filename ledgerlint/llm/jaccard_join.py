@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.llm.common import NULL_ID, row_keys, with_results, written
+from ledgerlint.llm.common import NULL_ID, drop, row_keys, with_results, written
 from ledgerlint.llm.components import components
 from ledgerlint.llm.words import SliceHash, chunks, flat, lower_ascii, mix, word_hashes
 
@@ -149,38 +149,38 @@ def suffix_bound(s: np.ndarray, t: np.ndarray, parts: int = 16) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def component_keys(keyed: DataFrame, n: int, percent: int) -> DataFrame:
+def component_keys(keyed: DataFrame, n: int, percent: int, made: list) -> DataFrame:
     """One row per document with words (``did``, ``th``; rows repeated whole
     give one): ``size`` of its set, ``root`` of its component and ``copies``,
-    the rows it stands for."""
+    the rows it stands for. ``made`` gets the scratch tables behind it."""
     rank = sketch(keyed.select("text"), n)
-    rows = written(prefixes(keyed, n, percent, rank), "jaccard-prefixes")
+    rows = written(prefixes(keyed, n, percent, rank), "jaccard-prefixes", made)
     full = rows.where("size > 0")
 
     # classes under each prefix n-gram; copies collapse before the shuffle
     grams = full.select("h", "size", F.posexplode("prefix").alias("pos", "g"))
     several = grams.groupBy("g").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("g")
     shared = grams.join(several, "g", "left_semi").groupBy("g", "h", "size", "pos").agg(F.lit(1).alias("one")).drop("one")
-    shared = written(shared, "jaccard-shared")
+    shared = written(shared, "jaccard-shared", made)
     place = full.join(shared.select("h").distinct(), "h", "left_semi") \
         .groupBy("h", "size", *BITS).agg(F.min(F.struct("did", "th")).alias("p"))
-    classes = written(place.select("h", "size", *BITS, "p.did", "p.th"), "jaccard-classes")
+    classes = written(place.select("h", "size", *BITS, "p.did", "p.th"), "jaccard-classes", made)
     texts = written(keyed.select("did", "th", "text").join(classes.select("did", "th", "h"), ["did", "th"])
-                    .select("h", "text").dropDuplicates(["h"]), "jaccard-texts")
+                    .select("h", "text").dropDuplicates(["h"]), "jaccard-texts", made)
 
     links = tested = None
     for k in range(ROUNDS):
-        pairs = centre_pairs(shared, k, percent, None if links is None else components(links))
+        pairs = centre_pairs(shared, k, percent, None if links is None else components(links, made))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        found = written(verified(pairs, classes, texts, n, percent), "jaccard-links")
+        pairs = written(pairs, "jaccard-pairs", made)
+        found = written(verified(pairs, classes, texts, n, percent), "jaccard-links", made)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    rest = written(across(shared, classes, components(links), percent).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = links.unionByName(written(verified(rest, classes, texts, n, percent), "jaccard-links"))
+    rest = written(across(shared, classes, components(links, made), percent, made).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs", made)
+    links = links.unionByName(written(verified(rest, classes, texts, n, percent), "jaccard-links", made))
 
-    root = components(links).select(F.col("a").alias("h"), F.col("b").alias("root"))
+    root = components(links, made).select(F.col("a").alias("h"), F.col("b").alias("root"))
     return full.groupBy("did", "th", "size", "h").agg(F.count(F.lit(1)).alias("copies")).join(root, "h", "left") \
         .select("did", "th", "size", F.coalesce("root", "h").alias("root"), "copies")
 
@@ -199,7 +199,9 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     named like a result are replaced, others pass through. Empty table: empty.
     """
     keyed = row_keys(docs, id_col, text_col)
-    keys = written(component_keys(keyed, n, percent), "jaccard-components")
+    made = []
+    keys = written(component_keys(keyed, n, percent, made), "jaccard-components")
+    drop(docs.sparkSession, made)
     low = keys.groupBy("root").agg(F.min("did").alias("low"), F.sum("copies").alias("component_rows"))
     result = keys.join(low, "root").groupBy("did", "th") \
         .agg(F.max("size").cast("long").alias("n"), F.min("low").alias("low"), F.max("component_rows").alias("rows"))
@@ -216,7 +218,9 @@ def one_of_each(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", t
     smallest id stays (of rows that repeat an id, the first by the text's
     hash; of rows repeated whole, one). Documents without words all stay."""
     keyed = row_keys(docs, id_col, text_col)
-    keys = written(component_keys(keyed, n, percent), "jaccard-components")
+    made = []
+    keys = written(component_keys(keyed, n, percent, made), "jaccard-components")
+    drop(docs.sparkSession, made)
     first = keys.groupBy("root").agg(F.min(F.struct("did", "th")).alias("f"))
     mark = keys.join(first, "root").withColumn("stays", F.struct("did", "th") == F.col("f")) \
         .groupBy("did", "th").agg(F.max("stays").alias("stays"), F.max("copies").alias("copies")) \
@@ -246,7 +250,7 @@ def with_roots(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
         .withColumn("root", F.coalesce("root", "h"))
 
 
-def across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, made: list) -> DataFrame:
     """All pairs of classes of different components that share an n-gram of
     their prefixes and pass the length, positional and bitmap filters.
 
@@ -256,7 +260,7 @@ def across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
     """
     rows = with_roots(shared, roots)
     mixed = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    rows = written(rows.join(mixed, "g", "left_semi").join(classes.select("h", *BITS), "h"), "jaccard-across")
+    rows = written(rows.join(mixed, "g", "left_semi").join(classes.select("h", *BITS), "h"), "jaccard-across", made)
     x, y = (rows.select("g", *[F.col(c).alias(n + c) for c in ("h", "size", "pos", "root", *BITS)]) for n in "xy")
     least = f"ceil({percent} * (xsize + ysize) / {100 + percent})"
     met = x.join(y, "g").where("xroot <> yroot and (xsize < ysize or xsize = ysize and xh < yh)") \
