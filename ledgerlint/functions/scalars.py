@@ -32,9 +32,9 @@ def full_match_or_false(c, pattern: str) -> Column:
 
 
 def is_blank(c) -> Column:
-    """Missing or only whitespace (F2, blank-aware missing)."""
+    """Missing or only whitespace, Unicode blanks included (F2)."""
     s = col_of(c).cast("string")
-    return s.isNull() | s.rlike(r"\A\s*\z")
+    return s.isNull() | s.rlike(r"(?U)\A\s*\z")
 
 
 def is_numeric_type(dtype: T.DataType) -> bool:

@@ -64,7 +64,7 @@ def value_shares(df: DataFrame, column: str, normalize: bool = True) -> DataFram
         return counts
     counts = cut_lineage(counts)
     total = counts.agg(F.sum("n_rows")).first()[0] or 0
-    return counts.withColumn("share", S.round_double(
+    return counts.withColumn("share", (
         F.try_divide(F.col("n_rows").cast("double"), F.lit(float(total)))))
 
 
@@ -81,14 +81,14 @@ def quantiles(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75),
         wide = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), list(probs), approx_accuracy)
                         .alias(f"{c}__q") for c in columns])
         parts = [F.struct(F.lit(c).alias("column"),
-                          *[S.round_double(F.col(f"`{c}__q`")[i]).alias(n) for i, n in enumerate(names)])
+                          *[(F.col(f"`{c}__q`")[i]).alias(n) for i, n in enumerate(names)])
                  for c in columns]
         return _explode_structs(wide, parts)
     qs = exact_quantiles_multi(df, columns, probs)
     rows = [(c, *qs[c]) for c in columns]
     schema = "column string, " + ", ".join(f"{n} double" for n in names)
     out = df.sparkSession.createDataFrame(rows, schema)
-    return out.select("column", *[S.round_double(F.col(n)).alias(n) for n in names])
+    return out.select("column", *[(F.col(n)).alias(n) for n in names])
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -110,12 +110,12 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         q = quarts[c]
         parts.append(F.struct(
             F.lit(c).alias("column"), F.col(f"`{c}__count`").alias("count"),
-            S.round_double(F.col(f"`{c}__mean`")).alias("mean"),
-            S.round_double(F.col(f"`{c}__std`")).alias("std"),
+            (F.col(f"`{c}__mean`")).alias("mean"),
+            (F.col(f"`{c}__std`")).alias("std"),
             F.col(f"`{c}__min`").cast("double").alias("min"),
-            S.round_double(F.lit(q[0]).cast("double")).alias("p25"),
-            S.round_double(F.lit(q[1]).cast("double")).alias("p50"),
-            S.round_double(F.lit(q[2]).cast("double")).alias("p75"),
+            (F.lit(q[0]).cast("double")).alias("p25"),
+            (F.lit(q[1]).cast("double")).alias("p50"),
+            (F.lit(q[2]).cast("double")).alias("p75"),
             F.col(f"`{c}__max`").cast("double").alias("max")))
     return _explode_structs(wide, parts)
 
@@ -136,7 +136,7 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     wide = df.agg(*[F.corr(F.col(a), F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
     parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      S.round_double(F.col(f"`{a}__{b}`")).alias("r")) for a, b in pairs]
+                      (F.col(f"`{a}__{b}`")).alias("r")) for a, b in pairs]
     return _explode_structs(wide, parts)
 
 
@@ -156,7 +156,7 @@ def mode_median(df: DataFrame, columns: list[str]) -> DataFrame:
         rows.append((c, exact_quantiles(df, c, [0.5])[0], mode))
     dtype = {c: S.dtype_of(df, c).simpleString() for c in columns}
     parts = [F.struct(F.lit(c).alias("column"),
-                      S.round_double(F.lit(med).cast("double")).alias("median"),
+                      (F.lit(med).cast("double")).alias("median"),
                       F.lit(mode).cast(dtype[c]).cast("string").alias("mode"))
              for c, med, mode in rows]
     return df.sparkSession.range(1).select(F.explode(F.array(*parts)).alias("r")).select("r.*")
@@ -172,7 +172,7 @@ def text_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
     wide = df.agg(*aggs)
     parts = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}__min`").alias("min_length"),
                       F.col(f"`{c}__max`").alias("max_length"),
-                      S.round_double(F.col(f"`{c}__avg`")).alias("avg_length")) for c in columns]
+                      (F.col(f"`{c}__avg`")).alias("avg_length")) for c in columns]
     return _explode_structs(wide, parts)
 
 
@@ -198,4 +198,4 @@ def share_outside(df: DataFrame, column: str, low: float | None = None,
     if high is not None:
         cond = cond | (x > F.lit(high))
     return df.agg(F.count_if(cond).alias("n_outside"), F.count(F.lit(1)).alias("rows")) \
-             .withColumn("share", S.round_double(S.percent(F.col("n_outside"), F.col("rows"))))
+             .withColumn("share", (S.percent(F.col("n_outside"), F.col("rows"))))

@@ -43,14 +43,15 @@ def add_uniqueness(df: DataFrame, order_cols: list[str] | None = None,
 def audit(df: DataFrame, master: DataFrame, cols: Columns = REFERENCE_COLUMNS,
           rules: RuleSet = REFERENCE_RULES, order_cols: list[str] | None = None,
           uniqueness_passes: int = 1, max_broadcast_rows: int = 1_000_000,
-          total_tolerance: float | None = None) -> DataFrame:
+          total_tolerance: float | None = None, uniqueness: bool = True) -> DataFrame:
     """Annotate every row with the reference's 34-column audit.
 
     ``order_cols`` names the row-id columns (excluded from the checks and
     used for "first occurrence"); without them file order is used.
+    ``uniqueness=False`` leaves the uniqueness flag and its shuffles out.
     """
     data_cols = [c for c in df.columns if c not in (order_cols or [])]
-    out = add_uniqueness(df, order_cols, key_cols=data_cols, passes=uniqueness_passes)
+    out = add_uniqueness(df, order_cols, key_cols=data_cols, passes=uniqueness_passes) if uniqueness else df
     out = add_completeness_flags(out, data_cols)
     out = V.add_validity_columns(out, V.simple_rules(cols, rules))
     out = out.select("*", V.item_rule(out, cols, rules).alias(f"{cols.item}_validity"))

@@ -36,9 +36,9 @@ def box_summary(df: DataFrame, columns: list[str], by: str | None = None) -> Dat
     ext = long.groupBy(*keys).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n"))
     qs = grouped_quantiles(long, keys, "x", [0.25, 0.5, 0.75])
     out = ext.join(qs, keys, "left")
-    res = out.select(*keys, "n", F.col("min"), S.round_double(F.col("q0")).alias("q1"),
-                     S.round_double(F.col("q1")).alias("median"),
-                     S.round_double(F.col("q2")).alias("q3"), F.col("max"))
+    res = out.select(*keys, "n", F.col("min"), (F.col("q0")).alias("q1"),
+                     (F.col("q1")).alias("median"),
+                     (F.col("q2")).alias("q3"), F.col("max"))
     return res.withColumnRenamed("grp", by) if by else res
 
 
@@ -67,7 +67,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 10, by: str | None
     if by:
         long = long.where(F.col("grp").isNotNull())
     keys = ["column", "bucket"] + (["grp"] if by else [])
-    out = long.groupBy(*keys).agg(S.round_double(F.first("bucket_start")).alias("bucket_start"),
+    out = long.groupBy(*keys).agg((F.first("bucket_start")).alias("bucket_start"),
                                   F.count(F.lit(1)).alias("n"))
     return out.withColumnRenamed("grp", by) if by else out
 
@@ -90,7 +90,7 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     counts = cut_lineage(df.groupBy(F.col(f"`{target}`").cast("string").alias("class"))
                            .agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.withColumn("pct", S.round_double(S.percent(F.col("n"), F.lit(total))))
+    return counts.withColumn("pct", (S.percent(F.col("n"), F.lit(total))))
 
 
 def tagged_union(before: DataFrame, after: DataFrame, columns: list[str],

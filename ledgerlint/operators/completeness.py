@@ -35,7 +35,7 @@ def missing_report(df: DataFrame, columns: list[str] | None = None,
     wide = df.agg(*aggs)
     for c in columns:
         wide = wide.withColumn(f"{c}__missing_pct",
-                               S.round_double(S.percent(F.col(f"`{c}__missing_count`"), F.col("__rows"))))
+                               (S.percent(F.col(f"`{c}__missing_count`"), F.col("__rows"))))
     long = _stack(wide, columns, ["missing_count", "missing_pct"])
     pos = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     return long.withColumn("position", F.element_at(pos, F.col("column")).cast("int"))

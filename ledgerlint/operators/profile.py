@@ -99,7 +99,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
         F.coalesce(F.col("lengths"), F.array().cast("array<int>")).alias("lengths"),
         F.when(F.col("is_numeric"), F.col("min_value")).alias("min_value"),
         F.when(F.col("is_numeric"), F.col("max_value")).alias("max_value"),
-        F.when(~F.col("is_numeric"), S.round_double(F.col("avg_len"))).alias("avg_length"))
+        F.when(~F.col("is_numeric"), (F.col("avg_len"))).alias("avg_length"))
 
 
 def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 10,
@@ -147,5 +147,5 @@ def discount_by_day(df: DataFrame, date_col: str, discount_col: str) -> DataFram
     counts = cut_lineage(long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_rows")))
     # every discounted row with a date has exactly one weekday
     total = counts.where(F.col("kind") == "weekday").agg(F.sum("n_rows")).first()[0] or 0
-    return counts.withColumn("share", S.round_double(F.try_divide(F.col("n_rows").cast("double"),
+    return counts.withColumn("share", (F.try_divide(F.col("n_rows").cast("double"),
                                                                    F.lit(float(total)))))

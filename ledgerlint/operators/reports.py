@@ -32,9 +32,9 @@ def _report(df: DataFrame, checks: dict, valid_name: str = "valid") -> DataFrame
         nm = rows - m
         parts.append(F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("position"), rows.alias("rows"),
-            m.alias("missing_count"), S.round_double(S.percent(m, rows)).alias("missing_pct"),
+            m.alias("missing_count"), (S.percent(m, rows)).alias("missing_pct"),
             nm.alias("non_missing"), v.alias(f"{valid_name}_count"),
-            S.round_double(S.percent(v, nm)).alias(f"{valid_name}_pct")))
+            (S.percent(v, nm)).alias(f"{valid_name}_pct")))
     return wide.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 

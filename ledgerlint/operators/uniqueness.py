@@ -2,10 +2,9 @@
 
 Row uniqueness marks the first of identical rows. Instead of a window over
 all columns (which sends a hot group -- one row repeated a third of the
-table -- to one task), the first row id per group is found with an
-aggregate (combined map-side, so a hot group shrinks to one row before the
-shuffle) and joined back; AQE splits a skewed join partition on the fact
-side while the aggregate side holds one row per group.
+table -- to one task), row hashes are counted (combined map-side, so a hot
+group shrinks to one row before the shuffle) and only groups that occur
+twice are settled on their columns and joined back.
 """
 
 from __future__ import annotations
@@ -31,21 +30,23 @@ def flag_first_occurrence(df: DataFrame, key_cols: list[str], order_cols: list[s
     of rows equal on ``key_cols``; missing values compare equal."""
     order = F.struct(*[F.col(c) for c in order_cols])
     keys = [f"__uk{i}" for i in range(len(key_cols))]
-    # A 64-bit hash of the row leads the grouping and join keys: equal rows
-    # have equal hashes (nulls included), so groups are unchanged, while the
-    # sorts behind the aggregate and the merge join mostly compare one long
-    # instead of many strings.
-    row_hash = F.xxhash64(*[F.col(c) for c in key_cols])
-    firsts = (df.select(row_hash.alias("__uh"), *[F.col(c).alias(k) for c, k in zip(key_cols, keys)],
-                        order.alias("__uo"))
+    # Two 64-bit hashes of the row stand for it in a hash aggregate of counts;
+    # only rows of repeated hashes (usually few) are settled on the columns
+    # themselves and joined back. Every other row is unique.
+    hashes = [F.xxhash64(*[F.col(c) for c in key_cols]).alias("__uh"),
+              F.xxhash64(F.lit(1), *[F.col(c) for c in reversed(key_cols)]).alias("__ug")]
+    repeated = (df.select(*hashes).groupBy("__uh", "__ug").agg(F.count(F.lit(1)).alias("__n"))
+                  .where(F.col("__n") > 1).select("__uh", "__ug"))
+    firsts = (df.select(*hashes, *[F.col(c).alias(k) for c, k in zip(key_cols, keys)], order.alias("__uo"))
+                .join(repeated, ["__uh", "__ug"], "left_semi")
                 .groupBy("__uh", *keys).agg(F.min("__uo").alias("__first")))
-    left = df.withColumn("__lh", row_hash)
+    left = df.withColumn("__lh", F.xxhash64(*[F.col(c) for c in key_cols]))
     cond = reduce(lambda a, b: a & b,
                   [left["__lh"] == firsts["__uh"]]
                   + [left[c].eqNullSafe(firsts[k]) for c, k in zip(key_cols, keys)])
     joined = left.join(firsts, cond, "left")
     return joined.select(*[left[c] for c in df.columns],
-                         (order == F.col("__first")).alias(flag))
+                         (F.col("__first").isNull() | (order == F.col("__first"))).alias(flag))
 
 
 def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:

@@ -33,35 +33,18 @@ BASE_FEATURES = ("weekly_avg_repeat_purchases", "total_sales", "unique_transacti
                  "unique_customers", "discounted_transactions")
 
 
-def distinct_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list:
-    """Sorted distinct non-null values of a pivot column (bounded metadata).
-
-    Raises when there are more than ``max_levels`` values: a pivot that
-    wide is a data error, not a feature table.
-    """
-    vals = (df.where(F.col(f"`{column}`").isNotNull()).select(column).distinct()
-              .limit(max_levels + 1).collect())
-    if len(vals) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; pass the values explicitly")
-    return sorted(r[0] for r in vals)
-
-
-def pivot_levels(df: DataFrame, columns: list[str], max_levels: int = 1000) -> dict:
+def pivot_levels(df: DataFrame, columns: list[str]) -> dict:
     """Sorted distinct non-null values of several pivot columns in one job.
 
-    (column, value) pairs are de-duplicated by Spark; at most
-    ``max_levels`` per column (plus one, to detect overflow) come back.
+    Levels become output columns, so all of them are read; callers who know
+    them pass them instead.
     """
     parts = [F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]
     pairs = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
                .where(F.col("v").isNotNull()).distinct())
-    rows = pairs.limit(len(columns) * (max_levels + 1)).collect()
     out = {c: [] for c in columns}
-    for r in rows:
+    for r in pairs.collect():
         out[r["c"]].append(r["v"])
-    for c, vals in out.items():
-        if len(vals) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels; pass the values explicitly")
     return {c: sorted(v) for c, v in out.items()}
 
 
@@ -86,7 +69,7 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
     """One row per week: the 5 base features, one total per category, one
     distinct-transaction count per payment method and per location.
 
-    Pivot levels default to the values present (collected once, bounded).
+    Pivot levels default to the values present (collected once).
     A week with no non-null key in a pivot gets nulls for that pivot; a
     level absent in a week that has others gets 0.
 
@@ -118,7 +101,7 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
     # distinct transactions, overall and per payment / location level
     pay_loc = [f"p{i}" for i in range(len(payments))] + [f"l{i}" for i in range(len(locations))]
     by_txn = (base.where(F.col("__txn").isNotNull()).groupBy(WEEK, "__txn").agg(
-        *[F.max(F.col("__pay") == F.lit(v)).alias(f"p{i}") for i, v in enumerate(payments)],
+        F.lit(1).alias("one"), *[F.max(F.col("__pay") == F.lit(v)).alias(f"p{i}") for i, v in enumerate(payments)],
         *[F.max(F.col("__loc") == F.lit(v)).alias(f"l{i}") for i, v in enumerate(locations)]))
     wk_txn = by_txn.groupBy(WEEK).agg(
         F.count(F.lit(1)).alias("unique_transactions"),
@@ -132,7 +115,7 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
 
     j = wk_sum.join(wk_cust, WEEK, "left").join(wk_txn, WEEK, "left")
     out = [F.col(WEEK),
-           S.round_double(F.lit(1.0) - F.col("__groups") / F.col("__rows")).alias("weekly_avg_repeat_purchases"),
+           (F.lit(1.0) - F.col("__groups") / F.col("__rows")).alias("weekly_avg_repeat_purchases"),
            F.col("total_sales"),
            F.coalesce(F.col("unique_transactions"), F.lit(0)).cast("long").alias("unique_transactions"),
            F.col("unique_customers").cast("long").alias("unique_customers"),

@@ -7,6 +7,7 @@ oracles in ``ledgerlint.plans.oracles`` reproduce.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 
 from pyspark.ml.feature import Imputer
@@ -36,10 +37,17 @@ from ledgerlint.sources import tables as TB
 KEYS = list(TB.ROW_ID_COLUMNS)
 REGISTRY: "OrderedDict[str, callable]" = OrderedDict()
 
+# Shares, percentages and statistics: operators give them in full precision,
+# the registered queries to six places, so that engines agree.
+TO_SIX_PLACES = re.compile(r"share|mean|std|median|r|avg_length|statistic|bucket_start|[pq]\d+|(.*_)?pct|.*repeat_purchases.*")
+
 
 def register(name):
     def deco(fn):
-        REGISTRY[name] = fn
+        def run(spark, sf):
+            out = fn(spark, sf)
+            return _rounded(out, {c for c, t in out.dtypes if t == "double" and TO_SIX_PLACES.fullmatch(c)})
+        REGISTRY[name] = run
         return fn
     return deco
 
@@ -139,7 +147,7 @@ def q_full_audit(spark, sf):
 
 @register("audit_summary")
 def q_audit_summary(spark, sf):
-    audited = A.audit(text(spark, sf), TB.view_price_master(spark, sf), VC, VR, order_cols=KEYS)
+    audited = A.audit(text(spark, sf), TB.view_price_master(spark, sf), VC, VR, order_cols=KEYS, uniqueness=False)
     return A.verdict_counts(audited, VC)
 
 
@@ -229,6 +237,8 @@ TEXTS = [VC.transaction_id, VC.customer_id, VC.category, VC.item, VC.payment, VC
 
 
 def _rounded(df: DataFrame, names) -> DataFrame:
+    if not names:
+        return df
     return df.select(*[(S.round_double(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`"))
                        for c in df.columns])
 
@@ -380,23 +390,25 @@ def q_weekly_repeat_ratio(spark, sf):
     return _weekly(spark, sf).select(W.WEEK, "weekly_avg_repeat_purchases")
 
 
+def _weekly_pivot(spark, sf, **others):
+    """One pivot group, whatever its levels: the other two are left empty."""
+    wk = W.weekly_aggregates(typed(spark, sf), VC, **others)
+    return wk.drop(*W.BASE_FEATURES)
+
+
 @register("weekly_category")
 def q_weekly_category(spark, sf):
-    wk = _weekly(spark, sf)
-    return wk.select(W.WEEK, *[c for c in wk.columns if c in VR.categories])
+    return _weekly_pivot(spark, sf, payments=[], locations=[])
 
 
 @register("weekly_payment")
 def q_weekly_payment(spark, sf):
-    wk = _weekly(spark, sf)
-    return wk.select(W.WEEK, *[F.col(f"`{c}`") for c in wk.columns
-                               if c in ("Cash", "Credit Card", "Crypto", "Digital Wallet")])
+    return _weekly_pivot(spark, sf, categories=[], locations=[])
 
 
 @register("weekly_location")
 def q_weekly_location(spark, sf):
-    wk = _weekly(spark, sf)
-    return wk.select(W.WEEK, *[F.col(f"`{c}`") for c in wk.columns if c in VR.locations])
+    return _weekly_pivot(spark, sf, categories=[], payments=[])
 
 
 @register("weekly_lags")

@@ -2,7 +2,8 @@
 
 The library never picks machine-local folders on a cluster: the checkpoint
 directory is read from ``spark.checkpoint.dir``; a private one under the
-system temp folder is set only when the session has none (local runs, tests).
+system temp folder is set only on a single machine (master ``local``) whose
+session has none. On a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def get_spark(master: str | None = None, app: str = "ledgerlint",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests, a laptop) a private
-    folder is created and registered.
+    Where it is unset, a master ``local`` gets a private folder and any other
+    raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlint-ckpt-")
         os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)

@@ -38,18 +38,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_partitioned_by_month(df: DataFrame, path: str, date_col: str,
-                               mode: str = "overwrite", writers_per_month: int = 16) -> None:
+                               mode: str = "overwrite") -> None:
     """Store a transaction table partitioned by the month of its date, so a
     date-range filter on ``txn_month`` prunes whole folders at read time.
 
-    Rows are spread over (month, salt) before the write, so a month holding
-    a large share of the table is written by ``writers_per_month`` tasks, not
-    one. Rows without a valid date land in ``__HIVE_DEFAULT_PARTITION__``.
+    Rows are rebalanced on the month: AQE cuts a busy month into tasks of
+    the advisory size, so the number of writers follows the data. Rows without
+    a valid date land in ``__HIVE_DEFAULT_PARTITION__``.
     """
     month = F.date_format(to_date_any(df, date_col), "yyyy-MM")
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(writers_per_month))
-    (df.withColumn("txn_month", month)
-       .repartition("txn_month", salt)
+    (df.withColumn("txn_month", month).hint("rebalance", "txn_month")
        .write.mode(mode).partitionBy("txn_month").parquet(path))
 
 

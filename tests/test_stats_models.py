@@ -56,6 +56,52 @@ def test_rebalance_counts_and_convexity(spark):
     assert b[0] >= 100.0 and b[1] <= 129.0 and b[2] >= 50.0 and b[3] <= 54.0
 
 
+def test_rebalance_interpolates_between_neighbours(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(5)
+    small, mid = rng.normal(0, 1, (30, 3)), rng.normal(5, 1, (60, 3))
+    rows = [(Vectors.dense(x), 1.0) for x in small] + [(Vectors.dense(x), 2.0) for x in mid]
+    rows += [(Vectors.dense(x), 0.0) for x in rng.normal(9, 1, (100, 3))]
+    out = M.rebalance(spark.createDataFrame(rows, ["features", "label"]), "label", k=4).collect()
+    assert {y: sum(r.label == y for r in out) for y in (0.0, 1.0, 2.0)} == {0.0: 100, 1.0: 100, 2.0: 100}
+    originals = {tuple(x) for x in small}
+    made = [np.array(r.features) for r in out if r.label == 1.0 and tuple(r.features) not in originals]
+    assert len(made) == 70
+    distance = np.linalg.norm(small[:, None] - small[None], axis=2)
+    near = np.argsort(distance, axis=1)[:, 1:5]
+    for m in made:
+        ok = False
+        for i in range(30):
+            for j in near[i]:
+                step = small[j] - small[i]
+                u = float((m - small[i]) @ step / (step @ step))
+                ok |= 0 < u < 1 and np.allclose(small[i] + u * step, m, atol=1e-9)
+        assert ok
+
+
+def test_rebalance_large_and_single_point(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [(Vectors.dense([float(i % 97), float(i // 97)]), 1.0) for i in range(3000)]
+    rows += [(Vectors.dense([float(i), 1.0]), 0.0) for i in range(4000)] + [(Vectors.dense([7.0, 7.0]), 2.0)] * 3
+    out = M.rebalance(spark.createDataFrame(rows, ["features", "label"]), "label").collect()
+    assert all(sum(r.label == y for r in out) == 4000 for y in (0.0, 1.0, 2.0))
+    originals = {tuple(r[0]) for r in rows if r[1] == 1.0}
+    assert sum(tuple(r.features) in originals for r in out if r.label == 1.0) == 3000
+
+
+def test_full_precision_shares(spark):
+    from ledgerlint.operators.aggregates import value_shares
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "x string")
+    assert {r["share"] for r in value_shares(df, "x").collect()} == {1 / 3}
+
+
+def test_unicode_blanks(spark):
+    from ledgerlint.functions.scalars import is_blank
+    df = spark.createDataFrame([("\u00a0",), ("\u3000 ",), ("x",), (None,)], "x string")
+    assert [r[0] for r in df.select(is_blank("x")).collect()] == [True, True, False, True]
+
+
 def test_one_hot_levels_and_order(spark):
     df = spark.createDataFrame([(1.0, "a", 0), (2.0, None, 1), (3.0, "b", 0)], "n double, c string, t int")
     out = ST.one_hot(df, ["c"], ["n"], "t")
