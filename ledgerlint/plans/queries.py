@@ -709,6 +709,10 @@ def _class_input(spark, sf):
                            .withColumn(VC.discount, F.col(VC.discount).cast("double"))
 
 
+def _quantity_rows(spark, sf):
+    return typed(spark, sf).select(*KEYS, VC.quantity, VC.price, VC.total, *MODEL_CAT)
+
+
 @register("date_features")
 def q_date_features(spark, sf):
     return M.add_date_features(typed(spark, sf).select(*KEYS, VC.date), VC.date)
@@ -744,20 +748,18 @@ def q_select_model(spark, sf):
 
 @register("grid_rmse")
 def q_grid_rmse(spark, sf):
-    data = M.prepare(typed(spark, sf), VC.quantity, [VC.price, VC.total], MODEL_CAT)
-    r = M.grid_rmse(data, LinearRegression(featuresCol="features", labelCol=VC.quantity),
-                    {"regParam": [0.0, 0.1]}, VC.quantity, k=3)
-    return spark.createDataFrame([(r["best_score"], r["best_params"], r["fit_time"], r["score_time"])],
-                                 "best_score double, best_params string, fit_time double, score_time double")
+    r = M.grid_rmse(_quantity_rows(spark, sf), LinearRegression(featuresCol="features", labelCol=VC.quantity),
+                    {"regParam": [0.0, 0.1]}, VC.quantity, [VC.price, VC.total], MODEL_CAT)
+    return spark.createDataFrame([(r["best_score"], r["best_params"])], "best_score double, best_params string")
 
 
 @register("compare_regressors")
 def q_compare_regressors(spark, sf):
-    data = M.prepare(typed(spark, sf), VC.quantity, [VC.price, VC.total], MODEL_CAT)
     models = {"lr": LinearRegression(featuresCol="features", labelCol=VC.quantity),
               "dt": DecisionTreeRegressor(featuresCol="features", labelCol=VC.quantity, seed=42)}
     params = {"lr": {"regParam": [0.0, 0.1]}, "dt": {"maxDepth": [3, 5]}}
-    return M.compare_regressors(data, models, params, VC.quantity, k=3)
+    return M.compare_regressors(_quantity_rows(spark, sf), models, params, VC.quantity, [VC.price, VC.total], MODEL_CAT) \
+        .drop("fit_time", "score_time")
 
 
 @register("forest_importance")

@@ -113,3 +113,16 @@ def test_standardize_population(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "x double")
     vals = sorted(r[0] for r in ST.standardize(df, ["x"]).collect())
     assert vals == [-1.0, 1.0]
+
+
+def test_grid_rmse_prepares_inside_the_fold_and_returns_the_winner(spark):
+    from pyspark.ml.regression import LinearRegression
+    rows = [(float(i % 17), "ab"[i % 2], 3.0 * (i % 17) + 5.0 * (i % 2)) for i in range(100)]
+    df = spark.createDataFrame(rows, ["x", "c", "y"])
+    data = M.with_folds(df, "y", 4, 42)
+    assert sorted(r["count"] for r in data.groupBy("fold").count().collect()) == [25] * 4
+    r = M.grid_rmse(df, LinearRegression(featuresCol="features", labelCol="y"), {"regParam": [0.0, 5.0]}, "y", ["x"], ["c"], k=4)
+    assert r["best_params"] == "{'regParam': 0.0}" and -1e-3 < r["best_score"] <= 0.0
+    assert r["fit_time"] > 0 and r["score_time"] > 0
+    got = r["model"].transform(df).selectExpr("max(abs(prediction - y)) AS d").first()["d"]
+    assert got < 1e-3
