@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
 from ledgerlint.session import cut_lineage
-from ledgerlint.operators.quantiles import (exact_mode, exact_quantiles, exact_quantiles_multi,
-                                            grouped_quantiles)
+from ledgerlint.operators.quantiles import exact_modes, exact_quantiles_multi, grouped_quantiles
 
 
 def _explode_structs(wide: DataFrame, parts) -> DataFrame:
@@ -150,10 +149,8 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def mode_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median and mode per column; the smallest value wins a tie."""
-    rows = []
-    for c in columns:
-        mode = exact_mode(df, c)
-        rows.append((c, exact_quantiles(df, c, [0.5])[0], mode))
+    medians, modes = exact_quantiles_multi(df, columns, [0.5]), exact_modes(df, columns)
+    rows = [(c, medians[c][0], modes[c]) for c in columns]
     dtype = {c: S.dtype_of(df, c).simpleString() for c in columns}
     parts = [F.struct(F.lit(c).alias("column"),
                       (F.lit(med).cast("double")).alias("median"),

@@ -42,7 +42,7 @@ def add_uniqueness(df: DataFrame, order_cols: list[str] | None = None,
 
 def audit(df: DataFrame, master: DataFrame, cols: Columns = REFERENCE_COLUMNS,
           rules: RuleSet = REFERENCE_RULES, order_cols: list[str] | None = None,
-          uniqueness_passes: int = 1, max_broadcast_rows: int = 1_000_000,
+          uniqueness_passes: int = 1, max_broadcast_bytes: int = 64 << 20,
           total_tolerance: float | None = None, uniqueness: bool = True) -> DataFrame:
     """Annotate every row with the reference's 34-column audit.
 
@@ -55,7 +55,7 @@ def audit(df: DataFrame, master: DataFrame, cols: Columns = REFERENCE_COLUMNS,
     out = add_completeness_flags(out, data_cols)
     out = V.add_validity_columns(out, V.simple_rules(cols, rules))
     out = out.select("*", V.item_rule(out, cols, rules).alias(f"{cols.item}_validity"))
-    out = V.price_rule_input(out, master, cols, max_broadcast_rows)
+    out = V.price_rule_input(out, master, cols, max_broadcast_bytes)
     out = out.select("*", V.total_rule(out, cols, total_tolerance).alias(f"{cols.total}_validity"))
     return out
 

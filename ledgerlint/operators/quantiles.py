@@ -1,29 +1,29 @@
-"""Exact quantiles with bounded memory per task.
+"""Exact quantiles and modes with bounded memory per task.
 
 Spark's exact ``percentile`` keeps a value -> count map; for an ungrouped
 quantile the final merge holds every distinct value of the column in one
 task. Here the work is split instead:
 
-1. count rows per distinct value (combined map-side: a value held by a third
-   of the table is one row per task before the shuffle);
-2. if there are at most ``max_local`` distinct values, their (value, count)
-   pairs are small enough to read back and walk in order;
-3. otherwise the counts are range-partitioned by value; one small aggregate
-   gives each range's (min, max, rows), the cumulative row counts locate the
-   range that holds each wanted rank, and only that range's pairs are read.
+1. count rows per (group, value), combined map-side: a value held by a third
+   of the table is one row per task before the shuffle;
+2. range-partition those counts by (group, value), so a group with very many
+   distinct values spans several tasks;
+3. running counts in each partition and the totals of the partitions before
+   it give every value's ranks; the ranks around each wanted position stay.
 
+Several columns are groups of one long table, so all of them take one pass.
 The result uses linear interpolation between the two neighbouring ranks,
 as ``percentile`` and the reference do.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlint.session import cut_lineage
+
 
 def _num(df: DataFrame, column: str):
     """Numeric value of a column; text that is not a number becomes null."""
@@ -31,113 +31,25 @@ def _num(df: DataFrame, column: str):
     return as_number(df, column)
 
 
-def _value_counts(df: DataFrame, column: str) -> DataFrame:
-    x = _num(df, column)
-    return (df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan(F.col("v")))
-              .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-
-
-def _walk(pairs, ranks):
-    """Values at the given 0-based ranks from sorted (value, count) pairs."""
-    out, seen, i = {}, 0, 0
-    want = sorted(set(ranks))
-    for v, c in pairs:
-        while i < len(want) and want[i] < seen + c:
-            out[want[i]] = v
-            i += 1
-        seen += c
-        if i == len(want):
-            break
-    return out
-
-
-def _from_counts(counts: DataFrame, n: int, d: int, probs, max_local: int) -> list:
-    """Quantiles from a (v, c) table holding ``n`` rows in ``d`` distinct values."""
-    if not n:
-        return [None] * len(probs)
-    positions = [p * (n - 1) for p in probs]
-    ranks = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
-    if d <= max_local:
-        pairs = [(r["v"], r["c"]) for r in counts.orderBy("v").collect()]
-        values = _walk(pairs, ranks)
-    else:
-        parts = max(2, math.ceil(d / max_local) * 2)
-        ranged = counts.repartitionByRange(parts, "v")
-        bounds = (ranged.groupBy(F.spark_partition_id().alias("pid"))
-                        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("rows"))
-                        .orderBy("lo").collect())
-        values, start = {}, 0
-        for b in bounds:
-            inside = [r for r in ranks if start <= r < start + b["rows"]]
-            if inside:
-                pairs = [(r["v"], r["c"]) for r in counts.where(F.col("v").between(b["lo"], b["hi"]))
-                                                           .orderBy("v").collect()]
-                local = _walk(pairs, [r - start for r in inside])
-                values.update({r: local[r - start] for r in inside})
-            start += b["rows"]
-    out = []
-    for pos in positions:
-        lo, hi = math.floor(pos), math.ceil(pos)
-        if lo == hi:
-            out.append(float(values[lo]))
-        else:
-            out.append((hi - pos) * values[lo] + (pos - lo) * values[hi])
-    return out
-
-
-def exact_quantiles(df: DataFrame, column: str, probs, max_local: int = 100_000) -> list:
+def exact_quantiles(df: DataFrame, column: str, probs) -> list:
     """Exact quantiles of ``column`` (nulls and NaN ignored); ``None`` when empty."""
-    return exact_quantiles_multi(df, [column], probs, max_local)[column]
+    return exact_quantiles_multi(df, [column], probs)[column]
 
 
-def exact_quantiles_multi(df: DataFrame, columns: list[str], probs,
-                          max_local: int = 100_000) -> dict:
-    """``exact_quantiles`` for several columns from one pass over ``df``.
-
-    (column, value) counts for all columns are built by one aggregate and
-    persisted; columns with few distinct values are read back together, the
-    others go through the range-partitioned path one by one.
-    """
+def exact_quantiles_multi(df: DataFrame, columns: list[str], probs) -> dict:
+    """``exact_quantiles`` for several columns from one pass over ``df``; one
+    row per column comes back to the driver."""
     probs = list(probs)
     if not columns:
         return {}
-    parts = [F.struct(F.lit(c).alias("k"), _num(df, c).alias("v")) for c in columns]
-    counts = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
-                .where(F.col("v").isNotNull() & ~F.isnan(F.col("v")))
-                .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        stats = {r["k"]: (r["n"], r["d"]) for r in
-                 counts.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-        small = [c for c in columns if c in stats and stats[c][1] <= max_local]
-        pairs = {c: [] for c in small}
-        if small:
-            for r in counts.where(F.col("k").isin(small)).orderBy("k", "v").collect():
-                pairs[r["k"]].append((r["v"], r["c"]))
-        out = {}
-        for c in columns:
-            if c not in stats:
-                out[c] = [None] * len(probs)
-                continue
-            n, d = stats[c]
-            if c in pairs:
-                # reuse the pairs already read: wrap them as a tiny local walk
-                positions = [p * (n - 1) for p in probs]
-                ranks = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
-                values = _walk(pairs[c], ranks)
-                out[c] = [float(values[math.floor(pos)]) if math.floor(pos) == math.ceil(pos) else
-                          (math.ceil(pos) - pos) * values[math.floor(pos)]
-                          + (pos - math.floor(pos)) * values[math.ceil(pos)] for pos in positions]
-            else:
-                out[c] = _from_counts(counts.where(F.col("k") == F.lit(c)).select("v", "c"), n, d,
-                                      probs, max_local)
-        return out
-    finally:
-        counts.unpersist()
+    parts = [F.struct(F.lit(c).alias("k"), _num(df, c).cast("double").alias("v")) for c in columns]
+    long = df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    return _by_column(grouped_quantiles(long, ["k"], "v", probs), columns, probs)
 
 
-def exact_median(df: DataFrame, column: str, max_local: int = 100_000):
-    return exact_quantiles(df, column, [0.5], max_local)[0]
+def _by_column(per: DataFrame, columns: list[str], probs: list) -> dict:
+    found = {r["k"]: [r[f"q{i}"] for i in range(len(probs))] for r in per.collect()}
+    return {c: found.get(c, [None] * len(probs)) for c in columns}
 
 
 def exact_mode(df: DataFrame, column: str):
@@ -160,28 +72,29 @@ def exact_mode(df: DataFrame, column: str):
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], column: str, probs,
-                      prefix: str = "q", rows_per_task: int = 1_000_000) -> DataFrame:
-    """Exact quantiles per group: one row per group, one column per prob.
-
-    1. Rows are counted per (group, value), combined map-side.
-    2. Those counts are range-partitioned by (group, value) and cut from the
-       lineage, so a group with very many distinct values spans several
-       tasks and every later step sees the same partitions.
-    3. Per (partition, group): the rows before it in its group (a running
+                      prefix: str = "q", ranges: int | None = None) -> DataFrame:
+    """Exact quantiles per group: one row per group, one column per prob."""
+    counts = (df.select(*[F.col(f"`{k}`") for k in keys], _num(df, column).alias("__v"))
+                .where(F.col("__v").isNotNull() & ~F.isnan(F.col("__v")))
+                .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    return quantiles_of_counts(counts, keys, probs, prefix, ranges)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], probs, prefix: str = "q",
+                        ranges: int | None = None) -> DataFrame:
+    """Quantiles per group of a (keys, ``__v``, ``__c``) table of counts.
+
+    1. The counts are range-partitioned by (group, value) and cut from the
+       lineage, so every later step sees the same partitions. AQE sizes the
+       ranges by bytes unless their number is given.
+    2. Per (partition, group): the rows before it in its group (a running
        sum over partition totals, one row per partition a group touches)
        plus a running count inside the partition give each value's rank span.
-    4. The two ranks around each position are picked and interpolated.
+    3. The two ranks around each position are picked and interpolated.
     """
-    from ledgerlint.session import cut_lineage
-    x = _num(df, column)
-    cnt = (df.select(*[F.col(f"`{k}`") for k in keys], x.alias("__v"))
-             .where(F.col("__v").isNotNull() & ~F.isnan(F.col("__v")))
-             .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    parts = max(1, math.ceil(cnt.count() / rows_per_task))
-    ranged = cut_lineage(cnt.repartitionByRange(parts, *keys, "__v")
-                            .withColumn("__pid", F.spark_partition_id()))
-    cnt.unpersist()
+    by = [*keys, "__v"]
+    ranged = counts.repartitionByRange(ranges, *by) if ranges else counts.repartitionByRange(*by)
+    ranged = cut_lineage(ranged.withColumn("__pid", F.spark_partition_id()))
     per_part = ranged.groupBy("__pid", *keys).agg(F.sum("__c").alias("__s"))
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (per_part.withColumn("__off", F.coalesce(F.sum("__s").over(before), F.lit(0)))
@@ -250,7 +163,6 @@ def column_value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     scan of ``df``.
     """
     from pyspark.sql import types as T
-    from ledgerlint.session import cut_lineage
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                T.DecimalType)
     parts = []
@@ -267,8 +179,7 @@ def column_value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return cut_lineage(pairs.groupBy("k", "vnum", "vtxt").agg(F.count(F.lit(1)).alias("c")))
 
 
-def profile_from_counts(counts: DataFrame, numeric: list[str], text: list[str], probs=(0.5,),
-                        max_local: int = 100_000) -> dict:
+def profile_from_counts(counts: DataFrame, numeric: list[str], text: list[str], probs=(0.5,)) -> dict:
     """Null counts and row totals for every column, quantiles of ``numeric``
     and modes of ``text``, all from a ``column_value_counts`` table."""
     probs = list(probs)
@@ -276,33 +187,11 @@ def profile_from_counts(counts: DataFrame, numeric: list[str], text: list[str],
         F.sum("c").alias("rows"),
         F.sum(F.when(F.col("vnum").isNull() & F.col("vtxt").isNull(), F.col("c")).otherwise(F.lit(0))).alias("nulls"),
     ).collect()}
-    num_counts = (counts.where(F.col("k").isin(numeric) & F.col("vnum").isNotNull())
-                        .select("k", F.col("vnum").alias("v"), "c"))
-    stats = {}
-    if numeric:
-        stats = {r["k"]: (r["n"], r["d"]) for r in
-                 num_counts.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
     quant = {}
-    small = [c for c in numeric if c in stats and stats[c][1] <= max_local]
-    pairs = {c: [] for c in small}
-    if small:
-        for r in num_counts.where(F.col("k").isin(small)).orderBy("k", "v").collect():
-            pairs[r["k"]].append((r["v"], r["c"]))
-    for c in numeric:
-        if c not in stats:
-            quant[c] = [None] * len(probs)
-            continue
-        n, d = stats[c]
-        if c in pairs:
-            positions = [p * (n - 1) for p in probs]
-            ranks = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
-            values = _walk(pairs[c], ranks)
-            quant[c] = [float(values[math.floor(pos)]) if math.floor(pos) == math.ceil(pos) else
-                        (math.ceil(pos) - pos) * values[math.floor(pos)]
-                        + (pos - math.floor(pos)) * values[math.ceil(pos)] for pos in positions]
-        else:
-            quant[c] = _from_counts(num_counts.where(F.col("k") == F.lit(c)).select("v", "c"), n, d,
-                                    probs, max_local)
+    if numeric:
+        values = (counts.where(F.col("k").isin(numeric) & F.col("vnum").isNotNull())
+                        .select("k", F.col("vnum").alias("__v"), F.col("c").alias("__c")))
+        quant = _by_column(quantiles_of_counts(values, ["k"], probs), numeric, probs)
     modes = {}
     if text:
         txt = counts.where(F.col("k").isin(text) & F.col("vtxt").isNotNull())

@@ -4,8 +4,7 @@ Group-level fills use an aggregate (combined map-side, so a hot group is one
 row before the shuffle) joined back on the key, never a window that would
 put a hot group in one task. Lookups derived from the facts are left to
 AQE, which broadcasts them only when their measured runtime size is under
-the threshold (otherwise the join shuffles, with skew splitting); an
-explicit row-bound check is available per call.
+the threshold (otherwise the join shuffles, with skew splitting).
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql import types as T
 from ledgerlint.functions import scalars as S
 from ledgerlint.operators.quantiles import (column_value_counts, exact_quantiles_multi,
                                             profile_from_counts)
-from ledgerlint.operators.validity import bounded_broadcast
 from ledgerlint.schema import REFERENCE_COLUMNS, Columns
 from ledgerlint.session import cut_lineage
 
@@ -36,17 +34,14 @@ def fill_price(df: DataFrame, cols: Columns = REFERENCE_COLUMNS) -> DataFrame:
 
 
 def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_COLUMNS,
-              keys: list[str] | None = None, max_broadcast_rows: int | None = None,
-              materialize: bool = False) -> DataFrame:
+              keys: list[str] | None = None, materialize: bool = False) -> DataFrame:
     """Missing item = first item seen (row order) with the same price.
 
     ``keys`` defaults to ``[price]`` as in the reference; pass
     ``[price, category]`` for the category-aware variant. The lookup is
     derived from the facts, so by default no eager size check runs (it would
     recompute the whole input): AQE broadcasts it at runtime when its
-    measured size is under the threshold, else the join shuffles. Pass
-    ``max_broadcast_rows`` to force a checked broadcast. ``materialize``
-    writes the lookup (one row per price) to the checkpoint folder once, for
+    measured size is under the threshold, else the join shuffles. ``materialize`` writes the lookup (one row per price) to the checkpoint folder once, for
     chains where later steps would otherwise recompute it.
     """
     keys = keys or [cols.price]
@@ -58,8 +53,6 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
                  .agg(F.min_by(F.col(f"`{cols.item}`"), order).alias("__fill_item")))
     if materialize:
         lookup = cut_lineage(lookup)
-    if max_broadcast_rows:
-        lookup = bounded_broadcast(lookup, max_broadcast_rows)
     cond = None
     for i, k in enumerate(keys):
         c = df[k] == lookup[f"__fk{i}"]
@@ -71,7 +64,7 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
 
 
 def fill_by_group_mean(df: DataFrame, key: str, value: str, keep_keyless: bool = False,
-                       max_broadcast_rows: int | None = None, materialize: bool = False) -> DataFrame:
+                       materialize: bool = False) -> DataFrame:
     """Missing ``value`` = mean of ``value`` within its ``key`` group.
 
     As in the reference, rows whose key is missing lose their value (the
@@ -81,8 +74,6 @@ def fill_by_group_mean(df: DataFrame, key: str, value: str, keep_keyless: bool =
                .agg(F.avg(F.col(f"`{value}`")).alias("__gmean")))
     if materialize:
         means = cut_lineage(means)
-    if max_broadcast_rows:
-        means = bounded_broadcast(means, max_broadcast_rows)
     j = df.join(means, df[key] == means["__gk"], "left")
     v = df[value]
     filled = F.when(v.isNull() | F.isnan(v), F.col("__gmean")).otherwise(v)

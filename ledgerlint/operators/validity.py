@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
 from ledgerlint.schema import REFERENCE_COLUMNS, REFERENCE_RULES, Columns, RuleSet
+from ledgerlint.session import cut_lineage
 
 CANT_CHECK = "CANT CHECK"
 INTEGER_NON_NEGATIVE = "integer_non_negative"
@@ -154,25 +155,27 @@ def item_rule(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
              .otherwise(_FALSE()))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only when the row count is proven below ``max_rows``.
+def sized_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only when the frame's measured size allows it.
 
-    The check runs a bounded ``limit(max_rows + 1).count()``; beyond the bound
-    the frame is returned unchanged and the join shuffles on its keys.
+    The frame is cut from the lineage first, so measuring does not run it
+    twice. The size is that of its rows as JSON text, summed in one
+    distributed aggregate; beyond ``max_bytes`` the join shuffles on its keys.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    df = cut_lineage(df)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def price_rule_input(df: DataFrame, master: DataFrame, cols: Columns,
-                     max_broadcast_rows: int = 1_000_000,
+                     max_broadcast_bytes: int = 64 << 20,
                      date_valid_col: str | None = None) -> DataFrame:
     """Attach the price verdict (Q18, J1) as column ``{price}_validity``.
 
     Interval existence join without fan-out: the master is grouped per item
     into a short array of (price, start, end); one left join on item brings
     that array to each fact row and ``exists`` tests price and range. The
-    grouped master is broadcast only under a proven row bound.
+    grouped master is broadcast only under a measured size bound.
     """
     price_name = cols.price
     date_valid_col = date_valid_col or f"{cols.date}_validity"
@@ -183,7 +186,7 @@ def price_rule_input(df: DataFrame, master: DataFrame, cols: Columns,
                .where(F.col("__m_item").isNotNull())
                .groupBy("__m_item")
                .agg(F.collect_list(F.struct("p", "s", "e")).alias("__m_periods")))
-    m = bounded_broadcast(m, max_broadcast_rows)
+    m = sized_broadcast(m, max_broadcast_bytes)
     joined = df.join(m, df[cols.item] == m["__m_item"], "left")
     x = S.as_number(df, price_name)
     d = F.col(cols.date).cast("string")

@@ -592,6 +592,10 @@ ORACLES["stratified_folds"] = with_view(
     "WHERE discount_applied IS NOT NULL GROUP BY 1)\n"
     "SELECT label AS discount_applied, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n_rows "
     "FROM cls, range(5) t(f)")
+ORACLES["rebalance"] = with_view(
+    ", cls AS (SELECT CAST(discount_applied AS DOUBLE) AS label, count(*) AS n FROM rv "
+    "WHERE discount_applied IS NOT NULL GROUP BY 1)\n"
+    "SELECT label AS discount_applied, max(n) OVER () AS n_rows FROM cls")
 
 
 # ---------------------------------------------------------------- more row outputs and sinks

@@ -741,9 +741,9 @@ def q_rebalance(spark, sf):
 
 @register("select_model")
 def q_select_model(spark, sf):
-    data = M.prepare(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT)
     cands = M.default_classifiers(VC.discount)
-    return M.select_model(data, VC.discount, {k: cands[k] for k in ("lr", "dt", "rf")}, metric="auc", k=3)
+    return M.select_model(_class_input(spark, sf), VC.discount, {k: cands[k] for k in ("lr", "dt", "rf")},
+                          MODEL_NUM, MODEL_CAT, metric="auc")["scores"]
 
 
 @register("grid_rmse")
@@ -766,12 +766,12 @@ def q_compare_regressors(spark, sf):
 def q_forest_importance(spark, sf):
     v = M.add_date_features(typed(spark, sf).drop(*KEYS, VC.transaction_id, VC.customer_id), VC.date)
     num = [VC.price, VC.total, f"{VC.date}_year", f"{VC.date}_month", f"{VC.date}_day"]
-    return M.forest_importance(v, VC.quantity, num, MODEL_CAT + [VC.item], num_trees=10)
+    return M.forest_importance(v, VC.quantity, num, MODEL_CAT + [VC.item])
 
 
 @register("compare_by_recall")
 def q_compare_by_recall(spark, sf):
-    return M.compare_by_recall(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT, k=3)
+    return M.compare_by_recall(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT)["scores"]
 
 
 # ---------------------------------------------------------------- more row outputs and sinks
@@ -828,9 +828,9 @@ def q_target_ddl(spark, sf):
 @register("select_model_f2")
 def q_select_model_f2(spark, sf):
     """M9: the earlier selection variant scored by F2 (recall-weighted)."""
-    data = M.prepare(_class_input(spark, sf), VC.discount, MODEL_NUM, MODEL_CAT)
     cands = M.default_classifiers(VC.discount)
-    return M.select_model(data, VC.discount, {k: cands[k] for k in ("lr", "dt")}, metric="f2", k=3)
+    return M.select_model(_class_input(spark, sf), VC.discount, {k: cands[k] for k in ("lr", "dt", "rf")},
+                          MODEL_NUM, MODEL_CAT, metric="f2", grid_on="balanced")["scores"]
 
 
 def queries() -> "OrderedDict[str, callable]":

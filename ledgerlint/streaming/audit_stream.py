@@ -22,13 +22,13 @@ MONDAY_OFFSET = "4 days"
 
 def audit_stream(stream: DataFrame, master: DataFrame, cols: Columns = REFERENCE_COLUMNS,
                  rules: RuleSet = REFERENCE_RULES, data_cols: list[str] | None = None,
-                 max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                 max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Completeness and validity (all but row uniqueness) on a stream."""
     data_cols = data_cols or cols.all()
     out = add_completeness_flags(stream, data_cols)
     out = V.add_validity_columns(out, V.simple_rules(cols, rules))
     out = out.select("*", V.item_rule(out, cols, rules).alias(f"{cols.item}_validity"))
-    out = V.price_rule_input(out, master, cols, max_broadcast_rows)
+    out = V.price_rule_input(out, master, cols, max_broadcast_bytes)
     return out.select("*", V.total_rule(out, cols).alias(f"{cols.total}_validity"))
 
 

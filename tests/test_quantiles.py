@@ -15,13 +15,12 @@ def _frame(spark):
     return spark.createDataFrame(rows, "g string, x double, y int")
 
 
-def test_global_quantiles_both_paths(spark):
+def test_global_quantiles(spark):
     df = _frame(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     ref = df.agg(F.percentile("x", probs)).first()[0]
-    for max_local in (100_000, 300):  # collect path, range-partitioned path
-        got = exact_quantiles(df, "x", probs, max_local=max_local)
-        assert all(abs(a - b) < 1e-9 for a, b in zip(got, ref))
+    got = exact_quantiles(df, "x", probs)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, ref, strict=True))
 
 
 def test_multi_and_mode(spark):
@@ -49,7 +48,7 @@ def test_empty(spark):
 
 def test_grouped_hot_group_split_over_tasks(spark):
     df = _frame(spark)
-    got = {r["g"]: r["q0"] for r in grouped_quantiles(df, ["g"], "x", [0.5], rows_per_task=500).collect()}
+    got = {r["g"]: r["q0"] for r in grouped_quantiles(df, ["g"], "x", [0.5], ranges=12).collect()}
     ref = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("x", 0.5).alias("p")).collect()}
     assert all(abs(got[k] - ref[k]) < 1e-9 for k in ref)
 
