@@ -47,14 +47,14 @@ def col(name: str) -> Column:
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``__row`` (all columns), ``did`` and ``th``: a row's key.
 
-    ``did`` is the id (null counts as smaller than any), ``th`` 16 bits of
-    the text's hash, so that rows which repeat an id with another text stay
-    apart while rows repeated whole share their result.
+    ``did`` is the id (null counts as smaller than any), ``th`` the
+    64-bit hash of the text, so that rows which repeat an id (or the null id)
+    with another text stay apart while rows repeated whole share their result.
     """
     return docs.select(
         F.struct(*[col(c) for c in docs.columns]).alias("__row"),
         F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.pmod(F.xxhash64(col(text_col)), F.lit(65536)).cast("int").alias("th"),
+        F.xxhash64(col(text_col)).alias("th"),
         col(text_col).alias("text"))
 
 

@@ -212,7 +212,7 @@ def joined(keyed: DataFrame, items: DataFrame, schema: StructType, min_match: in
         return scan
 
     marked = items.withColumn("it", F.xxhash64("text"))
-    doc_seeds = keyed.select("did", "th", "text").mapInArrow(seeds_of(False), "did long, th int, seed long")
+    doc_seeds = keyed.select("did", "th", "text").mapInArrow(seeds_of(False), "did long, th long, seed long")
     item_seeds = marked.mapInArrow(seeds_of(True), "item long, it long, seed long")
     pairs = doc_seeds.join(item_seeds, "seed").select("did", "th", "item", "it").distinct()
     both = keyed.join(pairs, ["did", "th"]).join(marked.withColumnRenamed("text", "item_text"), ["item", "it"]) \

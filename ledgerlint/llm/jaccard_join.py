@@ -100,7 +100,7 @@ def prefixes(keyed: DataFrame, n: int, percent: int, rank: np.ndarray) -> DataFr
                     names=["did", "th", "size", "h", "prefix", *BITS])
 
     return keyed.select("did", "th", "text").mapInArrow(
-        scan, "did long, th int, size int, h long, prefix array<long>, " + ", ".join(f"{s} long" for s in BITS))
+        scan, "did long, th long, size int, h long, prefix array<long>, " + ", ".join(f"{s} long" for s in BITS))
 
 
 def sides(classes: DataFrame, name: str) -> DataFrame:

@@ -73,13 +73,13 @@ def symbol_codes(data: np.ndarray, offsets: np.ndarray, by_word: bool):
     return BYTE_CODES[data], offsets
 
 
-OCCURRENCE = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("did", pa.int64()), ("at", pa.int64()),
-                        ("n", pa.int32()), ("inner_repeat", pa.int8())])
+OCCURRENCE = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("did", pa.int64()), ("th", pa.int64()),
+                        ("at", pa.int32()), ("n", pa.int32()), ("inner_repeat", pa.int8())])
 
 
 def occurrences(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataFrame:
-    """One row per segment of every text: key ``v``, hash ``c``, document,
-    place (``th`` above 40 bits of the first symbol) and windows ``n``."""
+    """One row per segment of every text: key ``v``, hash ``c``, document
+    (``did``, ``th``), place ``at`` of its first symbol and windows ``n``."""
     def scan(batches):
         for batch in batches:
             data, offsets = flat(batch.column("text"))
@@ -88,13 +88,13 @@ def occurrences(keyed: DataFrame, length: int, gram: int, by_word: bool) -> Data
                 codes, before = symbol_codes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], by_word)
                 row, start, n, key, same, several = segments(codes, before, length, gram)
                 if len(row):
-                    at = (th[a:b][row] << PLACE_BITS) | (start - before[row])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (key, same, did[a:b][row], at, n.astype(np.int32), several.astype(np.int8))],
+                        [pa.array(x) for x in (key, same, did[a:b][row], th[a:b][row], (start - before[row]).astype(np.int32),
+                                               n.astype(np.int32), several.astype(np.int8))],
                         schema=OCCURRENCE)
 
     return keyed.select("did", "th", "text").mapInArrow(
-        scan, "v long, c long, did long, at long, n int, inner_repeat byte")
+        scan, "v long, c long, did long, th long, at int, n int, inner_repeat byte")
 
 
 def candidates(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataFrame:
@@ -107,18 +107,17 @@ def candidates(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataF
 
 def first_places(found: DataFrame) -> DataFrame:
     """Per segment (key and hash): first place, windows, number of places."""
-    return (found.groupBy("v", "c", "n").agg(F.min(F.struct("did", "at")).alias("f"), F.count(F.lit(1)).alias("m"))
-            .select("v", "f.did", "f.at", "n", F.col("m").cast("int").alias("m")))
+    return (found.groupBy("v", "c", "n").agg(F.min(F.struct("did", "th", "at")).alias("f"), F.count(F.lit(1)).alias("m"))
+            .select("v", "f.did", "f.th", "f.at", "n", F.col("m").cast("int").alias("m")))
 
 
-SEGMENT = pa.schema([("v", pa.int64()), ("did", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("m", pa.int32()),
-                     ("piece", pa.binary())])
+SEGMENT = pa.schema([("v", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
+                     ("m", pa.int32()), ("piece", pa.binary())])
 
 
 def segment_blocks(keyed: DataFrame, firsts: DataFrame, length: int, by_word: bool) -> DataFrame:
     """Bytes of the segments, partitioned and sorted by key."""
-    wanted = (firsts.withColumn("th", F.shiftright("at", PLACE_BITS).cast("int"))
-              .groupBy("did", "th").agg(F.collect_list(F.struct("v", "at", "n", "m")).alias("w")))
+    wanted = firsts.groupBy("did", "th").agg(F.collect_list(F.struct("v", "at", "n", "m")).alias("w"))
 
     def cut(batches):
         for batch in batches:
@@ -127,12 +126,12 @@ def segment_blocks(keyed: DataFrame, firsts: DataFrame, length: int, by_word: bo
             bounds = np.asarray(wants.offsets)
             inner = wants.values
             v, at, n, m = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            ids = batch.column("did").to_numpy(zero_copy_only=False)
+            did, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
             for a, b in chunks(offsets):
                 part, offs = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 lo, hi = bounds[a], bounds[b]
                 row = np.repeat(np.arange(b - a), np.diff(bounds[a:b + 1]))
-                start = at[lo:hi] & ((1 << PLACE_BITS) - 1)
+                start = at[lo:hi].astype(np.int64)
                 if by_word:
                     starts, ends, before, _ = word_hashes(part, offs)
                     start = start + before[row]
@@ -143,11 +142,11 @@ def segment_blocks(keyed: DataFrame, firsts: DataFrame, length: int, by_word: bo
                 raw = part.tobytes()
                 pieces = [raw[x:y] for x, y in zip(left.tolist(), right.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[lo:hi]), pa.array(ids[a:b][row]), pa.array(at[lo:hi]), pa.array(n[lo:hi]),
-                     pa.array(m[lo:hi]), pa.array(pieces, pa.binary())], schema=SEGMENT)
+                    [pa.array(v[lo:hi]), pa.array(did[a:b][row]), pa.array(th[a:b][row]), pa.array(at[lo:hi]),
+                     pa.array(n[lo:hi]), pa.array(m[lo:hi]), pa.array(pieces, pa.binary())], schema=SEGMENT)
 
-    cuts = keyed.select("did", "th", "text").join(wanted, ["did", "th"]).select("did", "text", "w")
-    pieces = cuts.mapInArrow(cut, "v long, did long, at long, n int, m int, piece binary")
+    cuts = keyed.select("did", "th", "text").join(wanted, ["did", "th"]).select("did", "th", "text", "w")
+    pieces = cuts.mapInArrow(cut, "v long, did long, th long, at int, n int, m int, piece binary")
     return pieces.repartition("v").sortWithinPartitions("v")
 
 
@@ -172,7 +171,7 @@ def blocks(batches, most: int = BLOCK_SYMBOLS):
 
 def distinct_places(table: pa.Table) -> pa.Table:
     """One row per key and place (rows repeated whole give a place twice)."""
-    columns = [table.column(c).to_numpy() for c in ("at", "did", "v")]
+    columns = [table.column(c).to_numpy() for c in ("at", "th", "did", "v")]
     order = np.lexsort(columns)
     same = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
     return table.take(np.sort(order[np.append(True, ~same)])).combine_chunks()
@@ -189,9 +188,9 @@ def flat_binary(column: pa.ChunkedArray):
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-JUDGED = pa.schema([("did", pa.int64()), ("at", pa.int64()), ("n", pa.int32()),
+JUDGED = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
                     ("runs", pa.list_(pa.struct([("s", pa.int32()), ("l", pa.int32())])))])
-JUDGED_DDL = "did long, at long, n int, runs array<struct<s:int,l:int>>"
+JUDGED_DDL = "did long, th long, at int, n int, runs array<struct<s:int,l:int>>"
 
 
 def judged_batch(table: pa.Table, owner: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -199,7 +198,7 @@ def judged_batch(table: pa.Table, owner: np.ndarray, start: np.ndarray, size: np
     bounds = np.searchsorted(owner, np.arange(table.num_rows + 1)).astype(np.int32)
     inner = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["s", "l"])
     return pa.RecordBatch.from_arrays(
-        [pa.array(table.column(c).to_numpy()) for c in ("did", "at", "n")]
+        [pa.array(table.column(c).to_numpy()) for c in ("did", "th", "at", "n")]
         + [pa.ListArray.from_arrays(pa.array(bounds), inner)], schema=JUDGED)
 
 
@@ -250,10 +249,9 @@ def spans(places: np.ndarray, group: np.ndarray, length: int):
 def removals(found: DataFrame, judged: DataFrame) -> DataFrame:
     """Per document: ``cuts``, the places of its candidate segments (``runs``
     null: the whole segment) with the index's runs for those it judged."""
-    both = found.select("did", "at", "n", F.lit(None).cast("array<struct<s:int,l:int>>").alias("runs")) \
-        .unionByName(judged.select("did", "at", "n", "runs"))
-    return (both.withColumn("th", F.shiftright("at", PLACE_BITS).cast("int"))
-            .groupBy("did", "th").agg(F.collect_list(F.struct("at", "n", "runs")).alias("cuts")))
+    both = found.select("did", "th", "at", "n", F.lit(None).cast("array<struct<s:int,l:int>>").alias("runs")) \
+        .unionByName(judged.select("did", "th", "at", "n", "runs"))
+    return both.groupBy("did", "th").agg(F.collect_list(F.struct("at", "n", "runs")).alias("cuts"))
 
 
 def covered(cuts: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:
@@ -270,7 +268,7 @@ def covered(cuts: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:
     lo, hi = int(bounds[0]), int(bounds[-1])
     if hi - lo != len(row):  # a null list has no elements in Arrow data made by Spark
         raise ValueError("null lists with elements")
-    at = inner.field(0).to_numpy(zero_copy_only=False)[lo:hi] & ((1 << PLACE_BITS) - 1)
+    at = inner.field(0).to_numpy(zero_copy_only=False)[lo:hi].astype(np.int64)
     n = inner.field(1).to_numpy(zero_copy_only=False)[lo:hi]
     runs = inner.field(2).slice(lo, hi - lo)
     judged = np.asarray(runs.is_valid())

@@ -97,9 +97,9 @@ def judge_words(batches, length: int):
         owner = np.repeat(np.arange(count), windows)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         live, lo = repeated_windows(symbols, int(ids.max(initial=0)) + 1, begin[owner] + inside, length)
-        did, at = table.column("did").to_numpy(), table.column("at").to_numpy()
+        did, th, at = (table.column(c).to_numpy() for c in ("did", "th", "at"))
         who, off = owner[live], inside[live]
-        order = np.lexsort((at[who] + off, did[who], lo))
+        order = np.lexsort((at[who] + off, th[who], did[who], lo))
         first = np.ones(len(order), dtype=bool)
         first[1:] = lo[order][1:] != lo[order][:-1]
         later = np.sort(live[order[~first]])
