@@ -120,7 +120,14 @@ def segment_blocks(keyed: DataFrame, firsts: DataFrame, length: int, by_word: bo
     wanted = firsts.groupBy("did", "th").agg(F.collect_list(F.struct("v", "at", "n", "m")).alias("w"))
 
     def cut(batches):
+        seen = set()
         for batch in batches:
+            # of rows repeated whole, a task cuts one
+            keys = zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), strict=True)
+            new = [k not in seen and not seen.add(k) for k in keys]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            if not batch.num_rows:
+                continue
             data, offsets = flat(batch.column("text"))
             wants = batch.column("w")
             bounds = np.asarray(wants.offsets)
@@ -248,10 +255,11 @@ def spans(places: np.ndarray, group: np.ndarray, length: int):
 
 def removals(found: DataFrame, judged: DataFrame) -> DataFrame:
     """Per document: ``cuts``, the places of its candidate segments (``runs``
-    null: the whole segment) with the index's runs for those it judged."""
+    null: the whole segment) with the index's runs for those it judged. Rows
+    repeated whole give a place once: sets are combined before the shuffle."""
     both = found.select("did", "th", "at", "n", F.lit(None).cast("array<struct<s:int,l:int>>").alias("runs")) \
         .unionByName(judged.select("did", "th", "at", "n", "runs"))
-    return both.groupBy("did", "th").agg(F.collect_list(F.struct("at", "n", "runs")).alias("cuts"))
+    return both.groupBy("did", "th").agg(F.collect_set(F.struct("at", "n", "runs")).alias("cuts"))
 
 
 def covered(cuts: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:

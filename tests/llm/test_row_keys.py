@@ -4,7 +4,7 @@ rows repeated whole."""
 import numpy as np
 import pytest
 
-from ledgerlint.llm import decontaminate, jaccard_join, substring_dedup, suffix_dedup
+from ledgerlint.llm import common, decontaminate, jaccard_join, repeats, substring_dedup, suffix_dedup
 
 N = 1500
 PASSAGE = 25
@@ -65,3 +65,27 @@ def test_clean_texts_under_one_id_stay(spark, broadcast_bytes):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = decontaminate.decontaminated(docs, bench, broadcast_bytes=broadcast_bytes).collect()
     assert sorted(r.text for r in kept) == sorted(t for _, t in rows if item not in t)
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_rows_repeated_whole_give_a_place_once(spark, by_word):
+    rng = np.random.default_rng(15)
+    p = words(rng, 60)
+    rows = [(1, " ".join(p + words(rng, 9)))] * 400 + [(2, " ".join(words(rng, 5) + p))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = common.row_keys(docs, "doc_id", "text")
+    length, gram = (20, 6) if by_word else (200, 32)
+    found = repeats.candidates(keyed, length, gram, by_word)
+    places = found.select("did", "th", "at", "n").distinct().groupBy("did").count().collect()
+    pieces = repeats.segment_blocks(keyed, repeats.first_places(found), length, by_word)
+    assert pieces.count() <= 4 * sum(r["count"] for r in places)
+    judge = substring_dedup.judge_words if by_word else suffix_dedup.judge_bytes
+    judged = pieces.mapInArrow(lambda b: judge(b, length), repeats.JUDGED_DDL)
+    cuts = {r.did: len(r.cuts) for r in repeats.removals(found, judged).collect()}
+    assert cuts.keys() == {1, 2} and all(cuts[r.did] <= 2 * r["count"] for r in places)
+    if by_word:
+        got = {(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeated_words(docs).collect()}
+        assert got == {(1, 0), (2, 60)}
+    else:
+        got = suffix_dedup.remove_repeated_bytes(docs).collect()
+        assert len(got) == 401 and all(r.n_removed == r.n_bytes for r in got if r.doc_id == 1)
