@@ -8,9 +8,12 @@ no document is compared with every shard.
 1. ``occurrences``: one row per segment (key, hash of its symbols, place).
 2. ``candidates``: those whose key occurs twice, by a semi-join (a hot key
    is split by AQE; counts are combined before the shuffle).
-3. ``first_places``: segments of the same symbols collapse to their first
+3. ``routed``: a key with more distinct symbols than a block holds (a short
+   phrase in many contexts) is split: its windows are keyed by their own
+   hashes, and those that occur once leave.
+4. ``first_places``: segments of the same symbols collapse to their first
    place and a count, so that a group of thousands of copies is indexed once.
-4. ``segment_blocks``: their bytes, fetched from the documents and sorted by
+5. ``segment_blocks``: their bytes, fetched from the documents and sorted by
    key; tasks cut the sorted stream into blocks of bounded size at changes of
    key and index each block.
 """
@@ -24,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import written
-from ledgerlint.llm.words import (BYTE_CODES, SliceHash, chunks, flat, window_min,
+from ledgerlint.llm.words import (BYTE_CODES, SliceHash, chunks, flat, mix, window_min,
                                   word_hashes)
 
 BLOCK_SYMBOLS = 1 << 20
+WINDOW_ROWS = 1 << 16
 PLACE_BITS = 40
 
 
@@ -75,6 +79,7 @@ def symbol_codes(data: np.ndarray, offsets: np.ndarray, by_word: bool):
 
 OCCURRENCE = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("did", pa.int64()), ("th", pa.int64()),
                         ("at", pa.int32()), ("n", pa.int32()), ("inner_repeat", pa.int8())])
+OCCURRENCE_DDL = "v long, c long, did long, th long, at int, n int, inner_repeat byte"
 
 
 def occurrences(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataFrame:
@@ -94,7 +99,7 @@ def occurrences(keyed: DataFrame, length: int, gram: int, by_word: bool) -> Data
                         schema=OCCURRENCE)
 
     return keyed.select("did", "th", "text").mapInArrow(
-        scan, "v long, c long, did long, th long, at int, n int, inner_repeat byte")
+        scan, OCCURRENCE_DDL)
 
 
 def candidates(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataFrame:
@@ -105,6 +110,57 @@ def candidates(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataF
     return written(found.join(twice, "v", "left_semi"), "repeat-candidates")
 
 
+def windows_of(keyed: DataFrame, wanted: DataFrame, length: int, by_word: bool) -> DataFrame:
+    """Each window of the wanted segments as an occurrence of its own, keyed
+    by its hash ``v`` and by ``c``, a hash of other codes."""
+    def scan(batches):
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            wants = batch.column("w")
+            bounds = np.asarray(wants.offsets)
+            at, n = (wants.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            did, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
+            for a, b in chunks(offsets):
+                codes, before = symbol_codes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], by_word)
+                lo, hi = bounds[a], bounds[b]
+                size = n[lo:hi]
+                row = np.repeat(np.repeat(np.arange(b - a), np.diff(bounds[a:b + 1])), size)
+                place = np.repeat(at[lo:hi] - np.cumsum(size) + size, size) + np.arange(len(row))
+                start = place + before[row]
+                v, c = (SliceHash(x).of(start, start + length).view(np.int64) for x in (codes, mix(codes)))
+                for x in range(0, len(row), WINDOW_ROWS):
+                    part = slice(x, x + WINDOW_ROWS)
+                    r = row[part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(y) for y in (v[part], c[part], did[a:b][r], th[a:b][r], place[part].astype(np.int32),
+                                               np.ones(len(r), np.int32), np.zeros(len(r), np.int8))], schema=OCCURRENCE)
+
+    return keyed.select("did", "th", "text").join(wanted, ["did", "th"]).select("did", "th", "text", "w") \
+        .mapInArrow(scan, OCCURRENCE_DDL)
+
+
+def routed(keyed: DataFrame, found: DataFrame, length: int, by_word: bool, most: int = BLOCK_SYMBOLS) -> DataFrame:
+    """Occurrences whose keys have about ``most`` distinct symbols at most.
+
+    The windows of a larger key are routed by their own hashes: equal windows
+    still meet, and a key then holds one window, however often it occurs.
+    """
+    def larger(rows):
+        size = F.sum(F.col("n").cast("long") + (length - 1))
+        return written(rows.groupBy("v").agg(size.alias("s")).where(F.col("s") > most).select("v"), "repeat-large")
+
+    large = larger(found)
+    if not large.isEmpty():  # copies of a segment count once
+        large = larger(found.join(large, "v", "left_semi").select("v", "c", "n").distinct())
+    if large.isEmpty():
+        return found
+    wanted = found.join(large, "v", "left_semi").groupBy("did", "th").agg(F.collect_set(F.struct("at", "n")).alias("w"))
+    windows = written(windows_of(keyed, wanted, length, by_word), "repeat-windows")
+    again = windows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("v", "c")
+    kept = written(windows.join(again, ["v", "c"], "left_semi"), "repeat-candidates")
+    return found.join(large, "v", "left_anti").unionByName(kept)
+
+
 def first_places(found: DataFrame) -> DataFrame:
     """Per segment (key and hash): first place, windows, number of places."""
     return (found.groupBy("v", "c", "n").agg(F.min(F.struct("did", "th", "at")).alias("f"), F.count(F.lit(1)).alias("m"))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import row_keys, row_schema, with_results
-from ledgerlint.llm.repeats import (JUDGED_DDL, blocks, candidates, covered, first_places, flat_binary,
-                                    judged_batch, removals, segment_blocks, spans, suffix_array)
+from ledgerlint.llm.repeats import (BLOCK_SYMBOLS, JUDGED_DDL, blocks, candidates, covered, first_places, flat_binary,
+                                    judged_batch, removals, routed, segment_blocks, spans, suffix_array)
 from ledgerlint.llm.words import chunks, find_words, flat, join_words, text_array, word_hashes
 
 GRAM_WORDS = 6
@@ -108,7 +108,7 @@ def judge_words(batches, length: int):
 
 
 def remove_repeated_words(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
-                          text_col: str = "text") -> DataFrame:
+                          text_col: str = "text", key_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
     """The documents with ``n_words``, ``n_removed`` and ``kept_text``.
 
     A word goes if some window of ``min_words`` words over it also starts
@@ -123,7 +123,7 @@ def remove_repeated_words(docs: DataFrame, min_words: int = 20, id_col: str = "d
     """
     gram = min(GRAM_WORDS, min_words)
     keyed = row_keys(docs, id_col, text_col)
-    found = candidates(keyed, min_words, gram, True)
+    found = routed(keyed, candidates(keyed, min_words, gram, True), min_words, True, key_symbols)
     pieces = segment_blocks(keyed, first_places(found), min_words, True)
     judged = pieces.mapInArrow(lambda b: judge_words(b, min_words), JUDGED_DDL)
     text_at = docs.columns.index(text_col)

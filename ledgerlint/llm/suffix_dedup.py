@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import row_keys, row_schema, with_results
-from ledgerlint.llm.repeats import (JUDGED_DDL, blocks, candidates, covered, first_places, flat_binary,
-                                    judged_batch, removals, segment_blocks, spans, suffix_array)
+from ledgerlint.llm.repeats import (BLOCK_SYMBOLS, JUDGED_DDL, blocks, candidates, covered, first_places, flat_binary,
+                                    judged_batch, removals, routed, segment_blocks, spans, suffix_array)
 from ledgerlint.llm.words import chunks, flat
 
 GRAM_BYTES = 32
@@ -103,7 +103,7 @@ def judge_bytes(batches, length: int):
 
 
 def remove_repeated_bytes(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id",
-                          text_col: str = "text") -> DataFrame:
+                          text_col: str = "text", key_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
     """The documents with ``n_bytes``, ``n_removed``, ``n_spans`` and
     ``kept_bytes`` (binary: a cut may fall inside a character).
 
@@ -118,7 +118,7 @@ def remove_repeated_bytes(docs: DataFrame, min_bytes: int = 200, id_col: str = "
     """
     gram = min(GRAM_BYTES, min_bytes)
     keyed = row_keys(docs, id_col, text_col)
-    found = candidates(keyed, min_bytes, gram, False)
+    found = routed(keyed, candidates(keyed, min_bytes, gram, False), min_bytes, False, key_symbols)
     pieces = segment_blocks(keyed, first_places(found), min_bytes, False)
     judged = pieces.mapInArrow(lambda b: judge_bytes(b, min_bytes), JUDGED_DDL)
     text_at = docs.columns.index(text_col)
