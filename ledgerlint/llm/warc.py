@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import col
 
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+SKIPPED = re.compile(r"<(!--|(?:script|style|noscript|template|svg|title)(?=[\s/>])[^>]*>?)", re.I)
+ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "title")} | {"!--": re.compile("-->")}
+#: What swallows the rest of a page if it has no end.
+TO_THE_END = ("!--", "script", "style")
 BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header"
                     r"|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|tr|ul)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
@@ -35,9 +38,34 @@ BLANKS = re.compile(r"[ \t\r\f\v ]+")
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 
 
+def shown(page: str) -> str:
+    """The page with a blank for each comment and element that is not shown.
+
+    Any other tags stay, those of ``head`` too: it ends where the body begins,
+    with or without its end tag, and apart from what is skipped here it holds
+    tags alone. Elements without an end tag lose only their start tag, but for
+    ``TO_THE_END``; a self-closed ``svg`` is closed.
+    """
+    out, at, endless = [], 0, set()
+    while m := SKIPPED.search(page, at):
+        name = re.match(r"!--|\w+", m[1])[0].lower()
+        out += [page[at:m.start()], " "]
+        at = m.end()
+        if name in endless or name == "svg" and m[1].endswith("/>"):
+            continue
+        end = ENDS[name].search(page, at)
+        if end:
+            at = end.end()
+        elif name in TO_THE_END:
+            at = len(page)
+        else:
+            endless.add(name)
+    return "".join(out) + page[at:]
+
+
 def plain_text(page: str) -> str:
     """Visible text: blocks on lines of their own, entities resolved."""
-    text = TAGS.sub("", BREAKS.sub("\n", SKIPPED.sub(" ", page)))
+    text = TAGS.sub("", BREAKS.sub("\n", shown(page)))
     lines = (BLANKS.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -59,7 +87,7 @@ def metadata_block(page: str, uri: str) -> bytes:
     title, lang = TITLE.search(page), LANGUAGE.search(page)
     out = [f"title: {one_line(title[1])}"] if title else []
     out += [f"language: {lang[1]}"] if lang else []
-    for m in LINK.finditer(SKIPPED.sub(" ", page)):
+    for m in LINK.finditer(shown(page)):
         link = one_line(m[1] or m[2] or m[3] or "")
         try:
             link = urljoin(uri, link)
