@@ -9,8 +9,8 @@ no document is compared with every shard.
 2. ``candidates``: those whose key occurs twice, by a semi-join (a hot key
    is split by AQE; counts are combined before the shuffle).
 3. ``routed``: a key with more distinct symbols than a block holds (a short
-   phrase in many contexts) is split: its windows are keyed by their own
-   hashes, and those that occur once leave.
+   phrase in many contexts) is split: its windows are keyed by a longer gram,
+   then by their own hashes, and those whose key occurs once leave.
 4. ``first_places``: segments of the same symbols collapse to their first
    place and a count, so that a group of thousands of copies is indexed once.
 5. ``segment_blocks``: their bytes, fetched from the documents and sorted by
@@ -31,7 +31,6 @@ from ledgerlint.llm.words import (BYTE_CODES, SliceHash, chunks, flat, mix, wind
                                   word_hashes)
 
 BLOCK_SYMBOLS = 1 << 20
-WINDOW_ROWS = 1 << 16
 PLACE_BITS = 40
 
 
@@ -110,9 +109,9 @@ def candidates(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataF
     return written(found.join(twice, "v", "left_semi"), "repeat-candidates")
 
 
-def windows_of(keyed: DataFrame, wanted: DataFrame, length: int, by_word: bool) -> DataFrame:
-    """Each window of the wanted segments as an occurrence of its own, keyed
-    by its hash ``v`` and by ``c``, a hash of other codes."""
+def cut_again(keyed: DataFrame, wanted: DataFrame, length: int, gram: int, by_word: bool) -> DataFrame:
+    """The windows of the wanted segments as segments of another ``gram``;
+    ``c`` is a hash of other codes than the key's."""
     def scan(batches):
         for batch in batches:
             data, offsets = flat(batch.column("text"))
@@ -123,42 +122,49 @@ def windows_of(keyed: DataFrame, wanted: DataFrame, length: int, by_word: bool)
             for a, b in chunks(offsets):
                 codes, before = symbol_codes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], by_word)
                 lo, hi = bounds[a], bounds[b]
-                size = n[lo:hi]
-                row = np.repeat(np.repeat(np.arange(b - a), np.diff(bounds[a:b + 1])), size)
-                place = np.repeat(at[lo:hi] - np.cumsum(size) + size, size) + np.arange(len(row))
-                start = place + before[row]
-                v, c = (SliceHash(x).of(start, start + length).view(np.int64) for x in (codes, mix(codes)))
-                for x in range(0, len(row), WINDOW_ROWS):
-                    part = slice(x, x + WINDOW_ROWS)
-                    r = row[part]
+                owner = np.repeat(np.arange(b - a), np.diff(bounds[a:b + 1]))
+                size = n[lo:hi] + length - 1
+                base = np.concatenate([[0], np.cumsum(size)])
+                inner = np.arange(base[-1]) + np.repeat(at[lo:hi] + before[owner] - base[:-1], size)
+                pieces = codes[inner]
+                row, start, runs, key, _, several = segments(pieces, base, length, gram)
+                if len(row):
+                    same = SliceHash(mix(pieces)).of(start, start + runs + length - 1).view(np.int64)
+                    r, place = owner[row], at[lo:hi][row] + start - base[row]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(y) for y in (v[part], c[part], did[a:b][r], th[a:b][r], place[part].astype(np.int32),
-                                               np.ones(len(r), np.int32), np.zeros(len(r), np.int8))], schema=OCCURRENCE)
+                        [pa.array(x) for x in (key, same, did[a:b][r], th[a:b][r], place.astype(np.int32),
+                                               runs.astype(np.int32), several.astype(np.int8))], schema=OCCURRENCE)
 
     return keyed.select("did", "th", "text").join(wanted, ["did", "th"]).select("did", "th", "text", "w") \
         .mapInArrow(scan, OCCURRENCE_DDL)
 
 
-def routed(keyed: DataFrame, found: DataFrame, length: int, by_word: bool, most: int = BLOCK_SYMBOLS) -> DataFrame:
+def routed(keyed: DataFrame, found: DataFrame, length: int, gram: int, by_word: bool,
+           most: int = BLOCK_SYMBOLS) -> DataFrame:
     """Occurrences whose keys have about ``most`` distinct symbols at most.
 
-    The windows of a larger key are routed by their own hashes: equal windows
-    still meet, and a key then holds one window, however often it occurs.
+    The windows of a larger key are routed again by a longer gram, and those
+    of a key that is still larger by their own hashes: equal windows meet
+    each time, and a last key holds one window, however often it occurs.
     """
     def larger(rows):
         size = F.sum(F.col("n").cast("long") + (length - 1))
         return written(rows.groupBy("v").agg(size.alias("s")).where(F.col("s") > most).select("v"), "repeat-large")
 
-    large = larger(found)
-    if not large.isEmpty():  # copies of a segment count once
-        large = larger(found.join(large, "v", "left_semi").select("v", "c", "n").distinct())
-    if large.isEmpty():
-        return found
-    wanted = found.join(large, "v", "left_semi").groupBy("did", "th").agg(F.collect_set(F.struct("at", "n")).alias("w"))
-    windows = written(windows_of(keyed, wanted, length, by_word), "repeat-windows")
-    again = windows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("v", "c")
-    kept = written(windows.join(again, ["v", "c"], "left_semi"), "repeat-candidates")
-    return found.join(large, "v", "left_anti").unionByName(kept)
+    for longer in ((gram + length) // 2, length):
+        large = larger(found)
+        if not large.isEmpty():  # copies of a segment count once
+            large = larger(found.join(large, "v", "left_semi").select("v", "c", "n").distinct())
+        if large.isEmpty():
+            break
+        wanted = found.join(large, "v", "left_semi").groupBy("did", "th").agg(F.collect_set(F.struct("at", "n")).alias("w"))
+        cut = written(cut_again(keyed, wanted, length, longer, by_word), "repeat-cut-again")
+        # written, so that the join has no aggregate in its stage and AQE can split a hot key
+        twice = written(cut.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.max("inner_repeat").alias("i"))
+                        .where("k > 1 or i > 0").select("v"), "repeat-twice")
+        kept = written(cut.join(twice, "v", "left_semi"), "repeat-candidates")
+        found = found.join(large, "v", "left_anti").unionByName(kept)
+    return found
 
 
 def first_places(found: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def remove_repeated_words(docs: DataFrame, min_words: int = 20, id_col: str = "d
     """
     gram = min(GRAM_WORDS, min_words)
     keyed = row_keys(docs, id_col, text_col)
-    found = routed(keyed, candidates(keyed, min_words, gram, True), min_words, True, key_symbols)
+    found = routed(keyed, candidates(keyed, min_words, gram, True), min_words, gram, True, key_symbols)
     pieces = segment_blocks(keyed, first_places(found), min_words, True)
     judged = pieces.mapInArrow(lambda b: judge_words(b, min_words), JUDGED_DDL)
     text_at = docs.columns.index(text_col)

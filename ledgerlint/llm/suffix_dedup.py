@@ -118,7 +118,7 @@ def remove_repeated_bytes(docs: DataFrame, min_bytes: int = 200, id_col: str = "
     """
     gram = min(GRAM_BYTES, min_bytes)
     keyed = row_keys(docs, id_col, text_col)
-    found = routed(keyed, candidates(keyed, min_bytes, gram, False), min_bytes, False, key_symbols)
+    found = routed(keyed, candidates(keyed, min_bytes, gram, False), min_bytes, gram, False, key_symbols)
     pieces = segment_blocks(keyed, first_places(found), min_bytes, False)
     judged = pieces.mapInArrow(lambda b: judge_bytes(b, min_bytes), JUDGED_DDL)
     text_at = docs.columns.index(text_col)

@@ -58,4 +58,4 @@ def test_no_key_fills_more_than_a_block(spark, footers, by_word):
         return pieces.selectExpr("v", f"n + {length - 1} AS s").groupBy("v").sum("s").toPandas()["sum(s)"].max()
 
     assert largest(found) > 2 * most
-    assert largest(repeats.routed(keyed, found, length, by_word, most)) <= most
+    assert largest(repeats.routed(keyed, found, length, gram, by_word, most)) <= most
