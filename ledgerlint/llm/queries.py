@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerlint.llm.alignment import alignment_digest
 from ledgerlint.llm.decontaminate import decontamination_digest
 from ledgerlint.llm.jaccard_join import jaccard_digest
 from ledgerlint.llm.language import language_digest
 from ledgerlint.llm.line_rules import line_rules_digest
 from ledgerlint.llm.packing import packing_digest
+from ledgerlint.llm.pieces import pieces_digest
+from ledgerlint.llm.runs import runs_digest
 from ledgerlint.llm.substring_dedup import substring_dedup_digest
 from ledgerlint.llm.suffix_dedup import suffix_dedup_digest
 from ledgerlint.llm.toxicity import toxicity_digest
@@ -33,4 +36,7 @@ def queries() -> dict:
         "op8_suffix_dedup": _on(suffix_dedup_digest, "documents"),
         "op9_packing": _on(packing_digest, "documents"),
         "op10_warc": _on(warc_digest, "pages"),
+        "op11_runs": _on(runs_digest, "documents"),
+        "op12_sentencepiece": _on(pieces_digest, "documents"),
+        "op13_alignment": _on(alignment_digest, "documents"),
     }
