@@ -2,12 +2,12 @@
 
 Both tokenizers cut the same bytes, so tokens are matched by their byte
 ranges. Pass one aligns all documents in blocks and keeps each block's
-distinct id pairs with their numbers. The distinct pairs of the corpus are
-sharded by their B id, and every shard gets a minimal perfect hash with the
-pairs stored at their indexes. Blocks' numbers then become dense vectors
-indexed by that hash, which are summed as a tree. Pass two gets each block's
-pairs with their corpus counts, aligns its documents again and looks up every
-link.
+distinct id pairs with their numbers, beside the documents' ids. The distinct
+pairs of the corpus are sharded by their B id, and every shard gets a minimal
+perfect hash with the pairs stored at their indexes. Blocks' numbers then
+become dense vectors indexed by that hash, which are summed as a tree. Pass
+two gets each block's pairs with their corpus counts, aligns its documents'
+ids again and looks up every link.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ledgerlint.llm.common import drop, with_results, written
+from ledgerlint.llm.common import col, drop, with_results, written
 from ledgerlint.llm.packing import byte_letters
 from ledgerlint.llm.perfect_hash import PerfectHash
-from ledgerlint.llm.pieces import PieceEncoder, default_model, texts_of, with_text
+from ledgerlint.llm.pieces import PieceEncoder, default_model, texts_of
 from ledgerlint.llm.words import chunks, flat, mix
 
 #: The split of plain byte-level steps.
@@ -37,6 +37,7 @@ SHARD_PAIRS = 1 << 18
 PART_PAIRS = 1 << 20
 FAN_IN = 16
 LONG_TEXT = 1 << 20
+CHUNK_IDS = 1 << 17
 B_BITS = 32
 
 
@@ -99,58 +100,61 @@ def spelled(surface, starts, sizes, ids: np.ndarray) -> np.ndarray:
     return surface[np.arange(int(n.sum())) + np.repeat(starts[ids] - before, n)]
 
 
+def tokenised(texts: list[str], a: ByteEncoder, b: PieceEncoder) -> tuple[np.ndarray, ...]:
+    """Ids of A and of B with n+1 offsets each. Only texts that both spell out
+    byte by byte (with the space in front) have ids."""
+    n = len(texts)
+    spaced = [" " + t if t else "" for t in texts]
+    raw = [t.encode("utf-8", "replace") for t in spaced]
+    size = np.array([len(r) for r in raw], dtype=np.int64)
+    good, found = size > 0, []
+    for ids, cuts, table in ((*a.batch(spaced), a), (*b.batch(texts), b.model)):
+        doc = np.repeat(np.arange(n), np.diff(cuts))
+        ids = ids.astype(np.int64)
+        good &= np.bincount(doc, weights=table.sizes[ids], minlength=n).astype(np.int64) == size
+        found.append((ids, doc, table))
+    told = np.frombuffer(b"".join(r for r, g in zip(raw, good) if g), dtype=np.uint8)
+    owner = np.repeat(np.flatnonzero(good), size[good])
+    wrong = np.zeros(len(told), dtype=bool)
+    for ids, doc, table in found:
+        wrong |= spelled(table.surface, table.starts, table.sizes, ids[good[doc]]) != told
+    good[owner[wrong]] = False
+    out = []
+    for ids, doc, _ in found:
+        use = good[doc]
+        out += [ids[use], np.concatenate([[0], np.cumsum(np.bincount(doc[use], minlength=n))])]
+    return tuple(out)
+
+
 class Aligned:
-    """Tokens, groups and links of a list of texts.
+    """Groups and links of documents' ids, which spell the same bytes.
 
-    Only texts that both tokenizers spell out byte by byte (with the space in
-    front) have tokens. ``link_doc`` and ``link_key`` (A id << 32 | B id) hold
-    one entry per pair of overlapping tokens.
+    ``link_doc`` and ``link_key`` (A id << 32 | B id) hold one entry per pair
+    of overlapping tokens.
     """
 
-    def __init__(self, texts: list[str], a: ByteEncoder, b: PieceEncoder):
-        n = len(texts)
-        texts = [t or "" for t in texts]
-        spaced = [" " + t if t else "" for t in texts]
-        raw = [t.encode("utf-8", "replace") for t in spaced]
-        a_ids, a_cut = a.batch(spaced)
-        b_ids, b_cut = b.batch(texts)
-        b_ids = b_ids.astype(np.int64)
-        m = b.model
-        size = np.array([len(r) for r in raw], dtype=np.int64)
-        a_doc, b_doc = np.repeat(np.arange(n), np.diff(a_cut)), np.repeat(np.arange(n), np.diff(b_cut))
-        a_size = np.bincount(a_doc, weights=a.sizes[a_ids], minlength=n).astype(np.int64)
-        b_size = np.bincount(b_doc, weights=m.sizes[b_ids], minlength=n).astype(np.int64)
-        good = (size > 0) & (a_size == size) & (b_size == size)
-        a_use, b_use = good[a_doc], good[b_doc]
-        self.a_ids, self.a_doc, self.b_ids, self.b_doc = a_ids[a_use], a_doc[a_use], b_ids[b_use], b_doc[b_use]
-        told = np.frombuffer(b"".join(r for r, g in zip(raw, good) if g), dtype=np.uint8)
-        wrong = (spelled(a.surface, a.starts, a.sizes, self.a_ids) != told) | \
-                (spelled(m.surface, m.starts, m.sizes, self.b_ids) != told)
-        if wrong.any():
-            owner = np.repeat(np.flatnonzero(good), size[good])
-            good[owner[wrong]] = False
-            a_use, b_use = good[self.a_doc], good[self.b_doc]
-            self.a_ids, self.a_doc = self.a_ids[a_use], self.a_doc[a_use]
-            self.b_ids, self.b_doc = self.b_ids[b_use], self.b_doc[b_use]
-        self.n = n
-        a_end, b_end = np.cumsum(a.sizes[self.a_ids]), np.cumsum(m.sizes[self.b_ids])
-        first = np.searchsorted(b_end, a_end - a.sizes[self.a_ids], "right")
-        count = np.searchsorted(b_end, a_end, "left") - first + 1
-        link_a = np.repeat(np.arange(len(count)), count)
-        link_b = np.arange(len(link_a)) + np.repeat(first - (np.cumsum(count) - count), count)
-        self.link_doc = self.a_doc[link_a]
-        self.link_key = self.a_ids[link_a] << B_BITS | self.b_ids[link_b]
+    def __init__(self, a_ids, a_cut, b_ids, b_cut, a_sizes: np.ndarray, b_sizes: np.ndarray):
+        self.n = len(a_cut) - 1
+        self.a_ids, self.b_ids = a_ids, b_ids
+        self.a_doc, self.b_doc = (np.repeat(np.arange(self.n), np.diff(c)) for c in (a_cut, b_cut))
+        size = a_sizes[a_ids]
+        a_end, b_end = np.cumsum(size), np.cumsum(b_sizes[b_ids])
+        first = np.searchsorted(b_end, a_end - size, "right")
+        last = np.searchsorted(b_end, a_end, "left")
+        count = last - first + 1
+        link_b = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+        self.link_doc = np.repeat(self.a_doc, count)
+        self.link_key = np.repeat(a_ids << B_BITS, count) | b_ids[link_b]
         #: Ends that both share close a group.
-        place = np.searchsorted(b_end, a_end, "left")
-        self.a_last = b_end[place] == a_end if len(b_end) else np.zeros(0, bool)
+        self.a_last = b_end[last] == a_end if len(b_end) else np.zeros(0, bool)
         self.b_last = np.zeros(len(b_end), dtype=bool)
-        self.b_last[place[self.a_last]] = True
+        self.b_last[last[self.a_last]] = True
 
     def per_doc(self, docs: np.ndarray) -> np.ndarray:
         return np.bincount(docs, minlength=self.n)
 
     def groups(self) -> tuple[bytes, np.ndarray]:
-        """``a1,a2|b1;a3|b2,b3`` of all texts, and n+1 offsets."""
+        """``a1,a2|b1;a3|b2,b3`` of all documents, and n+1 offsets."""
         a_group, b_group = np.cumsum(self.a_last) - self.a_last, np.cumsum(self.b_last) - self.b_last
         total = int(self.a_last.sum())
         a_before = np.concatenate([[0], np.cumsum(np.bincount(a_group, minlength=total))])
@@ -164,27 +168,45 @@ class Aligned:
         return decimals(ids, mark, np.searchsorted(doc, np.arange(self.n + 1)))
 
 
+@lru_cache(maxsize=4)
+def digits(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of 0..size-1, one number a row, with room for a mark,
+    and how many digits each has."""
+    text = np.arange(size).astype(f"S{len(str(size - 1))}")
+    width = np.char.str_len(text)
+    table = np.zeros((size, text.itemsize + 1), dtype=np.uint8)
+    table[:, :-1] = text.view(np.uint8).reshape(size, -1)
+    return table, width
+
+
 def decimals(ids: np.ndarray, mark: np.ndarray, cuts: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Decimal numbers with a mark after each but the last of every row
     (``cuts``: n+1 offsets of rows), and the offsets of the rows' texts."""
-    width = np.ones(len(ids), dtype=np.int64)
-    bound = 10
-    while (ids >= bound).any():
-        width += ids >= bound
-        bound *= 10
-    last = np.zeros(len(ids), dtype=bool)
-    last[cuts[1:][np.diff(cuts) > 0] - 1] = True
-    ends = np.concatenate([[0], np.cumsum(width + ~last)])
-    out = np.zeros(int(ends[-1]), dtype=np.uint8)
-    tail = ends[:-1] + width
-    out[tail[~last]] = mark[~last]
-    left, at, rest = np.arange(len(ids)), tail - 1, ids.copy()
-    while len(left):
-        out[at[left]] = 48 + rest[left] % 10
-        rest[left] //= 10
-        at[left] -= 1
-        left = left[at[left] >= ends[left]]
-    return out.tobytes(), ends[cuts]
+    table, width = digits(1 << int(ids.max(initial=1)).bit_length())
+    mark = mark.copy()
+    mark[cuts[1:][np.diff(cuts) > 0] - 1] = 0
+    rows, width = table[ids], width[ids]
+    rows[np.arange(len(ids)), width] = mark
+    ends = np.concatenate([[0], np.cumsum(width + (mark > 0))])
+    return rows[rows > 0].tobytes(), ends[cuts]
+
+
+def packed(ids: np.ndarray, cuts: np.ndarray, size: int) -> pa.Array:
+    """Ids of each row as little-endian numbers, two bytes each where a
+    vocabulary of ``size`` allows it."""
+    data = ids.astype("<u2" if size <= 1 << 16 else "<u4")
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [
+        None, pa.py_buffer((cuts * data.itemsize).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of ``packed`` rows and their offsets."""
+    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+    column = column.cast(pa.large_binary())
+    cuts = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = b"" if data is None else memoryview(data)[cuts[0]:cuts[-1]]
+    return np.frombuffer(data, dtype=kind).astype(np.int64), (cuts - cuts[0]) // kind.itemsize
 
 
 def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,48 +230,53 @@ def values_of(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
+BLOCK_FIELDS = "a_ids binary, b_ids binary, keys array<long>, counts array<long>"
+
+
 def blocks_of(rows: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """Pass one: each row with its block, and one row per block with its
-    distinct pairs and their numbers. A block holds about ``block_bytes`` of
-    text, or one longer text, of one partition."""
+    """Pass one: each row with its block and its ids, and one row per block
+    with its distinct pairs and their numbers. A block holds about
+    ``block_bytes`` of text, or one longer text, of one partition."""
 
     def run(batches):
         a, b = encoders(a_path, b_path)
         base = TaskContext.get().partitionId() << 32
         block, filled, found = 0, 0, []
         row_type = None
+        names = ["block", "__row", "a_ids", "b_ids", "keys", "counts"]
 
         def close():
             keys, counts = tally(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)]),
                                  np.concatenate([np.zeros(0, np.int64), *(c for _, c in found)]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + block], pa.int64()), pa.nulls(1, row_type), pa.nulls(1, pa.string()),
-                 long_lists([keys]), long_lists([counts])], names=["block", "__row", "text", "keys", "counts"])
+                [pa.array([base + block], pa.int64()), pa.nulls(1, row_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                 long_lists([keys]), long_lists([counts])], names=names)
 
         for batch in batches:
             row_type = batch.column("__row").type
-            text = batch.column("text").cast(pa.string())
-            data, offsets = flat(text)
+            data, offsets = flat(batch.column("text"))
             for x, y in chunks(offsets):
                 size = int(offsets[y] - offsets[x])
                 if filled and filled + size > block_bytes:
                     yield close()
                     block, filled, found = block + 1, 0, []
-                lined = Aligned(texts_of(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x]), a, b)
+                a_ids, a_cut, b_ids, b_cut = tokenised(
+                    texts_of(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x]), a, b)
+                lined = Aligned(a_ids, a_cut, b_ids, b_cut, a.sizes, b.model.sizes)
                 found.append(np.unique(lined.link_key, return_counts=True))
                 if len(found) > 16:
                     found = [tally(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
                 filled += size + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(y - x, base + block)), batch.column("__row").slice(x, y - x), text.slice(x, y - x),
-                     pa.nulls(y - x, pa.list_(pa.int64())), pa.nulls(y - x, pa.list_(pa.int64()))],
-                    names=["block", "__row", "text", "keys", "counts"])
+                    [pa.array(np.full(y - x, base + block)), batch.column("__row").slice(x, y - x),
+                     packed(a_ids, a_cut, len(a.sizes)), packed(b_ids, b_cut, b.model.size),
+                     pa.nulls(y - x, pa.list_(pa.int64())), pa.nulls(y - x, pa.list_(pa.int64()))], names=names)
         if filled:
             yield close()
 
     return rows.mapInArrow(run, StructType([
         StructType.fromDDL("block long").fields[0], StructField("__row", rows.schema["__row"].dataType),
-        *StructType.fromDDL("text string, keys array<long>, counts array<long>").fields]))
+        *StructType.fromDDL(BLOCK_FIELDS).fields]))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -380,12 +407,18 @@ def answers(by_shard: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
         look, "block long, keys array<long>, counts array<long>, best array<boolean>")
 
 
+def without_text(docs: DataFrame, text_col: str) -> DataFrame:
+    """``__row`` (all columns but the text) and ``text``."""
+    others = [col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("__none")]
+    return docs.select(F.struct(*others).alias("__row"), col(text_col).alias("text"))
+
+
 ALIGN_COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text",
                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row with ``n_a`` and ``n_b`` (tokens), ``n_groups``, ``n_links``
+    """Every row, without its text, with ``n_a`` and ``n_b`` (tokens), ``n_groups``, ``n_links``
     (pairs of overlapping tokens), ``n_best`` (links whose pair count is the
     highest of their B id in the corpus, ties included), ``count_sum`` (pair
     counts over the links) and ``groups`` (``a1,a2|b1;a3|b2,b3``: ids of both
@@ -399,7 +432,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text_col: str =
     A task holds a block of texts (or one longer text), or the pairs of a
     shard and part, both of bounded size.
     """
-    rows = with_text(docs, text_col)
+    rows = without_text(docs, text_col)
     stored = written(blocks_of(rows, a_path, b_path, block_bytes), "align-blocks")
     entries = stored.where(F.col("keys").isNotNull()).select("block", "keys", "counts")
     passing = []
@@ -421,32 +454,31 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text_col: str =
         known = known[order]
         number, best = values_of(asked.column("counts"))[order], values_of(asked.column("best"))[order].astype(bool)
         mine = table.filter(pc.is_null(table.column("keys"))).combine_chunks()
-        text = mine.column("text").combine_chunks() if mine.num_rows else pa.array([], pa.string())
-        data, offsets = flat(text)
+        row = mine.column("__row").combine_chunks()
+        a_ids, a_cut = unpacked(mine.column("a_ids").combine_chunks(), len(a.sizes))
+        b_ids, b_cut = unpacked(mine.column("b_ids").combine_chunks(), b.model.size)
         out = []
-        for x, y in chunks(offsets):
-            lined = Aligned(texts_of(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x]), a, b)
+        for x, y in chunks(a_cut, CHUNK_IDS):
+            lined = Aligned(a_ids[a_cut[x]:a_cut[y]], a_cut[x:y + 1] - a_cut[x],
+                            b_ids[b_cut[x]:b_cut[y]], b_cut[x:y + 1] - b_cut[x], a.sizes, b.model.sizes)
             at = np.searchsorted(known, lined.link_key)
-            n_links = lined.per_doc(lined.link_doc)
             sums = np.zeros(y - x, dtype=np.int64)
             np.add.at(sums, lined.link_doc, number[at])
             spelt, cuts = lined.groups()
             groups = pa.Array.from_buffers(pa.large_string(), y - x, [
                 None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(spelt)]).cast(pa.string())
             out.append(pa.table([
-                mine.column("__row").slice(x, y - x).combine_chunks(), pa.array(lined.per_doc(lined.a_doc)),
-                pa.array(lined.per_doc(lined.b_doc)), pa.array(lined.per_doc(lined.b_doc[lined.b_last])), pa.array(n_links),
-                pa.array(lined.per_doc(lined.link_doc[best[at]])), pa.array(sums), groups],
-                names=["__row", *ALIGN_COLUMNS]))
+                row.slice(x, y - x), *[pa.array(lined.per_doc(d)) for d in (
+                    lined.a_doc, lined.b_doc, lined.b_doc[lined.b_last], lined.link_doc, lined.link_doc[best[at]])],
+                pa.array(sums), groups], names=["__row", *ALIGN_COLUMNS]))
         return pa.concat_tables(out) if out else pa.table(
-            [mine.column("__row").combine_chunks(), *[pa.array([], pa.int64())] * 6, pa.array([], pa.string())],
-            names=["__row", *ALIGN_COLUMNS])
+            [row, *[pa.array([], pa.int64())] * 6, pa.array([], pa.string())], names=["__row", *ALIGN_COLUMNS])
 
-    both = stored.where(F.col("keys").isNull()).select("block", "__row", "text", "keys").unionByName(
+    both = stored.where(F.col("keys").isNull()).select("block", "__row", "a_ids", "b_ids", "keys").unionByName(
         answers(by_shard, counts, parts), allowMissingColumns=True)
     out = both.groupBy("block").applyInArrow(again, StructType([rows.schema["__row"], *StructType.fromDDL(
         "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string").fields]))
-    return with_results(out, docs.columns, ALIGN_COLUMNS)
+    return with_results(out, [c for c in docs.columns if c != text_col], ALIGN_COLUMNS)
 
 
 def default_byte_file() -> str:
