@@ -9,8 +9,9 @@ no document is compared with every shard.
 2. ``candidates``: those whose key occurs twice, by a semi-join (a hot key
    is split by AQE; counts are combined before the shuffle).
 3. ``routed``: a key with more distinct symbols than a block holds (a short
-   phrase in many contexts) is split: its windows are keyed by a longer gram,
-   then by their own hashes, and those whose key occurs once leave.
+   phrase in many contexts) is split: the windows of its distinct segments,
+   each with its number of copies, are keyed by a longer gram, then by their
+   own hashes, and those whose key occurs once leave.
 4. ``first_places``: segments of the same symbols collapse to their first
    place and a count, so that a group of thousands of copies is indexed once.
 5. ``segment_blocks``: their bytes, fetched from the documents and sorted by
@@ -110,14 +111,18 @@ def candidates(keyed: DataFrame, length: int, gram: int, by_word: bool) -> DataF
 
 
 def cut_again(keyed: DataFrame, wanted: DataFrame, length: int, gram: int, by_word: bool) -> DataFrame:
-    """The windows of the wanted segments as segments of another ``gram``;
-    ``c`` is a hash of other codes than the key's."""
+    """The windows of the wanted segments (place, windows, copies) as segments
+    of another ``gram``; ``c`` is a hash of other codes than the key's."""
     def scan(batches):
+        seen = set()
         for batch in batches:
+            batch = unseen(batch, seen)
+            if not batch.num_rows:
+                continue
             data, offsets = flat(batch.column("text"))
             wants = batch.column("w")
             bounds = np.asarray(wants.offsets)
-            at, n = (wants.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            at, n, m = (wants.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             did, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
             for a, b in chunks(offsets):
                 codes, before = symbol_codes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], by_word)
@@ -133,44 +138,64 @@ def cut_again(keyed: DataFrame, wanted: DataFrame, length: int, gram: int, by_wo
                     r, place = owner[row], at[lo:hi][row] + start - base[row]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x) for x in (key, same, did[a:b][r], th[a:b][r], place.astype(np.int32),
-                                               runs.astype(np.int32), several.astype(np.int8))], schema=OCCURRENCE)
+                                               runs.astype(np.int32), several.astype(np.int8), m[lo:hi][row])],
+                        schema=OCCURRENCE.append(pa.field("m", pa.int64())))
 
+    # rows repeated whole may be cut in several tasks
     return keyed.select("did", "th", "text").join(wanted, ["did", "th"]).select("did", "th", "text", "w") \
-        .mapInArrow(scan, OCCURRENCE_DDL)
+        .mapInArrow(scan, OCCURRENCE_DDL + ", m long").distinct()
+
+
+def unseen(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """Of rows repeated whole, the first that a task meets."""
+    keys = zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), strict=True)
+    return batch.filter(pa.array([k not in seen and not seen.add(k) for k in keys], pa.bool_()))
 
 
 def routed(keyed: DataFrame, found: DataFrame, length: int, gram: int, by_word: bool,
            most: int = BLOCK_SYMBOLS) -> DataFrame:
-    """Occurrences whose keys have about ``most`` distinct symbols at most.
-
-    The windows of a larger key are routed again by a longer gram, and those
-    of a key that is still larger by their own hashes: equal windows meet
-    each time, and a last key holds one window, however often it occurs.
+    """Occurrences whose keys have about ``most`` distinct symbols at most,
+    each for ``m`` places.
+
+    The segments of a larger key are collapsed to their first places, whose
+    windows are routed again by a longer gram, and those of a key that is
+    still larger by their own hashes: equal windows meet each time, and a last
+    key holds one window, however often it occurs. The later copies of a
+    collapsed segment are not cut: they stay without a key (``v`` null), so
+    that what the split writes follows the distinct segments.
     """
     def larger(rows):
         size = F.sum(F.col("n").cast("long") + (length - 1))
         return written(rows.groupBy("v").agg(size.alias("s")).where(F.col("s") > most).select("v"), "repeat-large")
 
+    place = ["v", "did", "th", "at"]
+    found = found.withColumn("m", F.lit(1).cast("long"))
     for longer in ((gram + length) // 2, length):
-        large = larger(found)
-        if not large.isEmpty():  # copies of a segment count once
-            large = larger(found.join(large, "v", "left_semi").select("v", "c", "n").distinct())
+        large = larger(found.where("v IS NOT NULL"))
+        if large.isEmpty():
+            break
+        firsts = written(first_places(found.join(large, "v", "left_semi")), "repeat-firsts")
+        large = larger(firsts)
         if large.isEmpty():
             break
-        wanted = found.join(large, "v", "left_semi").groupBy("did", "th").agg(F.collect_set(F.struct("at", "n")).alias("w"))
+        firsts = firsts.join(large, "v", "left_semi")
+        wanted = firsts.groupBy("did", "th").agg(F.collect_set(F.struct("at", "n", F.col("m").cast("long").alias("m"))).alias("w"))
         cut = written(cut_again(keyed, wanted, length, longer, by_word), "repeat-cut-again")
         # written, so that the join has no aggregate in its stage and AQE can split a hot key
-        twice = written(cut.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.max("inner_repeat").alias("i"))
+        twice = written(cut.groupBy("v").agg(F.sum("m").alias("k"), F.max("inner_repeat").alias("i"))
                         .where("k > 1 or i > 0").select("v"), "repeat-twice")
         kept = written(cut.join(twice, "v", "left_semi"), "repeat-candidates")
-        found = found.join(large, "v", "left_anti").unionByName(kept)
+        copies = found.join(large, "v", "left_semi").join(firsts.select(*place), place, "left_anti")
+        found = found.join(large, "v", "left_anti").unionByName(kept) \
+            .unionByName(copies.withColumn("v", F.lit(None).cast("long")))
     return found
 
 
 def first_places(found: DataFrame) -> DataFrame:
     """Per segment (key and hash): first place, windows, number of places."""
-    return (found.groupBy("v", "c", "n").agg(F.min(F.struct("did", "th", "at")).alias("f"), F.count(F.lit(1)).alias("m"))
-            .select("v", "f.did", "f.th", "f.at", "n", F.col("m").cast("int").alias("m")))
+    many = F.sum("m") if "m" in found.columns else F.count(F.lit(1))
+    return (found.where("v IS NOT NULL").groupBy("v", "c", "n").agg(F.min(F.struct("did", "th", "at")).alias("f"), many.alias("m"))
+            .select("v", "f.did", "f.th", "f.at", "n", F.least("m", F.lit(2 ** 31 - 1)).cast("int").alias("m")))
 
 
 SEGMENT = pa.schema([("v", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
@@ -184,10 +209,7 @@ def segment_blocks(keyed: DataFrame, firsts: DataFrame, length: int, by_word: bo
     def cut(batches):
         seen = set()
         for batch in batches:
-            # of rows repeated whole, a task cuts one
-            keys = zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), strict=True)
-            new = [k not in seen and not seen.add(k) for k in keys]
-            batch = batch.filter(pa.array(new, pa.bool_()))
+            batch = unseen(batch, seen)
             if not batch.num_rows:
                 continue
             data, offsets = flat(batch.column("text"))
