@@ -65,16 +65,16 @@ class UnitTokenizer:
     The tokenizer drops blanks and splits texts into runs of letters, single
     numbers and runs of other characters before it merges pairs, so a text's
     ids are those of its units one after another. Texts with characters from
-    U+0300 on (which may compose) go to the tokenizer whole, and so does, as
-    one unit, any word with an apostrophe. A tokenizer of other steps gets
-    all texts whole.
+    U+0300 on (which may compose) or with an added token of the vocabulary in
+    them go to the tokenizer whole, and so does, as one unit, any word with an
+    apostrophe. A tokenizer of other steps gets all texts whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         steps = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"].lower() for t in steps.get("added_tokens") or []]
         names = [[x["type"] for x in (steps.get(k) or {}).get(v, [])]
                  for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
         split = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
@@ -132,7 +132,8 @@ class UnitTokenizer:
         high = codes >= SIMPLE
         odd = high | ~plain[np.where(high, 0, codes)]
         counted = np.concatenate([[0], np.cumsum(odd)])
-        whole = np.flatnonzero(counted[offsets[1:]] > counted[offsets[:-1]])
+        whole = np.flatnonzero((counted[offsets[1:]] > counted[offsets[:-1]])
+                               | np.array([any(x in t.lower() for x in self.added) for t in texts], dtype=bool))
         first = np.zeros(len(codes) + 1, dtype=bool)
         first[offsets] = True
         simple = np.where(odd, 32, codes)

@@ -164,9 +164,9 @@ def test_decontamination_both_ways(spark, odd):
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(packing.default_tokenizer())
-    whole.encode_special_tokens = True
     rows = odd + [(300 + i, t, "en", "s", 0) for i, t in enumerate(
-        ["it's we've ''s 's can't x'y", "<|endoftext|>", "a\x00b", "a\u0085c ½1²", "é ǅ", " 's"])]
+        ["it's we've ''s 's can't x'y", "<|endoftext|>", "abc <|endoftext|> def<|startoftext|>", "A <|ENDOFTEXT|> b",
+         "<|endoftext|>" * 3, "a\x00b", "a\u0085c ½1²", "é ǅ", " 's"])]
     pieces = packing.pack(frame(spark, rows).select("doc_id", "text"), packing.default_tokenizer()).collect()
     by_doc, stream = {}, {}
     for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
