@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ledgerlint.llm.common import col, drop, with_results, written
 from ledgerlint.llm.packing import byte_letters
@@ -37,7 +37,6 @@ SHARD_PAIRS = 1 << 18
 PART_PAIRS = 1 << 20
 FAN_IN = 16
 LONG_TEXT = 1 << 20
-CHUNK_IDS = 1 << 17
 B_BITS = 32
 
 
@@ -191,22 +190,17 @@ def decimals(ids: np.ndarray, mark: np.ndarray, cuts: np.ndarray) -> tuple[bytes
     return rows[rows > 0].tobytes(), ends[cuts]
 
 
-def packed(ids: np.ndarray, cuts: np.ndarray, size: int) -> pa.Array:
-    """Ids of each row as little-endian numbers, two bytes each where a
+def packed(ids: np.ndarray, size: int) -> bytes:
+    """Ids as compressed little-endian numbers, two bytes each where a
     vocabulary of ``size`` allows it."""
-    data = ids.astype("<u2" if size <= 1 << 16 else "<u4")
-    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [
-        None, pa.py_buffer((cuts * data.itemsize).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+    return pa.compress(ids.astype("<u2" if size <= 1 << 16 else "<u4").tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of ``packed`` rows and their offsets."""
+def unpacked(data: bytes, count: int, size: int) -> np.ndarray:
+    """``count`` ids that were ``packed``."""
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-    column = column.cast(pa.large_binary())
-    cuts = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = b"" if data is None else memoryview(data)[cuts[0]:cuts[-1]]
-    return np.frombuffer(data, dtype=kind).astype(np.int64), (cuts - cuts[0]) // kind.itemsize
+    raw = pa.decompress(data, decompressed_size=count * kind.itemsize, codec="zstd", asbytes=True) if count else b""
+    return np.frombuffer(raw, dtype=kind).astype(np.int64)
 
 
 def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,26 +224,28 @@ def values_of(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-BLOCK_FIELDS = "a_ids binary, b_ids binary, keys array<long>, counts array<long>"
+BLOCK_FIELDS = "a_sizes array<long>, b_sizes array<long>, a_ids binary, b_ids binary, keys array<long>, counts array<long>"
 
 
 def blocks_of(rows: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """Pass one: each row with its block and its ids, and one row per block
-    with its distinct pairs and their numbers. A block holds about
-    ``block_bytes`` of text, or one longer text, of one partition."""
+    """Pass one: the rows with their ids, some hundred kilobytes of text at a
+    time, and per block one more row with its distinct pairs and their
+    numbers. A block holds about ``block_bytes`` of text, or one longer text,
+    of one partition."""
 
     def run(batches):
         a, b = encoders(a_path, b_path)
         base = TaskContext.get().partitionId() << 32
         block, filled, found = 0, 0, []
         row_type = None
-        names = ["block", "__row", "a_ids", "b_ids", "keys", "counts"]
+        names = ["block", "rows", "a_sizes", "b_sizes", "a_ids", "b_ids", "keys", "counts"]
 
         def close():
             keys, counts = tally(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)]),
                                  np.concatenate([np.zeros(0, np.int64), *(c for _, c in found)]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + block], pa.int64()), pa.nulls(1, row_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                [pa.array([base + block], pa.int64()), pa.nulls(1, pa.list_(row_type)),
+                 *(pa.nulls(1, t) for t in (pa.list_(pa.int64()),) * 2 + (pa.binary(),) * 2),
                  long_lists([keys]), long_lists([counts])], names=names)
 
         for batch in batches:
@@ -268,14 +264,16 @@ def blocks_of(rows: DataFrame, a_path: str, b_path: str, block_bytes: int) -> Da
                     found = [tally(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
                 filled += size + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(y - x, base + block)), batch.column("__row").slice(x, y - x),
-                     packed(a_ids, a_cut, len(a.sizes)), packed(b_ids, b_cut, b.model.size),
-                     pa.nulls(y - x, pa.list_(pa.int64())), pa.nulls(y - x, pa.list_(pa.int64()))], names=names)
+                    [pa.array([base + block], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array([0, y - x], pa.int32()), batch.column("__row").slice(x, y - x)),
+                     long_lists([np.diff(a_cut)]), long_lists([np.diff(b_cut)]),
+                     pa.array([packed(a_ids, len(a.sizes))], pa.binary()), pa.array([packed(b_ids, b.model.size)], pa.binary()),
+                     *(pa.nulls(1, pa.list_(pa.int64())) for _ in range(2))], names=names)
         if filled:
             yield close()
 
     return rows.mapInArrow(run, StructType([
-        StructType.fromDDL("block long").fields[0], StructField("__row", rows.schema["__row"].dataType),
+        StructType.fromDDL("block long").fields[0], StructField("rows", ArrayType(rows.schema["__row"].dataType)),
         *StructType.fromDDL(BLOCK_FIELDS).fields]))
 
 
@@ -454,27 +452,26 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, text_col: str =
         known = known[order]
         number, best = values_of(asked.column("counts"))[order], values_of(asked.column("best"))[order].astype(bool)
         mine = table.filter(pc.is_null(table.column("keys"))).combine_chunks()
-        row = mine.column("__row").combine_chunks()
-        a_ids, a_cut = unpacked(mine.column("a_ids").combine_chunks(), len(a.sizes))
-        b_ids, b_cut = unpacked(mine.column("b_ids").combine_chunks(), b.model.size)
         out = []
-        for x, y in chunks(a_cut, CHUNK_IDS):
-            lined = Aligned(a_ids[a_cut[x]:a_cut[y]], a_cut[x:y + 1] - a_cut[x],
-                            b_ids[b_cut[x]:b_cut[y]], b_cut[x:y + 1] - b_cut[x], a.sizes, b.model.sizes)
+        for i in range(mine.num_rows):
+            cuts, ids = [], []
+            for side, size in (("a", len(a.sizes)), ("b", b.model.size)):
+                cuts.append(np.concatenate([[0], np.cumsum(values_of(mine.column(f"{side}_sizes").slice(i, 1)))]))
+                ids.append(unpacked(mine.column(f"{side}_ids")[i].as_py(), int(cuts[-1][-1]), size))
+            lined = Aligned(ids[0], cuts[0], ids[1], cuts[1], a.sizes, b.model.sizes)
             at = np.searchsorted(known, lined.link_key)
-            sums = np.zeros(y - x, dtype=np.int64)
+            sums = np.zeros(lined.n, dtype=np.int64)
             np.add.at(sums, lined.link_doc, number[at])
-            spelt, cuts = lined.groups()
-            groups = pa.Array.from_buffers(pa.large_string(), y - x, [
-                None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(spelt)]).cast(pa.string())
+            spelt, ends = lined.groups()
+            groups = pa.Array.from_buffers(pa.large_string(), lined.n, [
+                None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(spelt)]).cast(pa.string())
             out.append(pa.table([
-                row.slice(x, y - x), *[pa.array(lined.per_doc(d)) for d in (
+                mine.column("rows").slice(i, 1).combine_chunks().flatten(), *[pa.array(lined.per_doc(d)) for d in (
                     lined.a_doc, lined.b_doc, lined.b_doc[lined.b_last], lined.link_doc, lined.link_doc[best[at]])],
                 pa.array(sums), groups], names=["__row", *ALIGN_COLUMNS]))
-        return pa.concat_tables(out) if out else pa.table(
-            [row, *[pa.array([], pa.int64())] * 6, pa.array([], pa.string())], names=["__row", *ALIGN_COLUMNS])
+        return pa.concat_tables(out)
 
-    both = stored.where(F.col("keys").isNull()).select("block", "__row", "a_ids", "b_ids", "keys").unionByName(
+    both = stored.where(F.col("keys").isNull()).drop("counts").unionByName(
         answers(by_shard, counts, parts), allowMissingColumns=True)
     out = both.groupBy("block").applyInArrow(again, StructType([rows.schema["__row"], *StructType.fromDDL(
         "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string").fields]))
