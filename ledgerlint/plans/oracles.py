@@ -592,6 +592,18 @@ ORACLES["stratified_folds"] = with_view(
     "WHERE discount_applied IS NOT NULL GROUP BY 1)\n"
     "SELECT label AS discount_applied, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n_rows "
     "FROM cls, range(5) t(f)")
+ORACLES["nearest_rows"] = """
+WITH t AS (
+  SELECT o_custkey, count(*) AS a1, sum(floor(l_quantity)) AS a2, sum(l_linenumber) AS a3, max(floor(l_quantity)) AS a4,
+         count(DISTINCT l_suppkey) AS a5, sum(floor(l_discount * 100 + 0.5)) AS a6
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey),
+p AS (SELECT min(o_custkey) AS id, a1::BIGINT AS a1, a2::BIGINT AS a2, a3::BIGINT AS a3, a4::BIGINT AS a4, a5::BIGINT AS a5,
+             a6::BIGINT AS a6 FROM t GROUP BY ALL),
+d AS (SELECT x.id, y.id AS o, (x.a1-y.a1)**2 + (x.a2-y.a2)**2 + (x.a3-y.a3)**2 + (x.a4-y.a4)**2 + (x.a5-y.a5)**2 + (x.a6-y.a6)**2 AS d
+      FROM p x JOIN p y ON x.id <> y.id),
+r AS (SELECT id, o, d, row_number() OVER (PARTITION BY id ORDER BY d, o) AS k FROM d)
+SELECT id::BIGINT AS custkey, k::INTEGER AS place, o::BIGINT AS near_custkey, d::BIGINT AS squared_distance FROM r WHERE k <= 5
+"""
 ORACLES["rebalance"] = with_view(
     ", cls AS (SELECT CAST(discount_applied AS DOUBLE) AS label, count(*) AS n FROM rv "
     "WHERE discount_applied IS NOT NULL GROUP BY 1)\n"

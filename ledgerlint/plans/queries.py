@@ -29,8 +29,10 @@ from ledgerlint.operators import stats as ST
 from ledgerlint.operators import uniqueness as U
 from ledgerlint.operators import validity as V
 from ledgerlint.operators import weekly as W
+from ledgerlint.operators.neighbours import nearest_neighbours
 from ledgerlint.schema import VIEW_COLUMNS as VC
 from ledgerlint.schema import VIEW_RULES as VR
+from ledgerlint.session import cut_lineage
 from ledgerlint.sources import files as IO
 from ledgerlint.sources import tables as TB
 
@@ -739,10 +741,27 @@ def q_rebalance(spark, sf):
     return out.groupBy(VC.discount).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("nearest_rows")
+def q_nearest_rows(spark, sf):
+    """E8's neighbours: the five customers nearest to each in six whole
+    numbers, one customer for each distinct point."""
+    lines = TB.read_table(spark, sf, "lineitem").join(
+        TB.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    totals = lines.groupBy("o_custkey").agg(
+        F.count(F.lit(1)), F.sum(F.floor("l_quantity")), F.sum(F.col("l_linenumber").cast("long")),
+        F.max(F.floor("l_quantity")), F.countDistinct("l_suppkey"), F.sum(F.floor(F.col("l_discount") * 100 + 0.5)))
+    points = totals.groupBy(F.array(*[F.col(f"`{c}`").cast("double") for c in totals.columns[1:]]).alias("a")) \
+        .agg(F.min("o_custkey").cast("long").alias("id"))
+    near = nearest_neighbours(cut_lineage(points), k=5)
+    return near.select(F.col("id").alias("custkey"), F.posexplode(F.arrays_zip("near_ids", "near_d2")).alias("i", "n")) \
+        .select("custkey", (F.col("i") + 1).alias("place"), F.col("n.near_ids").alias("near_custkey"),
+                F.col("n.near_d2").cast("long").alias("squared_distance"))
+
+
 @register("select_model")
 def q_select_model(spark, sf):
-    cands = M.default_classifiers(VC.discount)
-    return M.select_model(_class_input(spark, sf), VC.discount, {k: cands[k] for k in ("lr", "dt", "rf")},
+    """M3: six candidates, rebalanced inside the folds."""
+    return M.select_model(_class_input(spark, sf), VC.discount, M.default_classifiers(VC.discount),
                           MODEL_NUM, MODEL_CAT, metric="auc")["scores"]
 
 
@@ -828,8 +847,7 @@ def q_target_ddl(spark, sf):
 @register("select_model_f2")
 def q_select_model_f2(spark, sf):
     """M9: the earlier selection variant scored by F2 (recall-weighted)."""
-    cands = M.default_classifiers(VC.discount)
-    return M.select_model(_class_input(spark, sf), VC.discount, {k: cands[k] for k in ("lr", "dt", "rf")},
+    return M.select_model(_class_input(spark, sf), VC.discount, M.default_classifiers(VC.discount),
                           MODEL_NUM, MODEL_CAT, metric="f2", grid_on="balanced")["scores"]
 
 
