@@ -592,6 +592,24 @@ ORACLES["stratified_folds"] = with_view(
     "WHERE discount_applied IS NOT NULL GROUP BY 1)\n"
     "SELECT label AS discount_applied, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n_rows "
     "FROM cls, range(5) t(f)")
+_INSERT = """,
+ins AS (
+  SELECT transaction_id, CASE
+    WHEN transaction_id IS NULL THEN 'transaction_id is null' WHEN customer_id IS NULL THEN 'customer_id is null'
+    WHEN price IS NULL THEN 'price is null' WHEN quantity % 1 <> 0 THEN 'quantity is no int64'
+    WHEN transaction_date IS NULL THEN 'transaction_date is null'
+    WHEN TRY_CAST(transaction_date AS DATE) IS NULL THEN 'transaction_date is no date32[day]' END AS bad FROM rv),
+taken AS (
+  SELECT 'transaction_id is taken' AS bad, count(*) - count(DISTINCT transaction_id) AS n FROM ins WHERE bad IS NULL),
+failed AS (SELECT bad, count(*) AS n FROM ins WHERE bad IS NOT NULL GROUP BY 1 UNION ALL SELECT * FROM taken WHERE n > 0),
+good AS (SELECT count(DISTINCT transaction_id) AS n FROM ins WHERE bad IS NULL)
+SELECT 'good' AS outcome, '' AS reason, n AS n_rows FROM good
+UNION ALL SELECT 'failed', bad, n FROM failed UNION ALL SELECT 'rejects', bad, n FROM failed
+UNION ALL SELECT 'stored', 'rows', n FROM good UNION ALL SELECT 'stored', 'keys', n FROM good
+"""
+ORACLES["batched_insert"] = with_view(_INSERT)
+ORACLES["paged_scan"] = with_view(
+    "SELECT l_orderkey, l_linenumber, transaction_id, item, price, quantity FROM rv")
 ORACLES["nearest_rows"] = """
 WITH t AS (
   SELECT o_custkey, count(*) AS a1, sum(floor(l_quantity)) AS a2, sum(l_linenumber) AS a3, max(floor(l_quantity)) AS a4,

@@ -33,6 +33,7 @@ from ledgerlint.operators.neighbours import nearest_neighbours
 from ledgerlint.schema import VIEW_COLUMNS as VC
 from ledgerlint.schema import VIEW_RULES as VR
 from ledgerlint.session import cut_lineage
+from ledgerlint.sources import batches as B
 from ledgerlint.sources import files as IO
 from ledgerlint.sources import tables as TB
 
@@ -675,6 +676,39 @@ def q_good_reject_split(spark, sf):
     return g.unionByName(b)
 
 
+#: The target of the batched insert: columns, types and which are required.
+INSERT_TARGET = T.StructType([
+    T.StructField(VC.transaction_id, T.StringType(), False), T.StructField(VC.customer_id, T.StringType(), False),
+    T.StructField(VC.item, T.StringType(), True), T.StructField(VC.price, T.DoubleType(), False),
+    T.StructField(VC.quantity, T.LongType(), True), T.StructField(VC.date, T.DateType(), False)])
+
+
+@register("batched_insert")
+def q_batched_insert(spark, sf):
+    """The rows inserted five at a time into a typed table with a
+    key, failing batches row by row; the writer's counts and what the written
+    tables hold."""
+    path = IO.scratch_path(spark, "insert")
+    counts = B.write_in_batches(typed(spark, sf).select(*INSERT_TARGET.names), path, INSERT_TARGET, batch=5, key=VC.transaction_id)
+    told = spark.createDataFrame([("good", "", counts["good"])] + [("failed", r, n) for r, n in counts["failed"].items()],
+                                 "outcome string, reason string, n_rows long")
+    kept = spark.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(VC.transaction_id).alias("k")).first()
+    stored = spark.createDataFrame([("stored", "rows", kept["n"]), ("stored", "keys", kept["k"])], told.schema)
+    bad = spark.read.parquet(f"{path}/rejects").groupBy(F.lit("rejects").alias("outcome"), F.col(B.REASON).alias("reason")) \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    return told.unionByName(stored).unionByName(bad)
+
+
+@register("paged_scan")
+def q_paged_scan(spark, sf):
+    """The view stored as pages of 1,000 rows, then read page by page until
+    one is empty."""
+    v = typed(spark, sf).select(*KEYS[:2], VC.transaction_id, VC.item, VC.price, VC.quantity)
+    path = IO.scratch_path(spark, "pages")
+    B.write_pages(v, path, 1000)
+    return B.read_pages(spark, path, v.schema)
+
+
 @register("json_rows")
 def q_json_rows(spark, sf):
     v = typed(spark, sf)
