@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ CANT_CHECK = "CANT CHECK"
 INTEGER_NON_NEGATIVE = "integer_non_negative"
 FLOAT_NON_NEGATIVE = "float_non_negative"
 DATETIME_FORMAT = "datetime_format"
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 KEYWORDS = (INTEGER_NON_NEGATIVE, FLOAT_NON_NEGATIVE, DATETIME_FORMAT)
 
 
@@ -167,15 +168,55 @@ def sized_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if size <= max_bytes else df
 
 
+#: Items with more price periods than this are looked up by month.
+MAX_PERIODS = 256
+
+
+LONG_MONTHS = 120
+
+
+def period_index(periods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Price periods (``__m_item``, ``p``, ISO dates ``s`` and ``e``) as two
+    indexes of the stretches of days on which a price holds: by item, price
+    and month, and by item and price for stretches of over ``LONG_MONTHS``
+    months (an open end such as 9999-12-31).
+
+    Overlapping periods of an item and price are merged first (sorted by
+    start, a period opens a stretch where it starts after the greatest end
+    before it). Stretches are disjoint, so a month holds at most 31 and a
+    price about a thousand long ones, however many periods there are.
+    """
+    order = Window.partitionBy("__m_item", "p").orderBy("s", "e")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (before < F.col("s")), 1).otherwise(0)
+    merged = (periods.where("s <= e AND p IS NOT NULL").withColumn("opens", opens)
+              .withColumn("stretch", F.sum("opens").over(order))
+              .groupBy(F.col("__m_item").alias("__x_item"), F.col("p").alias("__x_price"), "stretch")
+              .agg(F.min("s").alias("s"), F.max("e").alias("e")))
+    first, last = (F.trunc(F.try_to_date(c), "month") for c in ("s", "e"))
+    long = F.months_between(last, first) > LONG_MONTHS
+    months = F.transform(F.sequence(first, last, F.expr("interval 1 month")), lambda m: F.date_format(m, "yyyy-MM"))
+    by_month = (merged.where(~long).withColumn("__m_month", F.explode(months))
+                .groupBy("__x_item", "__x_price", "__m_month").agg(F.collect_list(F.struct("s", "e")).alias("__m_stretches")))
+    by_price = merged.where(long).groupBy(F.col("__x_item").alias("__y_item"), F.col("__x_price").alias("__y_price")) \
+        .agg(F.collect_list(F.struct("s", "e")).alias("__m_long"))
+    return by_month, by_price
+
+
 def price_rule_input(df: DataFrame, master: DataFrame, cols: Columns,
                      max_broadcast_bytes: int = 64 << 20,
-                     date_valid_col: str | None = None) -> DataFrame:
+                     date_valid_col: str | None = None, max_periods: int = MAX_PERIODS) -> DataFrame:
     """Attach the price verdict (Q18, J1) as column ``{price}_validity``.
 
     Interval existence join without fan-out: the master is grouped per item
     into a short array of (price, start, end); one left join on item brings
     that array to each fact row and ``exists`` tests price and range. The
     grouped master is broadcast only under a measured size bound.
+
+    Periods between ISO dates of items with more than ``max_periods`` periods
+    do not enter that array: they are indexed (``period_index``), and two more
+    joins bring a fact the stretches of its price and month. Without such an
+    item there is no further join.
     """
     price_name = cols.price
     date_valid_col = date_valid_col or f"{cols.date}_validity"
@@ -183,13 +224,28 @@ def price_rule_input(df: DataFrame, master: DataFrame, cols: Columns,
                        F.col("Price Per Unit").cast("double").alias("p"),
                        F.col("Start_date").cast("string").alias("s"),
                        F.col("End_date").cast("string").alias("e"))
-               .where(F.col("__m_item").isNotNull())
-               .groupBy("__m_item")
-               .agg(F.collect_list(F.struct("p", "s", "e")).alias("__m_periods")))
-    m = sized_broadcast(m, max_broadcast_bytes)
-    joined = df.join(m, df[cols.item] == m["__m_item"], "left")
+               .where(F.col("__m_item").isNotNull()))
     x = S.as_number(df, price_name)
     d = F.col(cols.date).cast("string")
+    many = m.groupBy("__m_item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_periods).select("__m_item")
+    found, index = F.lit(False), None
+    if not many.isEmpty():
+        m = cut_lineage(m.join(many.withColumn("__many", F.lit(True)), "__m_item", "left"))
+        by_month = F.coalesce("__many", F.lit(False))
+        for c in ("s", "e"):
+            by_month = by_month & F.coalesce(F.col(c).rlike(ISO_DATE) & F.try_to_date(c).isNotNull(), F.lit(False))
+        index = [sized_broadcast(i, max_broadcast_bytes) for i in period_index(m.where(by_month))]
+        m = m.where(~by_month)
+    m = m.groupBy("__m_item").agg(F.collect_list(F.struct("p", "s", "e")).alias("__m_periods"))
+    m = sized_broadcast(m, max_broadcast_bytes)
+    joined = df.join(m, df[cols.item] == m["__m_item"], "left")
+    if index is not None:
+        joined = joined.withColumn("__x", x).join(
+            index[0], (F.col(cols.item) == F.col("__x_item")) & (F.col("__x") == F.col("__x_price"))
+            & (F.substring(d, 1, 7) == F.col("__m_month")), "left").join(
+            index[1], (F.col(cols.item) == F.col("__y_item")) & (F.col("__x") == F.col("__y_price")), "left")
+        for c in ("__m_stretches", "__m_long"):
+            found = found | F.coalesce(F.exists(c, lambda r: (r["s"] <= d) & (d <= r["e"])), F.lit(False))
     in_master = F.exists(
         F.col("__m_periods"),
         lambda r: (r["p"] == x) & (r["s"] <= d) & (d <= r["e"]))
@@ -197,7 +253,7 @@ def price_rule_input(df: DataFrame, master: DataFrame, cols: Columns,
                 .when(x.isNull() | (x <= 0), _FALSE())
                 .when(F.col(cols.item).isNull() | F.col(cols.date).isNull()
                       | ~F.coalesce(F.col(date_valid_col), F.lit(False)), _CANT())
-                .when(F.coalesce(in_master, F.lit(False)), _TRUE())
+                .when(F.coalesce(in_master, F.lit(False)) | found, _TRUE())
                 .otherwise(_FALSE()))
     return joined.select(*[F.col(c) for c in df.columns],
                          verdict.alias(f"{price_name}_validity"))
