@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.operators.comoments import correlation_blocks
 from ledgerlint.session import cut_lineage
 from ledgerlint.operators.quantiles import exact_modes, exact_quantiles_multi, grouped_quantiles
 
@@ -128,8 +129,15 @@ def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
               .groupBy(row).pivot(col, list(values)).count().na.fill(0))
 
 
+#: More columns than this go through one co-moment matrix.
+MANY_COLUMNS = 24
+
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation for every pair, pairwise-complete."""
+    """Pearson correlation for every pair, pairwise-complete; beyond
+    ``MANY_COLUMNS`` columns by ``correlation_blocks``."""
+    if len(columns) > MANY_COLUMNS:
+        return correlation_blocks(df, columns).select("a", "b", "r")
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")

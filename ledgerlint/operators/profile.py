@@ -105,7 +105,8 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
 def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 10,
                   seed: int = 42) -> DataFrame:
     """Up to ``n`` distinct values per column (null is a candidate),
-    chosen reproducibly by a seeded hash, plus the distinct (non-null) count.
+    those with the smallest md5 of seed and value, plus the distinct
+    (non-null) count.
 
     The per-column cap is the feature (a sample); every value still counts
     in ``unique_count``.
@@ -114,13 +115,13 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 10,
     parts = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
              for c in columns]
     vals = (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").distinct()
-              .withColumn("__h", F.xxhash64(F.col("value"), F.lit(seed))))
+              .withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("value", F.lit(""))))))
     # top-n per (column, salt) first, so a column with very many distinct
     # values is ranked in 1024 parallel slices; the union of the slices'
     # top-n holds the column's top-n, ranked again on at most 1024 * n rows.
-    w1 = Window.partitionBy("column", F.pmod(F.col("__h"), F.lit(1024))).orderBy("__h", "value")
+    w1 = Window.partitionBy("column", F.pmod(F.xxhash64("__h"), F.lit(1024))).orderBy("__h", F.col("value").asc_nulls_first())
     pre = vals.withColumn("rk", F.row_number().over(w1)).where(F.col("rk") <= n)
-    w2 = Window.partitionBy("column").orderBy("__h", "value")
+    w2 = Window.partitionBy("column").orderBy("__h", F.col("value").asc_nulls_first())
     top = pre.withColumn("rk", F.row_number().over(w2)).where(F.col("rk") <= n)
     samples = top.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rk", "value"))).alias("__s"))

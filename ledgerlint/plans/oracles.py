@@ -671,3 +671,20 @@ def _bigint_count_if(sql: str) -> str:
 
 for _name in list(ORACLES):
     ORACLES[_name] = _bigint_count_if(ORACLES[_name])
+
+_ALL_WEEKLY = WK_FEATURES + [f"{c}_t-{i}" for c in WK_FEATURES for i in range(1, 31)] + [f"y_{i}" for i in range(1, 16)]
+ORACLES["weekly_correlation"] = with_view(
+    _WB + ", f AS (SELECT *, " + ", ".join(_lags(30, 15)) + " FROM wk),\n"
+    "t AS (SELECT \"Year_Week\", " + ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in _ALL_WEEKLY) + " FROM f),\n"
+    "u AS (UNPIVOT t ON COLUMNS(* EXCLUDE (\"Year_Week\")) INTO NAME c VALUE v)\n"
+    "SELECT x.c AS a, y.c AS b, count(*) AS n, CASE WHEN count(*) >= 2 AND min(x.v) < max(x.v) AND min(y.v) < max(y.v) "
+    "THEN round(corr(x.v, y.v), 6) END AS r FROM u x JOIN u y ON x.\"Year_Week\" = y.\"Year_Week\" AND x.c < y.c GROUP BY 1, 2")
+ORACLES["sample_values"] = with_view(
+    ", v AS (" + " UNION ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM rv" for c in COLS) + "),\n"
+    "k AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY md5('42:' || coalesce(v, '')), v NULLS FIRST) AS k FROM v)\n"
+    "SELECT col AS \"column\", count(v) AS unique_count, list(v ORDER BY k) FILTER (WHERE k <= 10) AS sample_values "
+    "FROM k GROUP BY col")
+ORACLES["csv_roundtrip"] = with_view("SELECT " + ", ".join(COLS) + " FROM rt")
+ORACLES["check_after_write"] = with_view(
+    _WB + 'SELECT (SELECT count(*) FROM wk) AS rows_written, "Year_Week", total_sales FROM wk ORDER BY "Year_Week" LIMIT 5')
+

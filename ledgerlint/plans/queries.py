@@ -29,6 +29,7 @@ from ledgerlint.operators import stats as ST
 from ledgerlint.operators import uniqueness as U
 from ledgerlint.operators import validity as V
 from ledgerlint.operators import weekly as W
+from ledgerlint.operators.comoments import correlation_blocks
 from ledgerlint.operators.neighbours import nearest_neighbours
 from ledgerlint.schema import VIEW_COLUMNS as VC
 from ledgerlint.schema import VIEW_RULES as VR
@@ -583,6 +584,16 @@ def q_correlation_pairs(spark, sf):
     return G.correlation_pairs(v, NUMS + [VC.discount])
 
 
+@register("weekly_correlation")
+def q_weekly_correlation(spark, sf):
+    """G12 over every numeric column of the weekly feature table, lags and
+    leads included: hundreds of columns, all pairs. The repeat ratio enters
+    with six places, as its own query gives it."""
+    wk = W.add_lags_leads(_rounded(_weekly(spark, sf), ["weekly_avg_repeat_purchases"]), 30, 15)
+    columns = sorted(c for c in wk.columns if c != W.WEEK)
+    return correlation_blocks(wk, columns).withColumn("r", F.round("r", 6))
+
+
 @register("scale")
 def q_scale(spark, sf):
     v = typed(spark, sf).select(*KEYS, *NUMS)
