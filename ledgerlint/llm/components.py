@@ -30,18 +30,38 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("a <> b").distinct()
 
 
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node hangs from one other, which hangs from none."""
+    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    hung = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+    return twice.unionByName(hung).isEmpty()
+
+
 def components(edges: DataFrame, made: list) -> DataFrame:
     """``a`` and the smallest node ``b`` that it is linked with, for every
     node but the smallest of its component. Edges are (a, b), any order.
     ``made`` gets the path of the result's table."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
                   "component-edges", made)
-    mark = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or seen[0] == 0:
-            return now
-        mark = seen
+    while not is_forest_of_stars(now):
         before = [made.pop()]
         now = written(star(star(now, True), False), "component-edges", made)
         drop(now.sparkSession, before)
+    return now
+
+
+def merged_labels(labels: DataFrame | None, links: DataFrame, made: list) -> DataFrame | None:
+    """``a`` and its component's smallest node ``b`` (as ``components``) after
+    further links: only the links between components found before are walked,
+    with each component as one node."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links, made)
+    for end in ("a", "b"):
+        root = labels.select(F.col("a").alias(end), F.col("b").alias("root"))
+        links = links.join(root, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    top = components(links, made)
+    moved = labels.join(top.select(F.col("a").alias("b"), F.col("b").alias("root")), "b", "left") \
+        .select("a", F.coalesce("root", "b").alias("b"))
+    return written(moved.unionByName(top), "component-labels", made)

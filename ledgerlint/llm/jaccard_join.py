@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import NULL_ID, drop, row_keys, with_results, written
-from ledgerlint.llm.components import components
+from ledgerlint.llm.components import merged_labels
 from ledgerlint.llm.words import SliceHash, chunks, flat, lower_ascii, mix, word_hashes
 
 SKETCH = 1 << 16
@@ -168,19 +168,20 @@ def component_keys(keyed: DataFrame, n: int, percent: int, made: list) -> DataFr
     texts = written(keyed.select("did", "th", "text").join(classes.select("did", "th", "h"), ["did", "th"])
                     .select("h", "text").dropDuplicates(["h"]), "jaccard-texts", made)
 
-    links = tested = None
+    labels = tested = None
     for k in range(ROUNDS):
-        pairs = centre_pairs(shared, k, percent, None if links is None else components(links, made))
+        pairs = centre_pairs(shared, k, percent, labels)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs", made)
         found = written(verified(pairs, classes, texts, n, percent), "jaccard-links", made)
-        links = found if links is None else links.unionByName(found)
+        labels = merged_labels(labels, found, made)
         tested = pairs if tested is None else tested.unionByName(pairs)
-    rest = written(across(shared, classes, components(links, made), percent, made).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs", made)
-    links = links.unionByName(written(verified(rest, classes, texts, n, percent), "jaccard-links", made))
+    rest = written(across(shared, classes, labels, percent, made).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs", made)
+    labels = merged_labels(labels, written(verified(rest, classes, texts, n, percent), "jaccard-links", made), made)
 
-    root = components(links, made).select(F.col("a").alias("h"), F.col("b").alias("root"))
+    root = full.sparkSession.createDataFrame([], "h long, root long") if labels is None else \
+        labels.select(F.col("a").alias("h"), F.col("b").alias("root"))
     return full.groupBy("did", "th", "size", "h").agg(F.count(F.lit(1)).alias("copies")).join(root, "h", "left") \
         .select("did", "th", "size", F.coalesce("root", "h").alias("root"), "copies")
 
@@ -250,7 +251,7 @@ def with_roots(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
         .withColumn("root", F.coalesce("root", "h"))
 
 
-def across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, made: list) -> DataFrame:
+def across(shared: DataFrame, classes: DataFrame, roots: DataFrame | None, percent: int, made: list) -> DataFrame:
     """All pairs of classes of different components that share an n-gram of
     their prefixes and pass the length, positional and bitmap filters.
 

@@ -89,3 +89,19 @@ def test_rows_repeated_whole_give_a_place_once(spark, by_word):
     else:
         got = suffix_dedup.remove_repeated_bytes(docs).collect()
         assert len(got) == 401 and all(r.n_removed == r.n_bytes for r in got if r.doc_id == 1)
+
+
+def test_labels_grow_with_links(spark):
+    """Links in several rounds give the components of all links at once."""
+    import random
+
+    from ledgerlint.llm.components import components, merged_labels
+    rng = random.Random(13)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
+    rounds = [links[i::4] for i in range(4)]
+    labels, made = None, []
+    for part in [*rounds[:2], [], *rounds[2:]]:
+        labels = merged_labels(labels, spark.createDataFrame(part, "a long, b long"), made)
+    whole = components(spark.createDataFrame(links, "a long, b long"), [])
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
+    assert merged_labels(None, spark.createDataFrame([], "a long, b long"), []) is None
