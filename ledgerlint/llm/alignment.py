@@ -32,7 +32,9 @@ from ledgerlint.llm.words import chunks, flat, mix
 
 #: The split of plain byte-level steps.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
+#: Text behind one stored row: rows stay far below what a JVM keeps apart as huge.
+ROW_BYTES = 1 << 17
 SHARD_PAIRS = 1 << 18
 PART_PAIRS = 1 << 20
 FAN_IN = 16
@@ -89,7 +91,7 @@ class ByteEncoder:
 @lru_cache(maxsize=2)
 def encoders(a_path: str, b_path: str) -> tuple[ByteEncoder, PieceEncoder]:
     """Both tokenizers, loaded once per worker process."""
-    return ByteEncoder(a_path), PieceEncoder(b_path)
+    return ByteEncoder(a_path), PieceEncoder(b_path, most=150_000)
 
 
 def spelled(surface, starts, sizes, ids: np.ndarray) -> np.ndarray:
@@ -228,8 +230,7 @@ BLOCK_FIELDS = "a_sizes array<long>, b_sizes array<long>, a_ids binary, b_ids bi
 
 
 def blocks_of(rows: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """Pass one: the rows with their ids, some hundred kilobytes of text at a
-    time, and per block one more row with its distinct pairs and their
+    """Pass one: the rows with their ids, about a hundred kilobytes of text a row, and per block one more row with its distinct pairs and their
     numbers. A block holds about ``block_bytes`` of text, or one longer text,
     of one partition."""
 
@@ -263,12 +264,14 @@ def blocks_of(rows: DataFrame, a_path: str, b_path: str, block_bytes: int) -> Da
                 if len(found) > 16:
                     found = [tally(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
                 filled += size + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([base + block], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([0, y - x], pa.int32()), batch.column("__row").slice(x, y - x)),
-                     long_lists([np.diff(a_cut)]), long_lists([np.diff(b_cut)]),
-                     pa.array([packed(a_ids, len(a.sizes))], pa.binary()), pa.array([packed(b_ids, b.model.size)], pa.binary()),
-                     *(pa.nulls(1, pa.list_(pa.int64())) for _ in range(2))], names=names)
+                for i, j in chunks(offsets[x:y + 1], ROW_BYTES):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([base + block], pa.int64()),
+                         pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column("__row").slice(x + i, j - i)),
+                         long_lists([np.diff(a_cut[i:j + 1])]), long_lists([np.diff(b_cut[i:j + 1])]),
+                         pa.array([packed(a_ids[a_cut[i]:a_cut[j]], len(a.sizes))], pa.binary()),
+                         pa.array([packed(b_ids[b_cut[i]:b_cut[j]], b.model.size)], pa.binary()),
+                         *(pa.nulls(1, pa.list_(pa.int64())) for _ in range(2))], names=names)
         if filled:
             yield close()
 
