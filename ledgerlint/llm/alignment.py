@@ -230,9 +230,10 @@ BLOCK_FIELDS = "a_sizes array<long>, b_sizes array<long>, a_ids binary, b_ids bi
 
 
 def blocks_of(rows: DataFrame, a_path: str, b_path: str, block_bytes: int) -> DataFrame:
-    """Pass one: the rows with their ids, about a hundred kilobytes of text a row, and per block one more row with its distinct pairs and their
-    numbers. A block holds about ``block_bytes`` of text, or one longer text,
-    of one partition."""
+    """Pass one: the rows with their ids, about a hundred kilobytes of text
+    stored as one, and per block one more row with its distinct pairs and
+    their numbers. A block holds about ``block_bytes`` of text, or one longer
+    text, of one partition."""
 
     def run(batches):
         a, b = encoders(a_path, b_path)
