@@ -29,5 +29,6 @@ def test_feature_target_bundle(spark):
 def test_select_model_f2(spark):
     from ledgerlint.plans.queries import queries
     out = queries()["select_model_f2"](spark, SF_SMALL).collect()
-    assert [r["stage"] for r in out] == ["baseline"] * 3 + ["grid"] and all(0.0 <= r["score"] <= 1.0 for r in out)
-    assert out[3]["model"] == max(out[:3], key=lambda r: r["score"])["model"] and out[3]["params"] != "{}"
+    assert [r["stage"] for r in out] == ["baseline"] * 6 + ["grid"] and all(0.0 <= r["score"] <= 1.0 for r in out)
+    assert [r["model"] for r in out[:6]] == ["lr", "dt", "rf", "gbt", "nb", "svm"]
+    assert out[6]["model"] == max(out[:6], key=lambda r: r["score"])["model"] and out[6]["params"] != "{}"

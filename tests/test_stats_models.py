@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,29 @@ def test_grid_rmse_prepares_inside_the_fold_and_returns_the_winner(spark):
     assert r["fit_time"] > 0 and r["score_time"] > 0
     got = r["model"].transform(df).selectExpr("max(abs(prediction - y)) AS d").first()["d"]
     assert got < 1e-3
+
+
+def test_resampling_stays_inside_the_training_rows(spark):
+    """Synthetic rows of a fold lie between training rows; test rows stay."""
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(31)
+    rows = [(Vectors.dense([float(i), 0.0]), 1.0) for i in range(30)] + [(Vectors.dense([float(i), 9.0]), 0.0) for i in range(90)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(120)], ["raw", "label"])
+    data = M.stratified_folds(df, "label", 3, 7).persist()
+    pairs = M.fold_pairs(data, 3, lambda train: M.rebalance(train.select("raw", "label"), "label", "raw", k=2))
+    for i, (train, test) in enumerate(pairs):
+        held = {tuple(r.raw) for r in test.collect()}
+        assert held == {tuple(r.raw) for r in data.where(f"fold = {i}").collect()} and len(held) == 40
+        got = [(tuple(r.raw), r.label) for r in train.collect()]
+        assert sum(y == 1.0 for _, y in got) == sum(y == 0.0 for _, y in got) == 60
+        known = {tuple(r.raw) for r in data.where(f"fold <> {i}").collect()}
+        lone = sorted(x for x, y in known if y == 0.0)
+        for (x, y), label in got:
+            if (x, y) not in known:  # between two training rows of the class
+                assert label == 1.0 and y == 0.0 and lone[0] < x < lone[-1]
+        assert not held & {v for v, _ in got}
+
+
+def test_select_model_refuses_unknown_modes(spark):
+    with pytest.raises(ValueError):
+        M.select_model(spark.range(1), "id", {}, [], [], resample="after")
