@@ -389,6 +389,13 @@ ORACLES["weekly_category"] = with_view(_WB + "SELECT \"Year_Week\", " + ", ".joi
 ORACLES["weekly_payment"] = with_view(_WB + "SELECT \"Year_Week\", " + ", ".join(q(v) for v in WK_PAYS) + " FROM wk")
 ORACLES["weekly_location"] = with_view(_WB + "SELECT \"Year_Week\", " + ", ".join(q(v) for v in WK_LOCS) + " FROM wk")
 ORACLES["weekly_lags"] = with_view(_WB + "SELECT *, " + ", ".join(_lags(3, 0)) + " FROM wk")
+_IW = "OVER (PARTITION BY item ORDER BY yw)"
+ORACLES["item_week_lags"] = with_view(
+    _WB.split(", wk AS")[0].replace("category, payment_method, location FROM rv", "item, quantity FROM rv")
+    + ", iw AS (SELECT item, yw, sum(total_spent) AS total_sales, sum(quantity) AS units FROM b GROUP BY ALL)\n"
+    "SELECT item, yw AS \"Year_Week\", total_sales, units, "
+    + ", ".join(f"lag({c}, {i}) {_IW} AS {q(f'{c}_t-{i}')}" for c in ("total_sales", "units") for i in (1, 2, 3))
+    + ", " + ", ".join(f"lead(total_sales, {i}) {_IW} AS y_{i}" for i in (1, 2)) + " FROM iw")
 ORACLES["weekly_leads"] = with_view(_WB + "SELECT \"Year_Week\", total_sales, " + ", ".join(_lags(0, 15)) + " FROM wk")
 ORACLES["weekly_features"] = with_view(_WB + "SELECT *, " + ", ".join(_lags(30, 15)) + " FROM wk")
 ORACLES["weekly_range"] = with_view(
@@ -396,6 +403,15 @@ ORACLES["weekly_range"] = with_view(
     "SELECT * FROM f WHERE \"Year_Week\" >= '1996-01-01' AND \"Year_Week\" <= '2000-12'")
 
 
+# ---------------------------------------------------------------- streams, run to their end
+ORACLES["stream_first_rows"] = """
+SELECT event_id, ts, user_id, event_type,
+       row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS is_first FROM events"""
+ORACLES["stream_repeat_ratio"] = f"""
+SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS "Year_Week", count(*) AS n_rows,
+       count(DISTINCT user_id) AS n_customers, {r6('1 - count(DISTINCT user_id) / count(*)')} AS repeat_ratio
+FROM events GROUP BY 1"""
+
 # ---------------------------------------------------------------- projections / filters
 ORACLES["negative_rows"] = with_view(
     f"SELECT {KEYS}, quantity, price FROM rt WHERE TRY_CAST(quantity AS DOUBLE) < 0 OR TRY_CAST(price AS DOUBLE) < 0")
@@ -483,6 +499,12 @@ ORACLES["one_hot"] = with_view(
     + ", " + ", ".join(f"CAST(coalesce(location, 'nan') = {lit(v)} AS DOUBLE) AS {q('location_' + v)}"
                        for v in WK_LOCS + ["nan"])
     + ", discount_applied FROM rv")
+_SPARSE = ["customer_id", "item", "location"]
+ORACLES["one_hot_sparse"] = with_view(
+    ", pairs AS (" + " UNION ALL ".join(
+        f"SELECT {KEYS}, {i} AS pos, coalesce({c}, 'nan') AS level FROM rv" for i, c in enumerate(_SPARSE)) + "), "
+    "slots AS (SELECT pos, level, row_number() OVER (ORDER BY pos, level) - 1 AS slot FROM (SELECT DISTINCT pos, level FROM pairs))\n"
+    f"SELECT {KEYS}, slot, CAST(1 AS DOUBLE) AS value FROM pairs JOIN slots USING (pos, level)")
 _CHI_COLS = ["category", "payment_method", "location", "item"]
 _CHI = (", cells AS (" + _union_report([
     f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS lvl, CAST(discount_applied AS VARCHAR) AS tgt, count(*) AS n "

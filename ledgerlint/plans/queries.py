@@ -8,6 +8,7 @@ oracles in ``ledgerlint.plans.oracles`` reproduce.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import OrderedDict
 
 from pyspark.ml.feature import Imputer
@@ -31,12 +32,15 @@ from ledgerlint.operators import validity as V
 from ledgerlint.operators import weekly as W
 from ledgerlint.operators.comoments import correlation_blocks
 from ledgerlint.operators.neighbours import nearest_neighbours
+from ledgerlint.operators.ordered import lags_leads
+from ledgerlint.operators.sparse import level_slots, one_hot_cells, sparse_one_hot
 from ledgerlint.schema import VIEW_COLUMNS as VC
 from ledgerlint.schema import VIEW_RULES as VR
-from ledgerlint.session import cut_lineage
+from ledgerlint.session import checkpoint_dir, cut_lineage
 from ledgerlint.sources import batches as B
 from ledgerlint.sources import files as IO
 from ledgerlint.sources import tables as TB
+from ledgerlint.streaming import keyed_state as KS
 
 KEYS = list(TB.ROW_ID_COLUMNS)
 REGISTRY: "OrderedDict[str, callable]" = OrderedDict()
@@ -426,6 +430,16 @@ def q_weekly_leads(spark, sf):
     return out.select(W.WEEK, "total_sales", *[f"y_{i}" for i in range(1, 16)])
 
 
+@register("item_week_lags")
+def q_item_week_lags(spark, sf):
+    """Weekly totals per item with three lags and two leads within the item."""
+    v = typed(spark, sf)
+    weeks = (v.select(VC.item, S.week_start(S.to_date_any(v, VC.date)).alias(W.WEEK), VC.total, VC.quantity)
+              .where(F.col(W.WEEK).isNotNull()).groupBy(VC.item, W.WEEK)
+              .agg(F.sum(VC.total).alias("total_sales"), F.sum(VC.quantity).alias("units")))
+    return lags_leads(weeks, [VC.item], [W.WEEK], ["total_sales", "units"], 3, 2, "total_sales")
+
+
 @register("weekly_features")
 def q_weekly_features(spark, sf):
     return W.weekly_features(typed(spark, sf), VC, n_past_week=30, n_future_week=15)
@@ -558,6 +572,32 @@ def q_discount_by_day(spark, sf):
     return PF.discount_by_day(typed(spark, sf), VC.date, VC.discount)
 
 
+# ---------------------------------------------------------------- streams, run to their end
+def _stream_of(spark, sf, table):
+    # a glob, as a plain path of a stream must be a folder and a table may be one file
+    path = f"{sf.rstrip('/')}/{table}.parque"
+    return spark.readStream.schema(spark.read.parquet(f"{path}t").schema).parquet(f"{path}[t]")
+
+
+def _stream_folder(spark):
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@register("stream_first_rows")
+def q_stream_first_rows(spark, sf):
+    """Each event with the flag of its user's first of its type."""
+    rows = _stream_of(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    out = KS.run_available(KS.flag_first_stream(rows, ["user_id", "event_type"], "ts", "event_id"), _stream_folder(spark))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("stream_repeat_ratio")
+def q_stream_repeat_ratio(spark, sf):
+    out = KS.repeat_ratio(KS.run_available(
+        KS.weekly_customers_stream(_stream_of(spark, sf, "events"), "ts", "user_id"), _stream_folder(spark)))
+    return out.withColumn("repeat_ratio", F.round("repeat_ratio", 6))
+
+
 # ---------------------------------------------------------------- statistics
 CATS4 = [VC.category, VC.payment, VC.location, VC.item]
 
@@ -568,6 +608,13 @@ def q_one_hot(spark, sf):
     return ST.one_hot(v, [VC.payment, VC.location], KEYS + [VC.price, VC.quantity], VC.discount)
 
 
+@register("one_hot_sparse")
+def q_one_hot_sparse(spark, sf):
+    v, columns = typed(spark, sf), [VC.customer_id, VC.item, VC.location]
+    encoded = sparse_one_hot(v, columns, level_slots(v, columns), KEYS, VC.discount)
+    return one_hot_cells(encoded, KEYS)
+
+
 @register("chi_square")
 def q_chi_square(spark, sf):
     return ST.chi_square_statistics(typed(spark, sf), CATS4, VC.discount)
