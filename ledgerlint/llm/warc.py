@@ -24,50 +24,110 @@ from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import col
 
-SKIPPED = re.compile(r"<(!--|(?:script|style|noscript|template|svg|title)(?=[\s/>])[^>]*>?)", re.I)
-ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "title")} | {"!--": re.compile("-->")}
-#: What swallows the rest of a page if it has no end.
-TO_THE_END = ("!--", "script", "style")
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header"
-                    r"|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|tr|ul)\b[^>]*>", re.I)
-TAGS = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-LANGUAGE = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag with its attributes (a quoted value may hold ``>``), a comment's start, or another declaration. No part of it
+#: gives back what it took, and a quote without an end is the last of its kind, so a page is read in linear time.
+TOKEN = re.compile(r"""<(?:(?P<comment>!--)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"""
+                   r"""(?P<attributes>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|[!/?][^>]*+(?:>|\Z))""")
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+#: Elements that are not shown, and those of them that swallow the rest of a page if they have no end.
+HIDDEN = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "title")}
+TO_THE_END = ("script", "style")
+BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li "
+                   "main nav ol p pre section table tbody td th tr ul".split())
 BLANKS = re.compile(r"[ \t\r\f\v ]+")
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 
 
-def shown(page: str) -> str:
-    """The page with a blank for each comment and element that is not shown.
+def attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; of a name that repeats, the first."""
+    out = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
 
-    Any other tags stay, those of ``head`` too: it ends where the body begins,
-    with or without its end tag, and apart from what is skipped here it holds
-    tags alone. Elements without an end tag lose only their start tag, but for
-    ``TO_THE_END``; a self-closed ``svg`` is closed.
+class Page:
+    """One pass over a page: ``text``, ``title``, ``language``, ``links`` and
+    ``base`` (None where there is none).
+
+    Comments and hidden elements give a blank, blocks a line break, other
+    tags nothing; ``head`` ends where the body begins, with or without its
+    end tag, as apart from hidden elements it holds tags alone. A hidden
+    element without an end loses only its start tag, but for ``TO_THE_END``;
+    a self-closed ``svg`` is closed. A title without an end is text, and a
+    quote without an end does not keep ``>`` from ending its tag.
     """
-    out, at, endless = [], 0, set()
-    while m := SKIPPED.search(page, at):
-        name = re.match(r"!--|\w+", m[1])[0].lower()
-        out += [page[at:m.start()], " "]
-        at = m.end()
-        if name in endless or name == "svg" and m[1].endswith("/>"):
-            continue
-        end = ENDS[name].search(page, at)
+
+    def __init__(self, page: str):
+        self.title = self.language = self.base = None
+        self.links, out, at, endless = [], [], 0, set()
+        while m := TOKEN.search(page, at):
+            out.append(page[at:m.start()])
+            at = m.end()
+            if m["comment"]:
+                out.append(" ")
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
+                continue
+            name = m["name"].lower() if m["name"] else ""
+            if name in BREAKS:
+                out.append("\n")
+            elif m["end"]:
+                continue
+            elif name in HIDDEN:
+                out.append(" ")
+                at = self.after_hidden(page, name, at, m["attributes"], endless)
+            elif name == "a":
+                link = attributes(m["attributes"]).get("href")
+                if link is not None:
+                    self.links.append(one_line(link))
+            elif name == "html" and self.language is None:
+                have = attributes(m["attributes"])
+                lang = re.match(r"\s*([\w-]+)", have.get("lang") or have.get("xml:lang") or "")
+                self.language = lang[1] if lang else None
+            elif name == "base" and self.base is None:
+                self.base = attributes(m["attributes"]).get("href")
+        self.text = "".join(out) + page[at:]
+
+    def after_hidden(self, page: str, name: str, at: int, rest: str, endless: set) -> int:
+        """Where the page goes on behind a hidden element."""
+        if name in endless or name == "svg" and rest.endswith("/"):
+            return at
+        end = HIDDEN[name].search(page, at)
         if end:
-            at = end.end()
-        elif name in TO_THE_END:
-            at = len(page)
-        else:
-            endless.add(name)
-    return "".join(out) + page[at:]
+            if name == "title" and self.title is None:
+                self.title = one_line(page[at:end.start()])
+            return end.end()
+        endless.add(name)
+        return len(page) if name in TO_THE_END else at
+
+    def plain_text(self) -> str:
+        lines = (BLANKS.sub(" ", x).strip() for x in entities.unescape(self.text).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+    def fields(self, uri: str) -> bytes:
+        out = [f"title: {self.title}"] if self.title is not None else []
+        out += [f"language: {self.language}"] if self.language else []
+        base = joined(uri, one_line(self.base)) if self.base else uri
+        out += [f"outlink: {joined(base, x)}" for x in self.links]
+        return "".join(x + "\r\n" for x in out).encode("utf-8", "replace")
+
+
+def joined(base: str, link: str) -> str:
+    try:
+        return urljoin(base, link)
+    except ValueError:
+        return link
 
 
 def plain_text(page: str) -> str:
     """Visible text: blocks on lines of their own, entities resolved."""
-    text = TAGS.sub("", BREAKS.sub("\n", shown(page)))
-    lines = (BLANKS.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return Page(page).plain_text()
+
+
+def metadata_block(page: str, uri: str) -> bytes:
+    """Title, language and links (resolved by ``base``) as warc fields."""
+    return Page(page).fields(uri)
 
 
 def one_line(text: str) -> str:
@@ -83,35 +143,22 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode()).digest()[:16], version=4)}>"
 
 
-def metadata_block(page: str, uri: str) -> bytes:
-    title, lang = TITLE.search(page), LANGUAGE.search(page)
-    out = [f"title: {one_line(title[1])}"] if title else []
-    out += [f"language: {lang[1]}"] if lang else []
-    for m in LINK.finditer(shown(page)):
-        link = one_line(m[1] or m[2] or m[3] or "")
-        try:
-            link = urljoin(uri, link)
-        except ValueError:
-            pass
-        out.append(f"outlink: {link}")
-    return "".join(x + "\r\n" for x in out).encode()
-
-
 def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                          date_col: str | None = None) -> DataFrame:
     """Pages as response records: id, target, date, HTTP headers, payload.
 
-    The record id follows from page id and url. Null html gives an empty
-    payload, a null url an empty target.
+    The record id follows from page id, url and payload: rows that share an
+    id and a url but not the page are different responses, rows repeated whole
+    the same one. Null html gives an empty payload, a null url an empty target.
     """
     def rows(batches):
         for batch in batches:
-            ids, urls, dates = (batch.column(c).to_pylist() for c in ("id", "url", "date"))
+            ids, urls, dates, payloads = (batch.column(c).to_pylist() for c in ("id", "url", "date", "payload"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"),
-                 pa.array([record_id("response", str(i), u or "") for i, u in zip(ids, urls)]),
-                 pa.array([u or "" for u in urls]), pa.array([d or UNKNOWN_DATE for d in dates]),
-                 pa.array(["HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"] * batch.num_rows),
+                 pa.array([record_id("response", str(i), u or "", digest(p)) for i, u, p in zip(ids, urls, payloads)], pa.string()),
+                 pa.array([u or "" for u in urls], pa.string()), pa.array([d or UNKNOWN_DATE for d in dates], pa.string()),
+                 pa.array(["HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"] * batch.num_rows, pa.string()),
                  batch.column("payload")],
                 names=["id", "record_id", "target_uri", "date", "http_headers", "payload"])
 
@@ -145,13 +192,13 @@ def derivatives(responses: DataFrame) -> DataFrame:
             names = ("record_id", "target_uri", "date", "http_headers", "payload")
             for rid, uri, date, headers, payload in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 rid, uri, payload = rid or "", uri or "", payload or b""
-                page = payload.decode("utf-8", "replace")
-                own = {k: record_id(k, rid, uri, digest(payload)) for k in ("metadata", "conversion")}
+                page, mark = Page(payload.decode("utf-8", "replace")), digest(payload)
+                own = {k: record_id(k, rid, uri, mark) for k in ("metadata", "conversion")}
                 for kind, other, content, block in (
-                        ("metadata", "conversion", "application/warc-fields", metadata_block(page, uri)),
-                        ("conversion", "metadata", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))):
+                        ("metadata", "conversion", "application/warc-fields", page.fields(uri)),
+                        ("conversion", "metadata", "text/plain; charset=utf-8", page.plain_text().encode("utf-8", "replace"))):
                     out.append((kind, own[kind], rid, own[other], uri, date or UNKNOWN_DATE, content, headers or "",
-                                digest(payload), digest(block), len(block), block))
+                                mark, digest(block), len(block), block))
             ids = batch.column("id").take(pa.array([i for i in range(batch.num_rows) for _ in range(2)], pa.int64()))
             kinds = [pa.string()] * 10 + [pa.int64(), pa.binary()]
             names = [x.split()[0] for x in RECORD_DDL.split(", ")]
