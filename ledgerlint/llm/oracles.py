@@ -34,10 +34,7 @@ tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM tri) WHERE c > 1),
 cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 line AS (SELECT doc_id, source, {NORMAL} AS norm FROM (SELECT doc_id, source, unnest(lines) AS line FROM d)),
-hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-often AS (SELECT l.source, norm FROM line l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-          GROUP BY l.source, norm, docs
-          HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > docs * 0.002),
+often AS (SELECT source, norm FROM line GROUP BY source, norm HAVING count(DISTINCT doc_id) > 10),
 cut AS (SELECT doc_id, sum(len(string_split(l.norm, ' '))) AS n FROM line l JOIN often o
         ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words,
