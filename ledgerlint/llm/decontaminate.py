@@ -9,6 +9,8 @@ is its coverage, whatever the order in which its passages appear.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,42 +45,84 @@ def runs_of(free: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(sums[size:] - sums[:-size] == size)
 
 
+def run_ends(free: np.ndarray) -> np.ndarray:
+    """For each place the first place from it on that is not free."""
+    stop = np.where(free, len(free), np.arange(len(free)))
+    return np.minimum.accumulate(stop[::-1])[::-1]
+
+
+def maximal(pattern: np.ndarray, text: np.ndarray, hashes, p_free: np.ndarray, t_free: np.ndarray, size: int):
+    """Common runs (place in pattern, in text, length) of ``size`` free tokens
+    or more that can be extended to neither side.
+
+    Windows meet by hash; of equal windows, only those pairs are formed whose
+    left neighbours differ (a taken token or an end differs from all), so a
+    text that repeats itself gives a pair per diagonal, not per place. Lengths
+    are found by binary search over hashes.
+    """
+    p_hash, t_hash = hashes
+    p, t = runs_of(p_free, size), runs_of(t_free, size)
+    empty = np.zeros(0, np.int64)
+    if not len(p) or not len(t):
+        return empty, empty, empty
+    marks = np.unique(np.concatenate([p_hash.of(p, p + size), t_hash.of(t, t + size)]), return_inverse=True)[1]
+    left = np.unique(np.concatenate([pattern[p - 1], text[t - 1]]), return_inverse=True)[1] + 2
+    left[:len(p)][(p == 0) | ~p_free[p - 1]] = 0
+    left[len(p):][(t == 0) | ~t_free[t - 1]] = 1
+    key = marks.astype(np.int64) << 32 | left
+    order = np.argsort(key[len(p):], kind="stable")
+    keys, own, group = key[len(p):][order], key[:len(p)], marks[:len(p)].astype(np.int64) << 32
+    bounds = [np.searchsorted(keys, x, "left") for x in (group, own, own + 1, group + (1 << 32))]
+    a, b = [], []
+    for lo, hi in (bounds[:2], bounds[2:]):
+        n = hi - lo
+        a.append(np.repeat(p, n))
+        b.append(t[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    low = np.full(len(a), size)
+    high = np.minimum(run_ends(p_free)[a] - a, run_ends(t_free)[b] - b)
+    while (open_ := low < high).any():
+        mid = np.where(open_, (low + high + 1) // 2, low)
+        same = p_hash.of(a, a + mid) == t_hash.of(b, b + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return a, b, low
+
+
 def tile(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (place in pattern, place in text, length), longest first; ties
-    go to the first place in the pattern, then in the text."""
+    go to the first place in the pattern, then in the text.
+
+    The windows' size is halved from the pattern's length down to ``least``.
+    At each size the maximal common runs wait in a heap; one that has lost
+    tokens to an earlier tile goes back as the parts that are left. Work grows
+    with the number of such runs, one per diagonal that the texts share.
+    """
     tiles, least = [], min(least, len(pattern))
     if not least:
         return tiles
-    p_hash, t_hash = SliceHash(pattern), SliceHash(text)
+    hashes = SliceHash(pattern), SliceHash(text)
     p_free, t_free = np.ones(len(pattern), bool), np.ones(len(text), bool)
     size = len(pattern)
     while True:
-        p, t = runs_of(p_free, size), runs_of(t_free, size)
-        best = (0, 0, 0)
-        if len(p) and len(t):
-            there = t_hash.of(t, t + size)
-            order = np.argsort(there, kind="stable")
-            marks = p_hash.of(p, p + size)
-            lo = np.searchsorted(there[order], marks, "left")
-            hi = np.searchsorted(there[order], marks, "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                a = int(p[i])
-                for b in t[order[lo[i]:hi[i]]].tolist():
-                    n = 0
-                    while (a + n < len(pattern) and b + n < len(text) and p_free[a + n] and t_free[b + n]
-                           and pattern[a + n] == text[b + n]):
-                        n += 1
-                    if n >= size and n > best[2]:
-                        best = (a, b, n)
-        if best[2]:
-            a, b, n = best
-            tiles.append(best)
-            p_free[a:a + n] = False
-            t_free[b:b + n] = False
-        elif size == least:
+        a, b, n = maximal(pattern, text, hashes, p_free, t_free, size)
+        heap = list(zip((-n).tolist(), a.tolist(), b.tolist(), strict=True))
+        heapq.heapify(heap)
+        while heap:
+            n, a, b = heapq.heappop(heap)
+            free = p_free[a:a - n] & t_free[b:b - n] & (pattern[a:a - n] == text[b:b - n])
+            if free.all():
+                tiles.append((a, b, -n))
+                p_free[a:a - n] = t_free[b:b - n] = False
+                if not len(runs_of(p_free, size)):
+                    break
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if hi - lo >= size:
+                    heapq.heappush(heap, (lo - hi, a + lo, b + lo))
+        if size == least:
             return tiles
-        else:
-            size = max(least, size // 2)
+        size = max(least, size // 2)
 
 
 class Seeds:
@@ -191,15 +235,15 @@ def here(keyed: DataFrame, items: pa.Table, schema: StructType, min_match: int,
 
 def joined(keyed: DataFrame, items: DataFrame, schema: StructType, min_match: int, min_coverage: float) -> DataFrame:
     """Documents and items meet on seeds by a shuffle, each pair once."""
-    def seeds_of(short: bool):
+    def seeds_of(short: bool, lengths):
         def scan(batches):
             for batch in batches:
                 data, offsets = flat(batch.column("text"))
                 for a, b in chunks(offsets):
                     codes, before = batch_tokens(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                     hashes, sizes = SliceHash(codes), np.diff(before)
-                    for k in range(1, min_match + 1):
-                        # an item has seeds of one length; a document is asked for all
+                    for k in lengths:
+                        # an item has seeds of one length; a document is asked for all that items have
                         use = sizes >= k if not short or k == min_match else sizes == k
                         counts = np.where(use, sizes - k + 1, 0)
                         row = np.repeat(np.arange(len(sizes)), counts)
@@ -207,27 +251,29 @@ def joined(keyed: DataFrame, items: DataFrame, schema: StructType, min_match: in
                         pair = np.unique(np.stack([row, hashes.of(start, start + k).view(np.int64)]), axis=1) if len(row) \
                             else np.zeros((2, 0), np.int64)
                         kept = [batch.column(c).take(pa.array(pair[0] + a)) for c in batch.schema.names if c != "text"]
-                        yield pa.RecordBatch.from_arrays([*kept, pa.array(pair[1])],
-                                                         names=[*[c for c in batch.schema.names if c != "text"], "seed"])
+                        yield pa.RecordBatch.from_arrays([*kept, pa.array(pair[1]), pa.array(np.full(pair.shape[1], k, np.int32))],
+                                                         names=[*[c for c in batch.schema.names if c != "text"], "seed", "size"])
         return scan
 
     marked = items.withColumn("it", F.xxhash64("text"))
-    doc_seeds = keyed.select("did", "th", "text").mapInArrow(seeds_of(False), "did long, th long, seed long")
-    item_seeds = marked.mapInArrow(seeds_of(True), "item long, it long, seed long")
-    pairs = doc_seeds.join(item_seeds, "seed").select("did", "th", "item", "it").distinct()
+    item_seeds = marked.mapInArrow(seeds_of(True, range(1, min_match + 1)), "item long, it long, seed long, size int")
+    lengths = sorted(r["size"] for r in item_seeds.select("size").distinct().collect())  # min_match values at most
+    doc_seeds = keyed.select("did", "th", "text").mapInArrow(seeds_of(False, lengths), "did long, th long, seed long, size int")
+    pairs = doc_seeds.join(item_seeds, ["seed", "size"]).select("did", "th", "item", "it").distinct()
     both = keyed.join(pairs, ["did", "th"]).join(marked.withColumnRenamed("text", "item_text"), ["item", "it"]) \
         .select("did", "th", "id", "text", "item", "item_text")
 
     def scan(batches):
         for batch in batches:
             rows, of = [], []
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
-                hit = judged(part.column("item")[0].as_py(), tokens(part.column("item_text"))[0],
-                             tokens(part.column("text"))[0], min_match, min_coverage)
-                if hit:
-                    rows.append(hit)
-                    of.append(i)
+            for a, b in chunks(flat(batch.column("text"))[1]):
+                part = batch.slice(a, b - a)
+                own, items_of = tokens(part.column("text")), tokens(part.column("item_text"))
+                for i, item in enumerate(part.column("item").to_pylist()):
+                    hit = judged(item, *(codes[before[i]:before[i + 1]] for codes, before in (items_of, own)), min_match, min_coverage)
+                    if hit:
+                        rows.append(hit)
+                        of.append(a + i)
             kept = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("did", "th", "id")]
             yield pa.RecordBatch.from_arrays([*kept, *found_arrays(rows)], names=schema.names)
 
