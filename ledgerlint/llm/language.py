@@ -22,6 +22,7 @@ DICTIONARY_BYTES = 64 << 10
 TRAINING_TEXTS = 400
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
+MIN_MARGIN = 0.01
 PIECE_BYTES = 4 << 10
 SHORT_BYTES = 1 << 9
 FILL = b" " * 64
@@ -115,14 +116,17 @@ class Encoders:
         return self.langs[order[0]], max(0.0, 1.0 - best / max(second, 1))
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """The rows with ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text",
+             min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows with ``lang_pred``, ``score`` and ``rejected``.
 
     ``lang_pred`` is the dictionary of the smallest encoding (the first by
     name on a tie), ``und`` with score 0 if the text is null or has no letter
     or nothing was learned. ``score`` is the share of the runner-up's bytes
-    that the best saves (0 on a tie). Whole texts are encoded, one at a time.
-    Input columns named like a result are replaced, others pass through.
+    that the best saves (0 on a tie). A row is ``rejected`` if it is ``und`` or
+    its score is under ``min_margin``; it keeps its prediction. Whole texts are
+    encoded, one at a time. Repeated rows repeat their result, an empty table
+    gives an empty one. Input columns named like a result are replaced, others pass through.
     """
     rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("__row"))
     at = docs.columns.index(text_col)
@@ -138,7 +142,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     out = rows.mapInArrow(predict, StructType([rows.schema["__row"],
                                                *StructType.fromDDL("lang_pred string, score double").fields]))
-    return with_results(out, docs.columns, ["lang_pred", "score"])
+    narrow = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin)
+    return with_results(out.withColumn("rejected", narrow), docs.columns, ["lang_pred", "score", "rejected"])
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
@@ -146,4 +151,4 @@ def language_digest(docs: DataFrame) -> DataFrame:
     kept = docs.select("doc_id", "text", "lang")
     fitted = fit_dictionaries(kept.where(~held_out()))
     return identify(kept.select("doc_id", held_out().alias("held_out"), "text"), fitted) \
-        .select("doc_id", "held_out", "lang_pred", "score")
+        .select("doc_id", "held_out", "lang_pred", "score", "rejected")
