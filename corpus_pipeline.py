@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlint.llm.common import col, written
 from ledgerlint.llm.decontaminate import decontaminated
 from ledgerlint.llm.jaccard_join import one_of_each
-from ledgerlint.llm.language import UNKNOWN, fit_dictionaries, identify
+from ledgerlint.llm.language import fit_dictionaries, identify
 from ledgerlint.llm.packing import default_tokenizer, pack
 from ledgerlint.llm.substring_dedup import remove_repeated_words
 
@@ -34,8 +34,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is recognised; rejected: no letter at all, or
     the best dictionary saves less than ``MIN_MARGIN`` over the next."""
     rows, name = plain(docs)
-    judged = identify(rows, fit_dictionaries(docs), name["text"])
-    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_MARGIN))
+    kept = identify(rows, fit_dictionaries(docs), name["text"], MIN_MARGIN).where(~F.col("rejected"))
     return kept.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
