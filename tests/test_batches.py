@@ -35,6 +35,18 @@ def test_good_and_failed_rows(spark, batch):
     assert not [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("_stage")]
 
 
+def test_rejects_are_written_in_large_groups(spark):
+    """A key that thousands of rows share: refused one by one, stored together."""
+    import pyarrow.parquet as pq
+    rows = spark.range(3000).selectExpr("'same' AS k", "CAST(id AS string) AS n", "'1.5' AS x", "'' AS more").coalesce(1)
+    path = scratch_path(spark, "batches")
+    got = B.write_in_batches(rows, path, TARGET, 5, key="k")
+    assert got == {"good": 1, "failed": {"k is taken": 2999}, "batches": 600, "retried": 600}
+    folder = path.removeprefix("file:") + "/rejects"
+    files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert [pq.ParquetFile(f"{folder}/{f}").num_row_groups for f in files] == [1]
+
+
 def test_failing_job_leaves_no_rows(spark):
     path = scratch_path(spark, "batches")
     broken = frame(spark, [("a", "1", "1", None), ("b", "1", "1", None)]).withColumn(
