@@ -69,7 +69,8 @@ def positive_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def positive_rows(df: DataFrame, column: str) -> dict:
-    """Q21 row outputs: ``missing``, ``outliers`` and tagged ``non_missing``."""
+    """Q21 row outputs: ``missing``, ``outliers`` and tagged ``non_missing``;
+    ``flagged`` holds the first two with their ``kind``, read in one pass."""
     tagged = df.withColumn("is_missing", S.is_blank(F.col(column)))
     non_missing = (tagged.where(~F.col("is_missing"))
                          .withColumn("Status_Outlier", positive_status(F.col(column))))
@@ -77,6 +78,8 @@ def positive_rows(df: DataFrame, column: str) -> dict:
         "missing": tagged.where(F.col("is_missing")),
         "outliers": non_missing.where(F.col("Status_Outlier") == "Outlier"),
         "non_missing": non_missing,
+        "flagged": tagged.withColumn("kind", F.when(F.col("is_missing"), F.lit("missing")).when(
+            positive_status(F.col(column)) == "Outlier", F.lit("outlier"))).where(F.col("kind").isNotNull()),
     }
 
 

@@ -27,6 +27,15 @@ def test_own_domain_is_full(spark):
         assert r["valid_pct"] == (100.0 if r["non_missing"] else 0.0)
 
 
+def test_flagged_rows_are_the_missing_and_the_outliers(spark):
+    df = spark.createDataFrame([(1, "2.5"), (2, None), (3, " "), (4, "-1"), (5, "x"), (6, "NaN"), (7, "0"), (7, "0")], "id int, p string")
+    parts = R.positive_rows(df, "p")
+    got = sorted((r.id, r.kind) for r in parts["flagged"].collect())
+    assert got == [(2, "missing"), (3, "missing"), (4, "outlier"), (5, "outlier"), (7, "outlier"), (7, "outlier")]
+    apart = [(r.id, k) for k, name in (("missing", "missing"), ("outlier", "outliers")) for r in parts[name].collect()]
+    assert sorted(apart) == got
+
+
 def test_pivots_sum_to_total(spark):
     v = retail_view(spark, SF_SMALL).where(F.col(VC.category).isNotNull())
     wk = W.weekly_aggregates(v, VC, checkpoint=False)
