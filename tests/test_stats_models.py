@@ -129,6 +129,43 @@ def test_grid_rmse_prepares_inside_the_fold_and_returns_the_winner(spark):
     assert got < 1e-3
 
 
+def test_models_share_folds_and_prepared_rows(spark, monkeypatch):
+    """Two models with the same stages: folds and fold sets are made once, the
+    scores are those of one search per model, and nothing stays persisted."""
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+    rows = [(float(i % 17), "ab"[i % 2], float(i % 5), 3.0 * (i % 17) + 5.0 * (i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, ["x", "c", "more", "y"])
+    models = {"lr": LinearRegression(featuresCol="features", labelCol="y"),
+              "dt": DecisionTreeRegressor(featuresCol="features", labelCol="y", seed=42)}
+    params = {"lr": {"regParam": [0.0, 5.0]}, "dt": {"maxDepth": [1, 3]}}
+    alone = {m: M.grid_rmse(df, est, params[m], "y", ["x"], ["c"], k=4) for m, est in models.items()}
+    calls, made = {"with_folds": [], "fold_sets": []}, []
+    for name, seen in calls.items():
+        def counted(*args, _real=getattr(M, name), _seen=seen, **named):
+            _seen.append(_real(*args, **named))
+            return _seen[-1]
+        monkeypatch.setattr(M, name, counted)
+    got = {r.model: r for r in M.compare_regressors(df, models, params, "y", ["x"], ["c"], k=4).collect()}
+    assert {name: len(seen) for name, seen in calls.items()} == {"with_folds": 1, "fold_sets": 1}
+    assert set(calls["with_folds"][0].columns) == {"x", "c", "y", "fold"}
+    for m, r in alone.items():
+        assert got[m].best_params == r["best_params"] and abs(got[m].best_score - r["best_score"]) < 1e-9
+    assert not any(x.is_cached or x.storageLevel.useMemory for pair in calls["fold_sets"][0] for x in pair)
+
+
+def test_forest_reads_its_input_once(spark):
+    """The forest's passes do not compute the input rows again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    df = spark.createDataFrame([(float(i % 7), "ab"[i % 2], float(i % 7) * 2) for i in range(140)], ["x", "c", "y"]).coalesce(1)
+    out = M.forest_importance(df.mapInArrow(count, df.schema), "y", ["x"], ["c"], num_trees=5)
+    assert abs(sum(r.importance for r in out.collect()) - 1) < 1e-9 and seen.value == 140
+
+
 def test_resampling_stays_inside_the_training_rows(spark):
     """Synthetic rows of a fold lie between training rows; test rows stay."""
     from pyspark.ml.linalg import Vectors
