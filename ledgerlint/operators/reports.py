@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
+from ledgerlint.session import cut_lineage
 
 REPORT_FIELDS = ("rows", "missing_count", "missing_pct", "non_missing",
                  "valid_count", "valid_pct")
@@ -99,18 +100,33 @@ def domain_rows(df: DataFrame, column: str, values) -> DataFrame:
 def own_domain_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """Q25: each column checked against its own distinct values.
 
-    The domain is not collected: a left join with the column's distinct
-    values (a shuffle on the value) marks membership, so the report stays
+    The domain is not collected. One pass over the rows counts each value of
+    each column; a left join of the counted values with the column's distinct
+    ones marks membership, so no row is shuffled for it and the report stays
     distributed. By construction every present value is valid (100 %), which
     the tests keep as an identity.
     """
-    out = None
+    names, types = [f"__v{i}" for i in range(len(columns))], dict(df.dtypes)
+    cells = [F.struct(F.lit(i).alias("__at"), *[(F.col(f"`{c}`") if i == j else F.lit(None).cast(types[c])).alias(names[j])
+                                                for j, c in enumerate(columns)]) for i in range(len(columns))]
+    counted = cut_lineage(df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+                          .groupBy("__at", *names).agg(F.count(F.lit(1)).alias("__n")))
+    own = counted.where(F.coalesce(*[F.when(F.col(v).isNotNull(), F.lit(True)) for v in names], F.lit(False)))
+    own = own.select(F.col("__at").alias("__d"), *[F.col(v).alias(f"__d{v}") for v in names], F.lit(True).alias("__in"))
+    same = F.col("__at") == F.col("__d")
+    for v in names:
+        same = same & F.col(v).eqNullSafe(F.col(f"__d{v}"))
+    marked = counted.join(own, same, "left")
+    aggs = []
+    for i, v in enumerate(names):
+        miss = S.is_blank(F.col(v))
+        for name, hit in (("rows", F.lit(True)), ("missing", miss), ("valid", ~miss & F.coalesce("__in", F.lit(False)))):
+            aggs.append(F.coalesce(F.sum(F.when((F.col("__at") == i) & hit, F.col("__n"))), F.lit(0).cast("long")).alias(f"{name}{i}"))
+    parts = []
     for i, c in enumerate(columns):
-        dom = df.select(F.col(c).alias("__v")).where(F.col("__v").isNotNull()).distinct() \
-                .withColumn("__in", F.lit(True))
-        marked = df.select(F.col(c)).join(dom, F.col(c) == F.col("__v"), "left")
-        rep = _report(marked.select(F.col(c), F.coalesce(F.col("__in"), F.lit(False)).alias("__ok")),
-                      {c: F.col("__ok")})
-        rep = rep.withColumn("position", F.lit(i))
-        out = rep if out is None else out.unionByName(rep)
-    return out
+        rows, m, v = F.col(f"rows{i}"), F.col(f"missing{i}"), F.col(f"valid{i}")
+        parts.append(F.struct(
+            F.lit(c).alias("column"), F.lit(i).alias("position"), rows.alias("rows"), m.alias("missing_count"),
+            S.percent(m, rows).alias("missing_pct"), (rows - m).alias("non_missing"), v.alias("valid_count"),
+            S.percent(v, rows - m).alias("valid_pct")))
+    return marked.agg(*aggs).select(F.explode(F.array(*parts)).alias("r")).select("r.*")

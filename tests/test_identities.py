@@ -27,6 +27,20 @@ def test_own_domain_is_full(spark):
         assert r["valid_pct"] == (100.0 if r["non_missing"] else 0.0)
 
 
+def test_own_domains_in_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    df = spark.createDataFrame([("a", 1.0), ("a", None), (None, float("nan")), (" ", 1.0), ("b", 2.0)], "x string, y double")
+    got = [tuple(r) for r in R.own_domain_report(df.mapInArrow(count, df.schema), ["x", "y"]).orderBy("position").collect()]
+    assert seen.value == 5 and [r[:4] + r[5:7] for r in got] == [("x", 0, 5, 2, 3, 3), ("y", 1, 5, got[1][3], 5 - got[1][3], 5 - got[1][3])]
+    none = R.own_domain_report(df.where("false"), ["x", "y"]).orderBy("position").collect()
+    assert [tuple(r)[:4] for r in none] == [("x", 0, 0, 0), ("y", 1, 0, 0)]
+
+
 def test_flagged_rows_are_the_missing_and_the_outliers(spark):
     df = spark.createDataFrame([(1, "2.5"), (2, None), (3, " "), (4, "-1"), (5, "x"), (6, "NaN"), (7, "0"), (7, "0")], "id int, p string")
     parts = R.positive_rows(df, "p")
