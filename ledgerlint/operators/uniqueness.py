@@ -4,7 +4,9 @@ Row uniqueness marks the first of identical rows. Instead of a window over
 all columns (which sends a hot group -- one row repeated a third of the
 table -- to one task), row hashes are counted (combined map-side, so a hot
 group shrinks to one row before the shuffle) and only groups that occur
-twice are settled on their columns and joined back.
+twice are settled on their columns and joined back. The rows are stored
+first, as three passes read them; few repeated groups (by measured size) are
+broadcast, so that the rows themselves are not shuffled for them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlint.session import sized_broadcast, stored
 
 def with_row_order(df: DataFrame, name: str = "__row_order") -> DataFrame:
     """Attach a file-order row id (for inputs that carry none, such as CSV).
@@ -28,6 +31,7 @@ def flag_first_occurrence(df: DataFrame, key_cols: list[str], order_cols: list[s
                           flag: str = "uniqueness_flag") -> DataFrame:
     """Q4: ``flag`` is True for the first row (by ``order_cols``) of each group
     of rows equal on ``key_cols``; missing values compare equal."""
+    df = stored(df)
     order = F.struct(*[F.col(c) for c in order_cols])
     keys = [f"__uk{i}" for i in range(len(key_cols))]
     # Two 64-bit hashes of the row stand for it in a hash aggregate of counts;
@@ -35,11 +39,12 @@ def flag_first_occurrence(df: DataFrame, key_cols: list[str], order_cols: list[s
     # themselves and joined back. Every other row is unique.
     hashes = [F.xxhash64(*[F.col(c) for c in key_cols]).alias("__uh"),
               F.xxhash64(F.lit(1), *[F.col(c) for c in reversed(key_cols)]).alias("__ug")]
-    repeated = (df.select(*hashes).groupBy("__uh", "__ug").agg(F.count(F.lit(1)).alias("__n"))
-                  .where(F.col("__n") > 1).select("__uh", "__ug"))
-    firsts = (df.select(*hashes, *[F.col(c).alias(k) for c, k in zip(key_cols, keys)], order.alias("__uo"))
-                .join(repeated, ["__uh", "__ug"], "left_semi")
-                .groupBy("__uh", *keys).agg(F.min("__uo").alias("__first")))
+    repeated = sized_broadcast(
+        df.select(*hashes).groupBy("__uh", "__ug").agg(F.count(F.lit(1)).alias("__n"))
+          .where(F.col("__n") > 1).select("__uh", "__ug"))
+    again = stored(df.select(*hashes, *[F.col(c).alias(k) for c, k in zip(key_cols, keys)], order.alias("__uo"))
+                     .join(repeated, ["__uh", "__ug"], "left_semi"))
+    firsts = sized_broadcast(again.groupBy("__uh", *keys).agg(F.min("__uo").alias("__first")), cut=False)
     left = df.withColumn("__lh", F.xxhash64(*[F.col(c) for c in key_cols]))
     cond = reduce(lambda a, b: a & b,
                   [left["__lh"] == firsts["__uh"]]

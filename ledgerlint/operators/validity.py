@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
 from ledgerlint.schema import REFERENCE_COLUMNS, REFERENCE_RULES, Columns, RuleSet
-from ledgerlint.session import cut_lineage
+from ledgerlint.session import cut_lineage, sized_broadcast
 
 CANT_CHECK = "CANT CHECK"
 INTEGER_NON_NEGATIVE = "integer_non_negative"
@@ -156,18 +156,6 @@ def item_rule(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
              .otherwise(_FALSE()))
 
 
-def sized_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast hint only when the frame's measured size allows it.
-
-    The frame is cut from the lineage first, so measuring does not run it
-    twice. The size is that of its rows as JSON text, summed in one
-    distributed aggregate; beyond ``max_bytes`` the join shuffles on its keys.
-    """
-    df = cut_lineage(df)
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
-
-
 #: Items with more price periods than this are looked up by month.
 MAX_PERIODS = 256
 
