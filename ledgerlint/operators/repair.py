@@ -17,7 +17,7 @@ from ledgerlint.functions import scalars as S
 from ledgerlint.operators.quantiles import (column_value_counts, exact_quantiles_multi,
                                             profile_from_counts)
 from ledgerlint.schema import REFERENCE_COLUMNS, Columns
-from ledgerlint.session import cut_lineage
+from ledgerlint.session import sized_broadcast, stored
 
 
 def _replace(df: DataFrame, name: str, value) -> DataFrame:
@@ -42,7 +42,8 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
     derived from the facts, so by default no eager size check runs (it would
     recompute the whole input): AQE broadcasts it at runtime when its
     measured size is under the threshold, else the join shuffles. ``materialize`` writes the lookup (one row per price) to the checkpoint folder once, for
-    chains where later steps would otherwise recompute it.
+    chains where later steps would otherwise recompute it, and broadcasts it
+    if its measured size allows, so that the rows are not shuffled by price.
     """
     keys = keys or [cols.price]
     order = F.struct(*[F.col(c) for c in order_cols])
@@ -52,7 +53,7 @@ def fill_item(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_CO
     lookup = (src.groupBy(*[F.col(f"`{k}`").alias(f"__fk{i}") for i, k in enumerate(keys)])
                  .agg(F.min_by(F.col(f"`{cols.item}`"), order).alias("__fill_item")))
     if materialize:
-        lookup = cut_lineage(lookup)
+        lookup = sized_broadcast(lookup)
     cond = None
     for i, k in enumerate(keys):
         c = df[k] == lookup[f"__fk{i}"]
@@ -73,7 +74,7 @@ def fill_by_group_mean(df: DataFrame, key: str, value: str, keep_keyless: bool =
     means = (df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__gk"))
                .agg(F.avg(F.col(f"`{value}`")).alias("__gmean")))
     if materialize:
-        means = cut_lineage(means)
+        means = sized_broadcast(means)
     j = df.join(means, df[key] == means["__gk"], "left")
     v = df[value]
     filled = F.when(v.isNull() | F.isnan(v), F.col("__gmean")).otherwise(v)
@@ -96,11 +97,12 @@ def full_repair(df: DataFrame, order_cols: list[str], cols: Columns = REFERENCE_
                 item_keys: list[str] | None = None) -> DataFrame:
     """C1 to C5 in order; each step sees the previous step's output.
 
-    The two lookups (one row per price, one per item) are written once to the
-    checkpoint folder, so the source is read three times (lookup, means,
-    output) and no lookup aggregation runs twice.
+    The rows are stored after the first step and the two lookups (one row per
+    price, one per item) are written once to the checkpoint folder, so the
+    source is read once, the stored rows three times (lookup, means, output)
+    and no lookup aggregation runs twice.
     """
-    out = fill_price(df, cols)
+    out = stored(fill_price(df, cols))
     out = fill_item(out, order_cols, cols, keys=item_keys, materialize=True)
     out = fill_by_group_mean(out, cols.item, cols.quantity, materialize=True)
     out = recompute_total(out, cols)
@@ -123,8 +125,10 @@ def impute_generic(df: DataFrame, max_missing_pct: float = 20.0) -> DataFrame:
 
     Pass 1 is one aggregate of null counts. Pass 2 builds one (column,
     value, count) table for just the kept columns that have gaps, from which
-    all medians and modes are read. Pass 3 writes the filled rows.
+    all medians and modes are read. Pass 3 writes the filled rows. The rows
+    are stored first, so the source is read once.
     """
+    df = stored(df)
     ratios = null_ratios(df)
     keep = [c for c in df.columns if ratios[c] <= max_missing_pct]
     need = [c for c in keep if ratios[c] > 0]
