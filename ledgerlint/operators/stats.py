@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlint.functions import scalars as S
-from ledgerlint.session import cut_lineage
+from ledgerlint.session import cut_lineage, stored
 
 
 def contingency_cells(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -130,9 +130,13 @@ def one_hot(df: DataFrame, categorical: list[str], numeric: list[str], target: s
     (sorted; a missing value is the level ``nan``), then the target.
 
     Levels become columns, so all are collected once per column unless passed in; encoding is a single ``select``, so no join is needed to put
-    the pieces side by side.
+    the pieces side by side. To find levels the columns used are stored first,
+    so that the source is read once.
     """
     levels = dict(levels or {})
+    if any(c not in levels for c in categorical):
+        used = dict.fromkeys([*numeric, *categorical, *([target] if target else [])])
+        df = stored(df.select(*[F.col(f"`{c}`") for c in used]))
     for c in categorical:
         if c not in levels:
             vals = (df.select(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")).alias("v"))
