@@ -54,3 +54,31 @@ def test_weekly_repeat_ratio(spark):
     want = df.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("w")).agg(
         F.count("*").alias("n"), F.countDistinct(F.coalesce("who", F.lit("-"))).alias("c"))
     assert {r.Year_Week: (r.n_rows, r.n_customers) for r in got.collect()} == {r.w: (r.n, r.c) for r in want.collect()}
+
+
+def test_keys_that_share_a_group_and_its_batches(spark):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many Arrow batches a group
+    try:
+        # latest rows first inside a file, and pairs at the same time
+        df = _events(spark).withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts") - F.col("id") % 2 * 37 * 60)).orderBy(F.col("id").desc())
+        stream, folder = _stream(spark, df, 3)
+        got = K.run_available(K.flag_first_stream(stream, ["who", "kind"], "ts", "id", key_groups=2), f"{folder}/out")
+        w = Window.partitionBy("who", "kind").orderBy("ts", "id")
+        want = df.withColumn("is_first", F.row_number().over(w) == 1)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_one_key_of_a_group_is_forgotten(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(0, start, "a"), (1, start + dt.timedelta(days=9), "b"), (2, start + dt.timedelta(days=10), "b"),
+            (3, start + dt.timedelta(days=11), "a"), (4, start + dt.timedelta(days=12), "b")]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, who string")
+    folder = tempfile.mkdtemp(prefix="ll-keyed-")
+    for i in range(len(rows)):
+        df.where(F.col("id") == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = K.run_available(K.flag_first_stream(stream, ["who"], "ts", "id", "1 day", 5 * 86_400_000, key_groups=1), f"{folder}/out")
+    assert {r.id: r.is_first for r in out.collect()} == {0: True, 1: True, 2: False, 3: True, 4: False}
