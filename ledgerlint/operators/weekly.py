@@ -2,7 +2,7 @@
 
 Plan (one evaluation of the source, three partially aggregated shuffles):
 
-1. The narrow weekly projection (8 columns) is persisted, so a joined
+1. The narrow weekly projection (8 columns) is stored, so a joined
    source is evaluated once for the pivot levels and all three branches.
 2. Each branch aggregates at its own grain, combined map-side (a hot
    transaction or customer is one row per task before its shuffle): by
@@ -20,13 +20,12 @@ would cause (one copy of every input row per distinct expression).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions import scalars as S
 from ledgerlint.schema import REFERENCE_COLUMNS, Columns
-from ledgerlint.session import cut_lineage
+from ledgerlint.session import cut_lineage, stored
 
 WEEK = "Year_Week"
 BASE_FEATURES = ("weekly_avg_repeat_purchases", "total_sales", "unique_transactions",
@@ -81,7 +80,7 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
     base = _prepared(df, cols)
     if persist_input:
         # one evaluation of the (possibly joined) source feeds all branches
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        base = stored(base)
     missing = [c for c, v in (("__cat", categories), ("__pay", payments), ("__loc", locations)) if v is None]
     found = pivot_levels(base, missing) if missing else {}
     categories = list(categories) if categories is not None else found["__cat"]
@@ -140,10 +139,7 @@ def weekly_aggregates(df: DataFrame, cols: Columns = REFERENCE_COLUMNS,
     weekly = j.select(*[e.alias(n) for n, e in exprs])
     if not checkpoint:
         return weekly
-    result = cut_lineage(weekly)
-    if persist_input:
-        base.unpersist()
-    return result
+    return cut_lineage(weekly)
 
 
 def add_lags_leads(weekly: DataFrame, n_past: int, n_future: int,
