@@ -2,7 +2,7 @@
 
 Base rules look at one document; the line rule looks across a host: lines
 are normalised and hashed, each line's distinct documents are counted per
-host, lines above the limit count as removed, and a document of which more
+host, lines above the limit are removed, and a document of which more
 than half the words go is rejected as depleted.
 """
 
@@ -65,13 +65,15 @@ def base_features(rows: DataFrame, text: Column) -> DataFrame:
 
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
            "n_frequent_words", "kept"]
+CLEAN = "clean_text"
 
 
 def line_frequency_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
                          min_words: int = 50, max_repeat_percent: int = 50, max_line_docs: int = 10,
                          max_removed_percent: int = 50) -> DataFrame:
     """The documents with their base features, ``base_failed``,
-    ``n_frequent_words`` (words in lines above the limit) and ``kept``.
+    ``n_frequent_words`` (words in lines above the limit), ``kept`` and
+    ``clean_text``, the text without those lines (its other lines unchanged).
 
     A line is above the limit if more than ``max_line_docs`` documents of its
     host hold it, however many the host has: a verdict on a line never turns
@@ -88,7 +90,7 @@ def line_frequency_rules(docs: DataFrame, host_col: str = "source", id_col: str
     rows = rows.select("*", F.coalesce(F.col(at[id_col]).cast("long"), F.lit(NULL_ID)).alias("__did"),
                        F.xxhash64(text).alias("__th"), F.xxhash64(F.isnull(host), host).alias("__host"))
     keys = ["__did", "__th", "__host"]
-    featured = base_features(rows, text)
+    featured = base_features(rows, text)  # the text goes along only if ``clean_text`` is asked for
 
     lines = rows.select(*keys, F.explode(F.filter(
         F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(HAS_WORD))).alias("__line"))
@@ -103,7 +105,7 @@ def line_frequency_rules(docs: DataFrame, host_col: str = "source", id_col: str
     cut = (held.join(often.withColumn("__often", F.lit(1)), ["__host", "__h"], "left")
            .groupBy("__host", "__did", "__th")
            .agg(F.sum(F.when(F.col("__often") == 1, F.col("__n")).otherwise(0)).alias("__cut"),
-                F.sum("__n").alias("__all"))
+                F.sum("__n").alias("__all"), F.collect_set(F.when(F.col("__often") == 1, F.col("__h"))).alias("__gone"))
            .where(F.col("__cut") > 0))
     out = featured.join(cut, ["__host", "__did", "__th"], "left")
     frequent = F.coalesce(F.floor(F.col("n_words") * F.col("__cut") / F.col("__all")).cast("long"), F.lit(0).cast("long"))
@@ -112,8 +114,10 @@ def line_frequency_rules(docs: DataFrame, host_col: str = "source", id_col: str
               | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * F.col("n_words")))
     depleted = F.lit(100) * F.col("n_frequent_words") > F.lit(max_removed_percent) * F.col("n_words")
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
-    taken = set(RESULTS)
-    return out.select(*[F.col(n).alias(c) for c, n in at.items() if c.lower() not in taken], *RESULTS)
+    stays = F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(HAS_WORD) & F.array_contains("__gone", F.xxhash64(normal_line(x)))))
+    out = out.withColumn(CLEAN, F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(stays, "\n")))
+    taken = {*RESULTS, CLEAN}
+    return out.select(*[F.col(n).alias(c) for c, n in at.items() if c.lower() not in taken], *RESULTS, CLEAN)
 
 
 def line_rules_digest(docs: DataFrame) -> DataFrame:
