@@ -3,16 +3,20 @@
 A word's embedding is the sum of rows of a hashed table: the row of the word
 and those of its leading bytes. Filters of several widths run over the
 embeddings, the maximum of each over the text goes to a logistic output.
-Training (Adam on the cross-entropy) uses a bounded sample of labelled texts;
-the threshold of each language, which a hashed word model guesses from the
-text alone, is calibrated on texts held back from training.
+Training (Adam on the cross-entropy) reads every labelled text: the rows are
+dealt into parts by id, each part trains a copy of the network in its own task,
+and the copies are averaged after each pass. The threshold of each language,
+which a hashed word model guesses from the text alone, counts the errors of
+every labelled text.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,9 +27,10 @@ BUCKETS, WIDTH, FILTERS = 1 << 15, 16, 16
 SPANS = (1, 2, 3)
 LEADING = (3, 4, 6)
 LANG_BUCKETS = 1 << 14
-MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
-MAX_LANG_TEXTS = 300
-EPOCHS, BATCH, RATE, KEEP_WORDS, SEED = 5, 32, 0.01, 0.6, 17
+PART_ROWS, MAX_PARTS, HELD_BYTES = 1 << 14, 256, 64 << 20
+BLOCK_ROWS = 1 << 10
+LOGIT_STEPS, MOST_LOGIT = 1 << 10, 64
+EPOCHS, ROUNDS, BATCH, RATE, KEEP_WORDS, SEED = 5, 3, 32, 0.01, 0.6, 17
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray):
@@ -124,27 +129,46 @@ class Network:
             g["table"] = touched, total
         return g
 
-    def train(self, texts: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = SEED):
-        """``texts``: word rows and label of each."""
-        rng, step = np.random.default_rng(seed), 0
+    def train(self, batches, seed):
+        """``batches``: word rows, words before each text, and labels of each."""
+        rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        epochs = max(epochs, -(-250 * BATCH // max(1, len(texts))))  # a small sample is read more often
-        for _ in range(epochs):
-            order = rng.permutation(len(texts))
-            for a in range(0, len(order), BATCH):
-                some = [texts[i] for i in order[a:a + BATCH]]
-                # words are left out at random, so that no telling word hides the others of its text
-                some = [(t[0][rng.random(len(t[0])) < KEEP_WORDS], t[1]) for t in some]
-                ids = np.concatenate([t[0] for t in some])
-                before = np.concatenate([[0], np.cumsum([len(t[0]) for t in some])])
-                step += 1
-                scale = RATE * (1 - 0.999 ** step) ** 0.5 / (1 - 0.9 ** step)
-                for k, g in self.gradients(ids, before, np.array([t[1] for t in some], np.float32)).items():
-                    at, g = g if k == "table" else (slice(None), g)
-                    first[k][at] = 0.9 * first[k][at] + 0.1 * g
-                    second[k][at] = 0.999 * second[k][at] + 0.001 * g * g
-                    self.p[k][at] -= scale * first[k][at] / (np.sqrt(second[k][at]) + 1e-8)
+        for step, (ids, before, label) in enumerate(batches, 1):
+            # words are left out at random, so that no telling word hides the others of its text
+            keep = rng.random(len(ids)) < KEEP_WORDS
+            ids, before = ids[keep], np.concatenate([[0], np.cumsum(keep)])[before]
+            scale = RATE * (1 - 0.999 ** step) ** 0.5 / (1 - 0.9 ** step)
+            for k, g in self.gradients(ids, before, label.astype(np.float32)).items():
+                at, g = g if k == "table" else (slice(None), g)
+                first[k][at] = 0.9 * first[k][at] + 0.1 * g
+                second[k][at] = 0.999 * second[k][at] + 0.001 * g * g
+                self.p[k][at] -= scale * first[k][at] / (np.sqrt(second[k][at]) + 1e-8)
+
+    def changes(self, start: dict, weight: int):
+        """What training changed since ``start``, times ``weight``, in blocks
+        of parameters, each row with its weight as last column. A table row
+        that was not touched weighs nothing."""
+        for at, (k, a) in enumerate(blocks()):
+            now, old = (x[k][a:a + BLOCK_ROWS] if k == "table" else x[k].reshape(1, -1) for x in (self.p, start))
+            moved = now - old
+            touched = moved.any(axis=1) if k == "table" else np.ones(1, bool)
+            yield at, np.concatenate([moved, touched[:, None]], axis=1) * np.float32(weight)
+
+    def add(self, sums: dict):
+        """Adds the weighted mean of the summed changes of all parts."""
+        for at, (k, a) in enumerate(blocks()):
+            mean = sums[at][:, :-1] / np.maximum(sums[at][:, -1:], 1)
+            if k == "table":
+                self.p[k][a:a + BLOCK_ROWS] += mean.astype(np.float32)
+            else:
+                self.p[k] += mean.astype(np.float32).reshape(self.p[k].shape)
+
+
+def blocks() -> list[tuple[str, int]]:
+    """Name and first row of each block of parameters that is averaged."""
+    return [("table", a) for a in range(0, BUCKETS, BLOCK_ROWS)] + \
+        [(k, 0) for k in ("out", "bias", *[f"{x}{s}" for x in "wb" for s in SPANS])]
 
 
 class LanguageGuess:
@@ -164,73 +188,140 @@ class LanguageGuess:
         return np.argmax(sums[before[1:]] - sums[before[:-1]], axis=1)
 
 
-def threshold(logit: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the cut that errs least; of several, the widest gap."""
-    order = np.argsort(logit)
-    x, y = logit[order], label[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    edge = np.concatenate([[x[0] - 2], x, [x[-1] + 2]])
+def threshold(logit: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the cut that errs least; of several, the widest gap.
+    ``logit`` ascends; the others count its texts."""
+    wrong = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    edge = np.concatenate([[logit[0] - 2], logit, [logit[-1] + 2]])
     gap = np.diff(edge)
     best = max(np.flatnonzero(wrong == wrong.min()), key=lambda i: (gap[i], -i))
     return float((edge[best] + edge[best + 1]) / 2)
 
 
+def batches(rows, size: int = BATCH):
+    """Word rows, words before each text, labels and languages of ``size``
+    (text, label, language) at a time; texts without a word are left out."""
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        raw = [r[0].encode() for r in some]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        ids, before = word_ids(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        full = np.flatnonzero(np.diff(before))
+        if len(full):
+            yield ids, np.append(before[full], len(ids)), np.array([some[i][1] for i in full]), [some[i][2] for i in full]
+
+
+def count_words(rows):
+    """Of one part: per language (in a tuple) the words in each bucket, and
+    under () the number of clean and toxic texts."""
+    spoken, texts = {}, np.zeros(2, np.int64)
+    for ids, before, label, langs in batches(rows):
+        texts += np.bincount(label, minlength=2)
+        for lang in set(langs) - {None}:
+            own = np.repeat([x == lang for x in langs], np.diff(before))
+            spoken[lang] = spoken.get(lang, 0) + np.bincount(ids[own, 0] % LANG_BUCKETS, minlength=LANG_BUCKETS)
+    yield (), texts
+    for lang, words in spoken.items():
+        yield (lang,), words
+
+
+def train_part(part: int, rows, start: dict, passes: int, turn: int):
+    """The changes that one part's rows make to the parameters ``start``;
+    only for several passes are the rows held."""
+    network, texts = Network(), 0
+    network.p = {k: v.copy() for k, v in start.items()}
+
+    def read(rows):
+        nonlocal texts
+        for ids, before, label, _ in batches(rows):
+            texts += len(label)
+            yield ids, before, label
+
+    def several(rows):
+        rng, rows = np.random.default_rng((SEED, part)), list(rows)
+        for _ in range(passes):
+            yield from read(rows[i] for i in rng.permutation(len(rows)))
+
+    network.train(several(rows) if passes > 1 else read(rows), (SEED, part, turn))
+    for at, change in network.changes(start, texts):
+        yield at, (part, change)
+
+
+def in_order(changes) -> np.ndarray:
+    """The sum, in the order of the parts: the same in every run."""
+    return sum(x[1].astype(np.float64) for x in sorted(changes, key=lambda x: x[0]))
+
+
+def merged(*counts):
+    """One (logits, toxic texts, clean texts) of several; logits ascend."""
+    logit, toxic, clean = (np.concatenate(x) for x in zip(*counts))
+    logit, at = np.unique(logit, return_inverse=True)
+    return logit, *(np.bincount(at, x, len(logit)).astype(np.int64) for x in (toxic, clean))
+
+
+def count_logits(rows, network: Network, guess: LanguageGuess):
+    """Of one part: by guessed language, and under -1 for all, the toxic and
+    clean texts at each step of the logit."""
+    got = []
+    for ids, before, label, _ in batches(rows):
+        logit = np.rint(np.clip(network.logits(ids, before), -MOST_LOGIT, MOST_LOGIT) * LOGIT_STEPS)
+        got.append((guess.of(ids, before), logit.astype(np.int64), label))
+    if got:
+        lang, logit, label = (np.concatenate(x) for x in zip(*got))
+        for i in (-1, *np.unique(lang).tolist()):
+            own = (lang == i) | (i < 0)
+            yield i, merged((logit[own], label[own], 1 - label[own]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        label_col: str = "toxic", positives: int = MAX_POSITIVE, negatives: int = MAX_NEGATIVE):
+        label_col: str = "toxic"):
     """A fitted (network, language guess, thresholds by language).
 
-    Learns from at most ``positives`` and ``negatives`` labelled texts, the
-    first of each by a hash of the id, an eighth of which calibrate; and, for
-    the language guess, from at most ``MAX_LANG_TEXTS`` of those texts in each
-    language. Whole texts are learned from. Rows without text or label teach
-    nothing.
+    Network, guess and thresholds learn from every labelled text, whole. The
+    rows are dealt by id into parts of at most about ``PART_ROWS`` rows (more
+    beyond ``MAX_PARTS`` parts) and stay in their shuffle files. A single part
+    of at most ``HELD_BYTES`` is read ``EPOCHS`` times or more in its task;
+    others are read as streams, and after each of ``ROUNDS`` passes or more
+    their changes are averaged, a table row's over the parts that touched it.
+    Thresholds count texts at logits rounded to 1 / ``LOGIT_STEPS``. Rows
+    without text or label teach nothing.
     """
     known = labels.where(col(label_col).isin(0, 1)).select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")) \
-        .groupBy("id").agg(F.max("y").alias("y"))
+        .where(F.col("id").isNotNull())
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")) \
-        .where(F.length("text") > 0).join(known, "id").withColumn("h", F.xxhash64("id"))
-    # of the labels that have a text: others must not make the sample smaller
-    count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = F.lit(False)
-    for y, most in ((0, negatives), (1, positives)):
-        share = min(1.0, (1.3 * most + 50) / max(1, count.get(y, 0)))
-        wanted = wanted | ((F.col("y") == y) & (F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)))
-    got = {0: [], 1: []}
-    for r in rows.where(wanted).orderBy("h").limit(2 * (positives + negatives) + 200).toLocalIterator():
-        if len(got[r["y"]]) < (positives if r["y"] else negatives):
-            raw = np.frombuffer(r["text"].encode(), np.uint8)
-            got[r["y"]].append((word_ids(raw, np.array([0, len(raw)]))[0], r["y"], r["lang"]))
-    texts = [t for pair in got.values() for t in pair if len(t[0])]
-    spoken, heard = {}, {}
-    for ids, _, lang in texts:
-        if lang is not None and heard.get(lang, 0) < MAX_LANG_TEXTS:
-            heard[lang] = heard.get(lang, 0) + 1
-            spoken[lang] = spoken.get(lang, 0) + np.bincount(ids[:, 0] % LANG_BUCKETS, minlength=LANG_BUCKETS)
-    guess = LanguageGuess(spoken)
+        .where(F.col("id").isNotNull() & (F.length("text") > 0))
+    n, size = rows.select("id", F.octet_length("text").alias("size")).join(known.select("id").distinct(), "id") \
+        .agg(F.count(F.lit(1)), F.sum(F.col("size").cast("long"))).first()
+    parts = max(1, min(MAX_PARTS, -(-n // PART_ROWS)))
+    held = parts == 1 and (size or 0) <= HELD_BYTES
+    least = -(-250 * BATCH * parts // max(1, n))  # a small table is read more often
+    passes, turns = (max(EPOCHS, least), 1) if held else (1, max(ROUNDS, least))
+    # texts are dealt once, with their labels, as a join may choose another number of parts; later passes read the
+    # shuffle's files again
+    both = rows.unionByName(known, allowMissingColumns=True).repartition(parts, "id")
+    dealt = both.withColumn("y", F.max("y").over(Window.partitionBy("id"))).where(F.col("text").isNotNull() & F.col("y").isNotNull()) \
+        .withColumn("h", F.xxhash64("id", "text")).sortWithinPartitions("h", "lang").select("text", "y", "lang").rdd
+    spoken = dict(dealt.mapPartitions(count_words).reduceByKey(lambda a, b: a + b).collect())
+    clean, toxic = spoken.pop((), (0, 0))
+    guess = LanguageGuess({lang[0]: words for lang, words in spoken.items()})
     network = Network()
-    held = [t for i, t in enumerate(texts) if i % 8 == 7]
-    own = [t for i, t in enumerate(texts) if i % 8 != 7]
-    if any(t[1] for t in own):
-        network.train([(t[0], t[1]) for t in own])
+    context = dealt.context
+    for turn in range(turns):
+        if not toxic:
+            break
+        start = context.broadcast(network.p)
+        network.add(dict(dealt.mapPartitionsWithIndex(
+            lambda part, rows, start=start, turn=turn: train_part(part, rows, start.value, passes, turn))
+            .groupByKey(min(parts, len(blocks()))).mapValues(in_order).collect()))
+        start.unpersist()
     cuts = np.zeros(max(1, len(guess.langs)))
-    every = []
-    for part in (held, own):
-        got = []
-        for a in range(0, len(part), BATCH):
-            some = part[a:a + BATCH]
-            ids = np.concatenate([t[0] for t in some])
-            before = np.concatenate([[0], np.cumsum([len(t[0]) for t in some])])
-            got.append((network.logits(ids, before), guess.of(ids, before), np.array([t[1] for t in some])))
-        if got:
-            every.append(tuple(np.concatenate(x) for x in zip(*got)))
-    if every:
-        whole = [np.concatenate(x) for x in zip(*every)]
-        base = threshold(whole[0], whole[2]) if whole[2].any() and not whole[2].all() else 0.0
-        for i in range(len(cuts)):
-            x = [every[0][j][every[0][1] == i] for j in (0, 2)]
-            if x[1].sum() < 3 or (1 - x[1]).sum() < 3:  # too few held back: all of the language
-                x = [whole[j][whole[1] == i] for j in (0, 2)]
-            cuts[i] = threshold(*x) if x[1].sum() >= 2 and (1 - x[1]).sum() >= 2 else base
+    if clean and toxic:
+        sent = context.broadcast((network, guess))
+        found = dict(dealt.mapPartitions(lambda rows: count_logits(rows, *sent.value)).reduceByKey(merged)
+                     .mapValues(lambda c: (threshold(c[0] / LOGIT_STEPS, *c[1:]), min(c[1].sum(), c[2].sum()))).collect())
+        for i in range(len(cuts)):  # too few of the language: all texts
+            cuts[i] = found[i if found.get(i, (0, 0))[1] >= 2 else -1][0]
+        sent.unpersist()
     return network, guess, cuts
 
 
